@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, pii, quality
+from . import lines, mixing, pii, quality, substrings
 from .common import load, sha256_hex
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(load(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_ngrams(load(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -38,6 +46,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
+    "op3_ngrams": op3_ngrams,
     "op2_quality": op2_quality,
     "op7_lines": op7_lines,
     "op9_pii": op9_pii,
