@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, pii, quality, substrings
+from . import bpe, lines, mixing, pii, quality, substrings
 from .common import load, sha256_hex
 
 
@@ -27,6 +27,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *base[:-1], F.expr(failed).alias("base_failed"), "kept")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizer_path(), digests=True)
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "ld_lines_removed", F.length("text").alias("kept_chars"), sha256_hex(F.col("text")).alias("kept_sha256"))
@@ -49,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_ngrams": op3_ngrams,
     "op2_quality": op2_quality,
+    "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
