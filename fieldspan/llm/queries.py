@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, pii, quality, substrings
+from . import bpe, lines, mixing, pii, quality, substrings, toxicity
 from .common import load, sha256_hex
 
 
@@ -43,6 +43,20 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "ld_lines_removed", F.length("text").alias("kept_chars"), sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled rows whose crc32 of the id as text is not 0 modulo 5."""
+    labels = load(spark, sf_dir, "labels").select("doc_id", "toxic").filter("crc32(cast(doc_id as string)) % 5 != 0 and toxic is not null")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.train(docs.join(F.broadcast(toxicity.sampled(labels)), "doc_id"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    df = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))
+    return df.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     df = pii.find_pii(docs)
@@ -62,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
