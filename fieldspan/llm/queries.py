@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, pii, quality, substrings, toxicity
+from . import bpe, lines, mixing, pii, quality, search, substrings, toxicity
 from .common import load, sha256_hex
 
 
@@ -27,6 +27,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *base[:-1], F.expr(failed).alias("base_failed"), "kept")
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.quantised(load(spark, sf_dir, "embeddings"))
+    return search.top_k(rows.filter("s_id % 50 = 0"), rows, 5)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_ngrams": op3_ngrams,
     "op2_quality": op2_quality,
+    "op5_search": op5_search,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
     "op8_toxicity": op8_toxicity,
@@ -81,4 +87,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_search": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+            where embedding is not null and vec_id is not null
+              and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0
+        ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+}
