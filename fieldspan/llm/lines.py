@@ -17,14 +17,16 @@ SPREAD, LEAST_LINES, LEAST_CHARS = 3, 2, 80
 
 def chunked(docs: DataFrame, text_col: str = "text", spread: int = SPREAD) -> DataFrame:
     """``docs`` plus ``ld_chunks``: the text's chunks, whose join by newline is the text."""
-    df = docs.withColumn("ld_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    df = df.withColumn("ld_hash", F.expr("transform(ld_lines, l -> xxhash64(l))"))
-    ends = f"""concat(filter(sequence(0, greatest(size(ld_hash) - 2, 0)), i -> i < size(ld_hash) - 1 and
-        pmod(xxhash64(ld_hash[greatest(i - 1, 0)], ld_hash[i]), {spread}) = 0), array(size(ld_hash) - 1))"""
-    df = df.withColumn("ld_ends", F.expr(ends))
-    cut = """transform(ld_ends, (e, i) -> transform(array(case when i = 0 then 0 else ld_ends[greatest(i - 1, 0)] + 1 end),
-        s -> array_join(slice(ld_lines, s + 1, e - s + 1), '\n'))[0])"""
-    return df.withColumn("ld_chunks", F.expr(cut)).drop("ld_lines", "ld_hash", "ld_ends")
+    # one expression with each array bound once: the optimiser would otherwise put the
+    # split into the lambdas and run it again for every line
+    ends = f"""concat(filter(sequence(0, size(h) - 1), i -> i < size(h) - 1 and
+        pmod(xxhash64(h[greatest(i - 1, 0)], h[i]), {spread}) = 0), array(size(h) - 1))"""
+    cut = f"""transform(array(split(coalesce(`{text_col}`, ''), '\n')), s ->
+        transform(array(transform(s, l -> xxhash64(l))), h ->
+        transform(array({ends}), e ->
+        transform(e, (x, i) -> transform(array(case when i = 0 then 0 else e[greatest(i - 1, 0)] + 1 end),
+            a -> array_join(slice(s, a + 1, x - a + 1), '\n'))[0]))[0])[0])[0]"""
+    return docs.withColumn("ld_chunks", F.expr(cut))
 
 
 def _parts(docs: DataFrame) -> DataFrame:
