@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, pii, quality, search, substrings, toxicity
+from . import bpe, jaccard, lines, mixing, pii, quality, search, substrings, toxicity
 from .common import load, sha256_hex
 
 
@@ -27,6 +27,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *base[:-1], F.expr(failed).alias("base_failed"), "kept")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(load(spark, sf_dir, "documents"))
+
+
 def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search.quantised(load(spark, sf_dir, "embeddings"))
     return search.top_k(rows.filter("s_id % 50 = 0"), rows, 5)
@@ -75,16 +79,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_ngrams": op3_ngrams,
     "op2_quality": op2_quality,
+    "op4_jaccard": op4_jaccard,
     "op5_search": op5_search,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {

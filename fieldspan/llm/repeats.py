@@ -114,7 +114,7 @@ def ranges(shape: Shape, sym: np.ndarray, start: np.ndarray, end: np.ndarray) ->
 
 
 # Packed arrays: columns by byte planes, which the shuffle's compression likes.
-_KINDS = {"key": (np.uint64, 6), "more": (np.uint64, 6), "doc": (np.int64, 8), "at": (np.int64, 5), "size": (np.uint8, 1), "tail": (np.uint16, 2)}
+_KINDS = {"group": (np.int64, 8), "key": (np.uint64, 6), "more": (np.uint64, 6), "doc": (np.int64, 8), "at": (np.int64, 5), "size": (np.uint8, 1), "tail": (np.uint16, 2)}
 
 
 def packed(cols: dict[str, np.ndarray]) -> bytes:
