@@ -11,17 +11,28 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import sys
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Distinct words held at once by a task.
-CACHE = 200_000
+#: Distinct runs between white space, and distinct words, held at once by a task.
+CACHE = 400_000
 #: Stands for the end of a word inside token strings.
 END = "\0"
 NEVER = np.int64(1) << 40
+# Below this code point, but for one letter whose small form is two characters, letters
+# and digits are the same in every Unicode version and composition changes nothing.
+NO_RANK = 1 << 40
+_SIMPLE = [c for c in map(chr, range(0x21, 0x180)) if c != "\u0130" and unicodedata.category(c)[0] not in "CZ"]
+_LETTERS, _DIGITS = ("".join(re.escape(c) for c in _SIMPLE if unicodedata.category(c)[0] == k) for k in "LN")
+_ALL_SIMPLE = re.compile("[" + "".join(map(re.escape, _SIMPLE)) + "]*")
+_SIMPLE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 
 
 class WordBPE:
@@ -45,7 +56,14 @@ class WordBPE:
             self.bytes[i] = t.encode()
         inner = lambda t: t[: -len(self.suffix)] + END if t.endswith(self.suffix) and len(t) > len(self.suffix) else t
         self.ids = {inner(t): i for t, i in model["vocab"].items()}
-        self.longest = max(map(len, self.ids))
+        self.longest: dict[str, int] = {}
+        for t in self.ids:
+            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
+        pattern = parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._simple = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and [n["type"] for n in parsed["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        shown = [b for b in range(256) if unicodedata.category(chr(b))[0] not in "CZ" and b != 0xAD]
+        hidden = [b for b in range(256) if b not in shown]
+        self._bytes = {b: chr(256 + i) for i, b in enumerate(hidden)}
         n = max(self.text) + 1
         pairs, left, right, rank = [], np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -63,6 +81,7 @@ class WordBPE:
         self._keys, self._ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self._whole = self._self_consistent()
         self.cache: dict[bytes, bytes] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank at which tokens a and b would merge; NEVER for no such merge."""
@@ -106,10 +125,15 @@ class WordBPE:
         return ok
 
     def greedy(self, word: str) -> list[int] | None:
+        ids, longest = self.ids, self.longest
+        if (t := ids.get(word + END)) is not None:
+            return [t]
         word, out, at = word + END, [], 0
-        while at < len(word):
-            for to in range(min(len(word), at + self.longest), at, -1):
-                if (t := self.ids.get(word[at:to])) is not None and word[at:to] != END:
+        end = len(word)
+        while at < end:
+            two = word[at : at + 2]
+            for to in range(min(end, at + longest.get(two, 1)), at, -1):
+                if (t := ids.get(word[at:to])) is not None:
                     out.append(t)
                     at = to
                     break
@@ -118,8 +142,29 @@ class WordBPE:
         return out
 
     def exact(self, word: str) -> list[int]:
-        """Merging by rank, leftmost first, over a linked list of pieces."""
-        piece = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + END]]
+        """Merging by rank, leftmost first."""
+        piece = [self.ids[c] for c in word[:-1]]
+        piece.append(self.ids[word[-1] + END])
+        return self._merge_short(piece) if len(piece) <= 40 else self._merge_long(piece)
+
+    def _merge_short(self, piece: list[int]) -> list[int]:
+        get, none = self.merges.get, (NO_RANK, -1)
+        found = [get(p, none) for p in zip(piece, piece[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best is none or best[0] == NO_RANK:
+                break
+            i = found.index(best)
+            piece[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((piece[i - 1], piece[i]), none)
+            if i < len(found):
+                found[i] = get((piece[i], piece[i + 1]), none)
+        return piece
+
+    def _merge_long(self, piece: list[int]) -> list[int]:
+        """The same over a heap of pairs and a linked list of pieces."""
         n = len(piece)
         ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, piece[i], piece[i + 1]) for i in range(n - 1) if (m := self.merges.get((piece[i], piece[i + 1])))]
@@ -157,28 +202,46 @@ class WordBPE:
             if s in chunk:
                 parts = [self._pieces(p) for p in chunk.split(s)]
                 return [x for k, p in enumerate(parts) for x in ([i] if k else []) + p]
-        return [p for p, _ in self._split(self._normal(chunk.decode()))] if chunk else []
+        text = chunk.decode()
+        if self._simple and _ALL_SIMPLE.fullmatch(text):
+            text = text.lower()
+            if text.isascii():
+                return [text] if text.isalpha() else _SIMPLE_WORDS.findall(text)
+            found = [text] if text.isalpha() else _SIMPLE_WORDS.findall(text)
+            return [w.encode().decode("latin-1").translate(self._bytes) for w in found]
+        return [p for p, _ in self._split(self._normal(text))] if text else []
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian 32-bit integers."""
         out = []
-        for text in texts:
-            chunks = text.split()
-            fresh = [c for c in set(chunks) if c not in self.cache]
-            if fresh:
-                if len(self.cache) + len(fresh) > CACHE:
-                    self.cache.clear()
-                    fresh = list(set(chunks))
-                self._learn(fresh)
-            out.append(b"".join(map(self.cache.__getitem__, chunks)))
+        split = [t.split() for t in texts]
+        # about as many texts at a time as bring some thousands of new words to verify
+        for lo in range(0, len(split), 100):
+            part = split[lo : lo + 100]
+            every = {c for chunks in part for c in chunks}
+            fresh = [c for c in every if c not in self.cache]
+            if len(self.cache) + len(fresh) > CACHE:
+                self.cache.clear()
+                fresh = list(every)
+            if len(self.known) > CACHE:
+                self.known.clear()
+            self._learn(fresh)
+            get = self.cache.__getitem__
+            out += [b"".join(map(get, chunks)) for chunks in part]
         return out
 
     def _learn(self, chunks: list[bytes]) -> None:
         pieces = [self._pieces(c) for c in chunks]
-        words = list(dict.fromkeys(p for ps in pieces for p in ps if isinstance(p, str)))
-        known = dict(zip(words, self.words(words), strict=True))
+        known = self.known
+        fresh = list(dict.fromkeys(p for ps in pieces for p in ps if isinstance(p, str) and p not in known))
+        known.update(zip(fresh, map(tuple, self.words(fresh)), strict=True))
         for c, ps in zip(chunks, pieces, strict=True):
-            self.cache[c] = np.array([t for p in ps for t in ([p] if isinstance(p, int) else known[p])], "<u4").tobytes()
+            ids = array("I")
+            for p in ps:
+                ids.extend((p,) if isinstance(p, int) else known[p])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.cache[c] = ids.tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The tokens' strings joined by a space: the file names no decoder."""
