@@ -412,7 +412,7 @@ def latest_mean(spark, sf_dir):
 
 @query("""select page_id as id, 'it''s ' || page_id::varchar as name from pages""")
 def embedded_json(spark, sf_dir):
-    rows = F.concat(F.lit("<script>const sites = '[{\"id\": "), "page_id", F.lit(', "name": "it\\\\\'s '), "page_id", F.lit("\"}]';</script>"))
+    rows = F.concat(F.lit("<script>const sites = '[{\"id\": "), "page_id", F.lit(", \"name\": \"it\\'s "), "page_id", F.lit("\"}]';</script>"))
     pages = load(spark, sf_dir, "pages").select(F.concat("html", rows).alias("html"))
     return catalogs.sites_from_page(pages, "sites", "id bigint, name string")
 

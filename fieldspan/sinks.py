@@ -25,7 +25,7 @@ def flat(df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, drop: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """A CSV table with a header."""
-    flat(df, drop).write.mode(mode).csv(path, header=True)
+    flat(df, drop).write.mode(mode).option("escape", "\"").csv(path, header=True)
 
 
 def union_records(frames: Sequence[DataFrame]) -> DataFrame:
