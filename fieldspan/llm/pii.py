@@ -44,8 +44,8 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"t rlike '[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]'", IP_OK, 0.6, 0.3, "ip|host|server|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "t rlike '[0-9](?:[ -]?[0-9]){15}'", f"length({DIGITS}) between 16 and 19 and case when length({DIGITS}) between 16 and 19 then {LUHN} else false end", 0.8, 0.2, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "instr(t, '+') > 0", f"length({DIGITS}) between 8 and 15", 0.7, 0.2, "phone|tel|call|mobile"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "t rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'", MOD97, 0.8, 0.2, "iban|bank|account|konto", False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "t rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", "m not rlike '^(000|666|9)' and m not rlike '^...-00|-0000$'", 0.4, 0.5, "ssn|social security", False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)", "t rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'", MOD97, 0.8, 0.2, "iban|bank|account|konto", False),
+    Kind("ssn", r"[0-9-]++", "t rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", "m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' and m not rlike '^(000|666|9)' and m not rlike '^...-00|-0000$'", 0.4, 0.5, "ssn|social security", False),
 )
 #: Score from which a span of the added kinds counts, and characters of context.
 LEAST, NEAR = 0.75, 40
@@ -59,7 +59,7 @@ def _spans(kind: Kind) -> str:
     found = f"regexp_extract_all(t, '{q(rf'\G([\s\S]*?)({kind.find})')}', 2)"
     walk = f"""aggregate(arrays_zip({pieces}, {found}), struct(0 as at, cast(array() as array<struct<s: int, e: int, m: string>>) as got),
         (a, x) -> struct(a.at + length(x.`0`) as at, concat(a.got, array(struct(a.at + length(x.`0`) - length(x.`1`) as s, a.at + length(x.`0`) as e, x.`1` as m))) as got)).got"""
-    near = f"lower(substr(t, greatest(x.s - {NEAR}, 0) + 1, least(x.s, {NEAR}))) rlike '(?<![a-z])(?:{kind.context})'"
+    near = f"lower(substr(t, greatest(x.s - {NEAR}, 0) + 1, least(x.s, {NEAR}))) rlike '(^|[^a-z])({kind.context})'"
     valid = f"filter({walk}, x -> transform(array(x.m), m -> {kind.valid})[0])"
     scored = f"transform({valid}, x -> struct('{kind.name}' as kind, x.s as lo, x.e as hi, {kind.prior}D + case when {near} then {kind.bonus}D else 0D end as score))"
     if not kind.base:

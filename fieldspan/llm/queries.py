@@ -99,7 +99,89 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_SQL_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_SQL_LUHN = f"""list_sum(list_transform(range(1, len({_SQL_DIGITS}) + 1), lambda i: case when i % 2 = 1 then reverse({_SQL_DIGITS})[i]::int
+    when reverse({_SQL_DIGITS})[i]::int > 4 then 2 * reverse({_SQL_DIGITS})[i]::int - 9 else 2 * reverse({_SQL_DIGITS})[i]::int end)) % 10 = 0"""
+_SQL_MOD97 = """list_reduce(list_prepend(0, list_transform(string_split(replace(x, ' ', '')[5:] || replace(x, ' ', '')[1:4], ''),
+    lambda c: case when c between '0' and '9' then c::int else ascii(c) - 55 end)), lambda a, v: case when v < 10 then (a * 10 + v) % 97 else (a * 100 + v) % 97 end) = 1"""
+_SQL_VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(x, '.'), lambda p: len(regexp_replace(p, '^0+', '')) > 3 or try_cast(p as bigint) > 255)) = 0",
+    "card": f"len({_SQL_DIGITS}) between 16 and 19 and {_SQL_LUHN}",
+    "phone": f"len({_SQL_DIGITS}) between 8 and 15",
+    "iban": _SQL_MOD97,
+    "ssn": "regexp_full_match(x, '[0-9]{3}-[0-9]{2}-[0-9]{4}') and not regexp_matches(x, '^(000|666|9)') and not regexp_matches(x, '^...-00|-0000$')",
+}
+# The base patterns, as the operator has them but for look-behind and
+# possessive repeats, which change what is tried and not what is found.
+_SQL_FIND = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
+    "ssn": r"[0-9-]+",
+}
+
+
+def _pii_sql() -> str:
+    parts, names = [], [k.name for k in pii.KINDS]
+    for k in pii.KINDS:
+        find = f"(?s)(.*?)({_SQL_FIND[k.name]})"
+        score = "true" if k.base else f"""{k.prior} + case when regexp_matches(lower(substr(t, greatest(z[i] - len(m[i]) - {pii.NEAR}, 0) + 1,
+            least(z[i] - len(m[i]), {pii.NEAR}))), '(^|[^a-z])({k.context})') then {k.bonus} else 0 end >= {pii.LEAST}"""
+        valid = _SQL_VALID[k.name]
+        parts.append(f"""{k.name}_ as (select doc_id, list_transform(list_filter(range(1, len(m) + 1), lambda i: ok[i] and {score}),
+            lambda i: '{k.name}:' || (z[i] - len(m[i]))::varchar || ':' || z[i]::varchar) as {k.name} from (select doc_id, t, m,
+            list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda s: len(s)))::bigint) as z,
+            list_transform(m, lambda x: {valid}) as ok from (select doc_id, coalesce(text, '') as t,
+            regexp_extract_all(coalesce(text, ''), '{find}', 0) as p, regexp_extract_all(coalesce(text, ''), '{find}', 2) as m from documents)))""")
+    counts = ", ".join(f"len({n})::bigint as n_{n}" for n in names)
+    base = " || ".join(k.name for k in pii.KINDS if k.base)
+    joins = " ".join(f"join {n}_ using (doc_id)" for n in names[1:])
+    return f"""with {', '.join(parts)} select doc_id, {counts}, sha256(array_to_string({base}, ',')) as base_sha256,
+        array_to_string({' || '.join(names)}, ',') as spans from {names[0]}_ {joins}"""
+
+
 SQL: dict[str, str] = {
+    "op2_quality": f"""
+        with d as (select doc_id, coalesce(text, '') as t, {WORDS} as w from documents),
+        tri as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+        twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from tri) where n > 1),
+        rep as (select doc_id, count(distinct j)::bigint as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from twice) group by doc_id),
+        m as (select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as word_chars,
+            len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(rep.n, 0)::bigint as n_repeat_words,
+            list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as ls from d left join rep using (doc_id)),
+        n as (select *, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            {' or '.join(f'({r.reject})' for r in quality.BASE)} as base_failed,
+            not ({' or '.join(f'({r.reject})' for r in quality.BASE + quality.EXTRA)}) as kept from n""",
+    "op3_ngrams": f"""
+        with d as (select doc_id, {WORDS} as w from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
+        hit as (select doc_id, i from (select *, min(doc_id) over (partition by g) as f from win) where f < doc_id),
+        gone as (select distinct doc_id, unnest(range(i, i + 13)) as j from hit),
+        each as (select doc_id, unnest(range(1, len(w) + 1)) as j, unnest(w) as x from d),
+        kept as (select doc_id, string_agg(x, ' ' order by j) as k, count(*) as c from each left join gone using (doc_id, j) where gone.doc_id is null group by doc_id)
+        select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(c, 0))::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256
+        from d left join kept using (doc_id)""",
+    "op9_pii": _pii_sql(),
+    "op10_mixing": f"""
+        with d as (select doc_id, source, len({WORDS})::bigint as size, md5('mix:' || coalesce(doc_id::varchar, '')) as key from documents),
+        s as (select source, sum(size)::bigint as source_size, ([5.0, 2.0, 1.0])[(row_number() over (order by source is null, source) - 1) % 3 + 1]::double as w
+            from d group by source),
+        c as (select *, 2.0::double * source_size as cap, 1.5::double * sum(source_size) over () as total from s),
+        o as (select *, coalesce(sum(cap) over (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding), 0) as before,
+            sum(w) over (order by cap / w, source is null, source rows between current row and unbounded following) as rest from c),
+        k as (select *, cap * rest <= w * (total - before) as capped from o),
+        t as (select source, source_size, case when capped then cap else w * (total - coalesce(sum(cap) filter (where capped) over (), 0))
+            / sum(w) filter (where not capped) over () end as target from k),
+        r as (select d.*, source_size, target, floor(target)::bigint as budget, floor(target)::bigint // greatest(source_size, 1) as epochs,
+            coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+            from d join t on d.source is not distinct from t.source)
+        select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * greatest(source_size, 1) - start)))::bigint as taken from r""",
     "op5_search": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
