@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
+#: Bytes of text, or symbols, that a task holds as arrays at once.
+STEP = 1 << 19
 #: Odd multipliers of the polynomial hashes; two make 128 bits.
 BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 _SPACES = np.zeros(256, bool)
@@ -111,3 +117,11 @@ def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     if lo < len(sizes):
         out.append((lo, len(sizes)))
     return out
+
+
+def small(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about STEP bytes of text, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in slices(sizes, STEP):
+            yield batch.slice(lo, hi - lo)

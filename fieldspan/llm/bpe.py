@@ -21,20 +21,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Distinct runs between white space, and distinct words, held at once by a task.
-CACHE = 400_000
+CACHE = 250_000
 #: Stands for the end of a word inside token strings.
 END = "\0"
 NEVER = np.int64(1) << 40
+NO_RANK = 1 << 40
 # Below this code point, but for one letter whose small form is two characters, letters
 # and digits are the same in every Unicode version and composition changes nothing.
-NO_RANK = 1 << 40
 _SIMPLE = [c for c in map(chr, range(0x21, 0x180)) if c != "\u0130" and unicodedata.category(c)[0] not in "CZ"]
 _LETTERS, _DIGITS = ("".join(re.escape(c) for c in _SIMPLE if unicodedata.category(c)[0] == k) for k in "LN")
 _ALL_SIMPLE = re.compile("[" + "".join(map(re.escape, _SIMPLE)) + "]*")
 _SIMPLE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 
 
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordBPE:
     """Encoder and decoder of a tokenizer file with word ends (``end_of_word_suffix``).
 
@@ -81,7 +90,7 @@ class WordBPE:
         self._keys, self._ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self._whole = self._self_consistent()
         self.cache: dict[bytes, bytes] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank at which tokens a and b would merge; NEVER for no such merge."""
@@ -234,14 +243,10 @@ class WordBPE:
         pieces = [self._pieces(c) for c in chunks]
         known = self.known
         fresh = list(dict.fromkeys(p for ps in pieces for p in ps if isinstance(p, str) and p not in known))
-        known.update(zip(fresh, map(tuple, self.words(fresh)), strict=True))
+        known.update(zip(fresh, map(_little, self.words(fresh)), strict=True))
         for c, ps in zip(chunks, pieces, strict=True):
-            ids = array("I")
-            for p in ps:
-                ids.extend((p,) if isinstance(p, int) else known[p])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            self.cache[c] = ids.tobytes()
+            parts = [_little([p]) if isinstance(p, int) else known[p] for p in ps]
+            self.cache[c] = parts[0] if len(parts) == 1 else b"".join(parts)
 
     def decode(self, ids: bytes) -> bytes:
         """The tokens' strings joined by a space: the file names no decoder."""
@@ -270,6 +275,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", digests: boo
     """
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "token_ids"]

@@ -27,17 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
-    A later loss of executors re-reads the table in place of recomputing it.
+    A later loss of executors re-reads the table in place of recomputing it. ``parts``:
+    the files it goes to at most, for tables far smaller than what they come from.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Rows pass to Python in Arrow batches of at most ``size`` bytes from now on.
+
+    Long texts would else fill buffers of 64 MB a task, outside Spark's memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

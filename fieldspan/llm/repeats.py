@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BASES, BYTES, U, grams, joined, mixed, sliding_min, slices, word_hashes, words
-from .common import written
+from .arrays import BASES, BYTES, STEP, U, grams, joined, mixed, sliding_min, slices, small, word_hashes, words
+from .common import small_batches, written
 
-#: Symbols hashed at once and postings packed at once, which bound a task's memory.
-STEP, PACK = 1 << 20, 1 << 20
+#: Postings packed at once, which with STEP bounds a task's memory.
+PACK = 1 << 19
 #: Bytes of text whose postings share a bucket of the exchange.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Ranges are cut so that a mark fits: start << 9 | length << 1 | open.
@@ -204,7 +204,7 @@ def _range_postings(shape: Shape, buckets: int):
                 known = _packed_marks(doc[again], _own(at[again], size[again], False), buckets)
                 yield _with_nulls(known)
 
-        for batch in batches:
+        for batch in small(batches, "rep_text"):
             ids, texts, ok = _texts(batch)
             for lo, hi in slices(np.array([len(t) if o else 0 for t, o in zip(texts, ok, strict=True)], np.int64), STEP):
                 part = [t if o else b"" for t, o in zip(texts[lo:hi], ok[lo:hi], strict=True)]
@@ -284,7 +284,7 @@ def _window_postings(shape: Shape, buckets: int):
             if again.any():
                 yield _with_nulls(_packed_marks(doc[again], _own(at[again], np.ones(again.sum(), np.int64), False), buckets))
 
-        for batch in batches:
+        for batch in small(batches, "rep_text"):
             states = batch.column("rep_marks").to_pylist()
             rows = [(i, m) for i, ms in enumerate(states) if ms and len(m := np.array([x for x in ms if x & 1], np.int64))]
             if not rows:
@@ -339,6 +339,7 @@ def repeated_windows(docs: DataFrame, shape: Shape, id_col: str, text_col: str)
     The result has every row of ``docs`` with rep_id, rep_text and the marks of its
     repeated windows, to be read with ``covered``. Rows with a null id repeat nothing.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("rep_text"))
     total = base.agg(F.sum(F.octet_length("rep_text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)

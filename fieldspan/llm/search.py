@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Rows of a shard, of a leaf and of a block of queries.
 SHARD, LEAF, BLOCK = 4096, 128, 256
@@ -112,6 +112,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     one block, the shards move once, and each query block goes to every shard, which is
     the stated search of all queries against all rows. Scores are exact below 2**53.
     """
+    small_batches(rows.sparkSession)
     n = rows.count()
     shards = max(1, -(-n // SHARD))
     place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "s_id"), F.lit(shards)).cast("long")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .arrays import small
 from .repeats import Shape, covered, repeated_windows
 
 
@@ -43,7 +44,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, q: int = 25, id_col: st
     shape = Shape(length, q, by_word=False, within=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "rep_text"):
             out = []
             for rid, text, marks in _rows(batch):
                 gone = covered(shape, len(text), *marks)
@@ -78,7 +79,7 @@ def dedup_ngrams(docs: DataFrame, n: int = 13, q: int = 5, id_col: str = "doc_id
     shape = Shape(n, q, by_word=True, within=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "rep_text"):
             out = []
             for rid, text, marks in _rows(batch):
                 parts = text.split()

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BASES, BYTES, grams, joined, mixed, slices, word_hashes, words
+from .arrays import BASES, BYTES, STEP, grams, joined, mixed, slices, small, word_hashes, words
+from .common import small_batches
 
 #: Labelled rows at most that a model is fitted on, the lowest in hash order.
 TRAIN_ROWS = 20_000
@@ -25,7 +26,6 @@ TERMS, LEAST_CHI, LEAST_ROWS = 1024, 30.0, 5
 FACTORS, EPOCHS, RATE, DECAY, SEED = 6, 60, 0.3, 1e-5, 7
 #: Besides words, every run of so many bytes inside a word is a term: insults inflect.
 GRAM = 4
-STEP = 1 << 20
 
 # Terms are runs of letters and digits; A-Z count as a-z, all bytes over 127 as letters.
 _SPACES = np.ones(256, bool)
@@ -102,6 +102,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     Terms are hashed and counted in Spark; what reaches the driver is the counts of
     TERMS terms and, for each row of the bounded sample, the indices of those terms.
     """
+    small_batches(labelled.sparkSession)
     some = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     some = some.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(key_col)).alias("o"), F.col(key_col).alias("k"))
     total, positive = some.agg(F.count(F.lit(1)), F.sum("y")).first()
@@ -109,7 +110,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         return Model(np.zeros(0, np.uint64), -20.0 if not positive else 20.0, np.zeros(0), np.zeros((0, FACTORS)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "t"):
             owner, h = _pairs(_binary(batch, "t"))
             y = batch.column("y").to_numpy()
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(y[owner].astype(np.int64))], names=["h", "y"])
@@ -122,7 +123,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     terms = np.sort(best["h"].to_numpy(np.int64).view(np.uint64))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "t"):
             texts = _binary(batch, "t")
             owner, at = _pairs(texts, terms)
             lists = np.split(at, np.searchsorted(owner, np.arange(1, len(texts))))
@@ -173,12 +174,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     docs = docs.drop(out_col) if out_col != text_col else docs
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, text_col):
             m, texts = shared.value, _binary(batch, text_col)
             owner, term = _pairs(texts, m.terms)
             z = m.score(owner, term, len(texts))

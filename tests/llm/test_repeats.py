@@ -69,7 +69,7 @@ def test_small_steps(spark, monkeypatch):
         shape = repeats.Shape(length, q, by_word, True)
         blobs = [(t or "").encode() for t in values]
         found = []
-        for step in (1 << 20, 700):
+        for step in (1 << 19, 700):
             monkeypatch.setattr(repeats, "STEP", step)
             sym, start, end = repeats.symbols(shape, blobs)
             rows = set()
