@@ -71,7 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.withColumn("mix_size", word_count(F.col(text_col))).withColumn("mix_key", key).withColumn("mix_source", F.col(source_col))
     slim = written(rows.select("mix_source", "mix_size", "mix_key"))
-    targets = written(source_targets(slim, weights, share, cap))
+    targets = written(source_targets(slim, weights, share, cap), 1)
 
     def ranged(df: DataFrame) -> DataFrame:
         t = targets.withColumnRenamed("mix_source", "t_source")

@@ -55,7 +55,7 @@ BASE = (
 EXTRA = (
     Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > n_words"),
     Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words or word_chars > 15 * n_words"),
-    Rule("duplicate_lines", ("n_lines", "n_dup_lines"), "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", ("n_lines", "n_dup_lines"), "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
 )
 
 
