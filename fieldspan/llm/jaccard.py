@@ -20,16 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import BASES, U, grams, joined, mixed, slices, word_hashes, words
-from .common import written
-from .repeats import BUCKET_BYTES, LEAST_BUCKETS, PACK, STEP, _blobs, _dealt, _texts, unpacked
+from .arrays import BASES, STEP, U, grams, joined, mixed, slices, small, word_hashes, words
+from .common import small_batches, written
+from .repeats import BUCKET_BYTES, LEAST_BUCKETS, PACK, _blobs, _dealt, _texts, unpacked
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Rows of a part of a min-hash group and of a block that is opened at once.
 PART, BLOCK = 512, 256
-#: Up to so many shingles a class counts all of them, above a fixed share of all hashes.
-SMALL, SHARE = 150, U((1 << 62) - 1)
+#: Share of all hashes that a class counts, by its number of shingles. Above 200 the
+#: shingles left out keep what it counts more than 6 deviations over what may be missing.
+SHARES = ((200, 1.0), (1000, 0.375), (float("inf"), 0.25))
+KEY = U((1 << 48) - 1)
+#: Classes whose links and labels share a file.
+NODES = 50_000
+#: Of the two min-hashes.
+SALTS = (0x5BF03635, 0x2545F491)
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +68,21 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(hashes)
 
 
-def _counted(n: np.ndarray, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which shingles take part in counts."""
-    return (n[owner] <= SMALL) | (h <= SHARE)
+def _limit(n: np.ndarray, shares) -> np.ndarray:
+    """Below which key a class of ``n`` shingles counts them."""
+    at = np.searchsorted(np.array([m for m, _ in shares], np.float64), n)
+    return np.array([int(s * (1 << 48)) for _, s in shares], np.uint64)[at]
+
+
+def _keys(n: np.ndarray, owner: np.ndarray, h: np.ndarray, percent: int, shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, keys, counted) of the shingles that take part.
+
+    A class counts shingles by its own size, but shows all that a smaller partner may
+    count: one of ``percent`` of its size.
+    """
+    key = mixed(h) & KEY
+    shown = np.flatnonzero(key < _limit(-(-n * percent // 100), shares)[owner])
+    return shown, key[shown], (key[shown] < _limit(n, shares)[owner[shown]]).astype(np.uint8)
 
 
 def _sums(n_texts: int, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,36 +103,37 @@ def _sets_of(batch: pa.RecordBatch, n: int):
     return ids, len(texts), owner, h, *_sums(len(texts), owner, h)
 
 
-def _slim(n: int):
+def _slim(n: int, percent: int, shares):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "rep_text"):
             _, texts, ok = _texts(batch)
             owner, h = shingles(texts, n)
             size, one, two = _sums(len(texts), owner, h)
-            counted = np.bincount(owner, _counted(size, owner, h), len(texts)).astype(np.int64)
+            shown, _, counted = _keys(size, owner, h, percent, shares)
+            counted = np.bincount(owner[shown], counted, len(texts)).astype(np.int64)
             cols = [batch.column("rep_id"), pa.array(size), pa.array(counted), pa.array(one), pa.array(two)]
             yield pa.record_batch(cols, names=["rep_id", "n", "counted", "one", "two"])
 
     return run
 
 
-def _class_postings(n: int, buckets: int):
+def _class_postings(n: int, buckets: int, percent: int, shares):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush():
-            key, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, own, counted = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((own, key))
-            key, own = key[order], own[order]
+            key, own, counted = key[order], own[order], counted[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-            yield _dealt({"key": key[new] & U((1 << 48) - 1), "doc": own[new]}, buckets)
+            yield _dealt({"key": key[new], "doc": own[new], "size": counted[new]}, buckets)
 
-        for batch in batches:
+        for batch in small(batches, "rep_text"):
             _, _, owner, h, size, one, _ = _sets_of(batch, n)
-            use = _counted(size, owner, h)
-            held.append((mixed(h[use]), one[owner[use]]))
+            shown, key, counted = _keys(size, owner, h, percent, shares)
+            held.append((key, one[owner[shown]], counted))
             if sum(len(x[0]) for x in held) >= PACK:
                 yield from flush()
         if held:
@@ -124,31 +143,31 @@ def _class_postings(n: int, buckets: int):
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    """Per class: how many of this bucket's shingles another class holds as well."""
-    c = unpacked(_blobs(table, "postings"), ("key", "doc"))
+    """Per class: how many of the shingles it counts here another class shows as well."""
+    c = unpacked(_blobs(table, "postings"), ("key", "doc", "size"))
     order = np.lexsort((c["doc"], c["key"]))
-    key, own = c["key"][order], c["doc"][order]
+    key, own, counted = c["key"][order], c["doc"][order], c["size"][order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-    key, own = key[new], own[new]
+    key, own, counted = key[new], own[new], counted[new]
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     token = np.cumsum(head) - 1
     several = np.bincount(token)[token] > 1 if len(key) else head
-    who, count = np.unique(own[several], return_counts=True)
+    who, count = np.unique(own[several & (counted > 0)], return_counts=True)
     return pa.table({"one": pa.array(who, pa.int64()), "shared": pa.array(count, pa.int64())})
 
 
 def _set_rows(n: int):
-    """(x, n, key, set): the whole sorted set and a min-hash of it."""
+    """(x, n, key, key2, set): the whole sorted set and two min-hashes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "rep_text"):
             ids, count, owner, h, size, _, _ = _sets_of(batch, n)
             begin = np.searchsorted(owner, np.arange(count + 1))
-            key = np.minimum.reduceat(mixed(h ^ U(0x5BF03635)), begin[:-1]) if len(h) else np.zeros(count, np.uint64)
+            keys = [np.minimum.reduceat(mixed(h ^ U(salt)), begin[:-1]).view(np.int64) if len(h) else np.zeros(count, np.int64) for salt in SALTS]
             sets = [h[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.record_batch([pa.array(ids), pa.array(size), pa.array(key.view(np.int64)), pa.array(sets, pa.binary())], names=["x", "n", "key", "set"])
+            yield pa.record_batch([pa.array(ids), pa.array(size), *map(pa.array, keys), pa.array(sets, pa.binary())], names=["x", "n", "key", "key2", "set"])
 
     return run
 
@@ -214,27 +233,25 @@ def _across(percent: int):
     return run
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
     """(x, c): for each x of ``nodes`` the least node that ``edges`` (u, v) reach from it.
 
-    Each pass hooks every component to its least neighbour, follows the hooks to their
-    ends by doubling, and renames; passes end when no edge joins two components.
+    Each pass hooks every component to its least neighbour, follows the hooks eight
+    steps by doubling, and renames; passes end when no edge joins two components.
+    ``parts``: files that the tables of nodes go to.
     """
-    comps = written(nodes.select("x", F.col("x").alias("c")))
-    edges = written(edges.select("u", "v"))
+    comps = nodes.select("x", F.col("x").alias("c"))
+    edges = written(edges.select("u", "v").filter("u <> v").distinct(), parts)
     while True:
         cu, cv = comps.toDF("u", "cu"), comps.toDF("v", "cv")
         live = edges.join(cu, "u").join(cv, "v").filter("cu <> cv").select(F.greatest("cu", "cv").alias("hi"), F.least("cu", "cv").alias("lo"))
-        hook = written(live.groupBy("hi").agg(F.min("lo").alias("lo")))
+        hook = written(live.groupBy("hi").agg(F.min("lo").alias("lo")), parts)
         if hook.isEmpty():
             return comps
-        while True:
-            on = hook.select(F.col("hi").alias("lo"), F.col("lo").alias("next"))
-            jumped = written(hook.join(on, "lo", "left").select("hi", F.coalesce("next", "lo").alias("lo"), F.col("next").isNotNull().alias("moved")))
-            hook = jumped.select("hi", "lo")
-            if jumped.filter("moved").isEmpty():
-                break
-        comps = written(comps.join(hook.withColumnRenamed("hi", "c"), "c", "left").select("x", F.coalesce("lo", "c").alias("c")))
+        for _ in range(3):
+            on = hook.toDF("lo", "next")
+            hook = hook.join(on, "lo", "left").select("hi", F.coalesce("next", "lo").alias("lo"))
+        comps = written(comps.join(hook.withColumnRenamed("hi", "c"), "c", "left").select("x", F.coalesce("lo", "c").alias("c")), parts)
 
 
 def _parted(rows: DataFrame, most: int) -> DataFrame:
@@ -244,34 +261,32 @@ def _parted(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("many") / most))).drop("many")
 
 
-def _tokens(buckets: int):
+def _tokens(buckets: int, percent: int, shares):
     """(shingle, class, group) postings of the token-group matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small(batches, "set"):
             sets, size = _sets(pa.table(batch)), batch.column("n").to_numpy()
             owner, h = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
-            use = _counted(size, owner, h)
-            x, c = batch.column("x").to_numpy()[owner[use]], batch.column("c").to_numpy()[owner[use]]
-            yield _dealt({"key": mixed(h[use]) & U((1 << 48) - 1), "doc": x, "group": c}, buckets)
+            shown, key, counted = _keys(size, owner, h, percent, shares)
+            x, c = batch.column("x").to_numpy()[owner[shown]], batch.column("c").to_numpy()[owner[shown]]
+            yield _dealt({"key": key, "doc": x, "group": c, "size": counted}, buckets)
 
     return run
 
 
 def _matrix(table: pa.Table) -> pa.Table:
-    """Shingles of several groups: (x, t, groups) for each class and (null, t, c)."""
-    c = unpacked(_blobs(table, "postings"), ("key", "doc", "group"))
+    """Shingles of several groups: (x, t, groups) where x counts t, and (null, t, c)."""
+    c = unpacked(_blobs(table, "postings"), ("key", "doc", "group", "size"))
     order = np.lexsort((c["group"], c["key"]))
-    key, x, group = (c[n][order] for n in ("key", "doc", "group"))
+    key, x, group, counted = (c[n][order] for n in ("key", "doc", "group", "size"))
     head, new = np.ones(len(key), bool), np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     new[1:] = head[1:] | (group[1:] != group[:-1])
     token = np.cumsum(head) - 1
     groups = np.bincount(token, new)[token].astype(np.int64) if len(key) else np.zeros(0, np.int64)
-    some = groups > 1
-    entry = some & new
+    entry = (groups > 1) & new
+    some = (groups > 1) & (counted > 0)
     t = key.astype(np.int64)
     return pa.table({
         "x": pa.concat_arrays([pa.array(x[some], pa.int64()), pa.nulls(int(entry.sum()), pa.int64())]),
@@ -290,58 +305,78 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     take no part and have a null component. Rows that share an id are one node. No
     link between different texts is lost; shingles are equal if their 64-bit hashes are.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("rep_text"))
-    slim = written(base.mapInArrow(_slim(n), "rep_id long, n long, counted long, one long, two long"))
+    # of n shingles at most `spare` may be missing from a partner
+    spare = F.expr(f"n - cast(ceil(n * {percent} / 100.0) as bigint)")
+    shares, kinds = SHARES, "rep_id long, n long, counted long, one long, two long"
+    slim = written(base.mapInArrow(_slim(n, percent, shares), kinds))
+    if not slim.filter((F.col("n") > 0) & (F.col("counted") <= spare)).isEmpty():
+        # a text whose counted shingles might all be missing from a partner: count all
+        shares = ((float("inf"), 1.0),)
+        slim = written(base.mapInArrow(_slim(n, percent, shares), kinds))
     total = base.agg(F.sum(F.octet_length("rep_text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)
     classes = slim.filter("n > 0 and rep_id is not null").groupBy("one", "two", "n").agg(F.min("rep_id").alias("x"), F.first("counted").alias("counted"))
-    shared = base.filter("rep_id is not null").mapInArrow(_class_postings(n, buckets), "bucket long, postings binary").groupBy("bucket").applyInArrow(_shared_counts, "one long, shared long")
+    shared = base.filter("rep_id is not null").mapInArrow(_class_postings(n, buckets, percent, shares), "bucket long, postings binary").groupBy("bucket").applyInArrow(_shared_counts, "one long, shared long")
     shared = shared.groupBy("one").agg(F.sum("shared").alias("shared"))
-    # of n shingles at most `spare` may be missing from a partner
-    spare = F.expr(f"n - cast(ceil(n * {percent} / 100.0) as bigint)")
     live = classes.join(shared, "one", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("counted") - spare)
-    live = written(live.select(F.col("x").alias("rep_id"), (spare + 1 - F.col("counted")).alias("owed")))
+    live = written(live.select(F.col("x").alias("rep_id"), "counted", spare.alias("spare")))
+    parts = -(-live.count() // NODES) or 1
     edges = [live.select(F.col("rep_id").alias("u"), F.col("rep_id").alias("v")).limit(0)]
-    sets = base.join(live.select("rep_id"), "rep_id", "left_semi").mapInArrow(_set_rows(n), "x long, n long, key long, set binary")
+    sets = base.join(live.select("rep_id"), "rep_id", "left_semi").mapInArrow(_set_rows(n), "x long, n long, key long, key2 long, set binary")
     sets = written(sets.dropDuplicates(["x"]))
-    # groups: parts of the classes with one min-hash, then their central classes again
+    # groups: parts of the classes with one min-hash, then their central classes again,
+    # which joins the parts of a hot min-hash, then those by another min-hash
     kind = "u long, v long"
-    near = _parted(sets.withColumn("c", F.col("x")), PART).groupBy("key", "part").applyInArrow(_within(percent), kind)
-    near = written(near)
-    edges.append(near)
-    comps = components(sets, near)
-    degree = near.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("degree"))
-    ranked = comps.join(degree, "x", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hubs = ranked.groupBy("c").agg(F.max_by("x", F.struct("degree", -F.col("x"))).alias("x"), F.count(F.lit(1)).alias("members"))
-    heads = _parted(sets.join(hubs.select("x", "c"), "x"), PART).groupBy("key", "part").applyInArrow(_within(percent), kind)
-    edges.append(written(heads))
-    comps = components(sets, reduce(DataFrame.union, edges))
-    # the matrix: a class with `owed` > 0 of its rarest shingles left to find opens groups
-    grouped = sets.join(comps, "x")
-    matrix = grouped.mapInArrow(_tokens(buckets), "bucket long, postings binary").groupBy("bucket").applyInArrow(_matrix, "x long, t long, g long")
+    edges.append(written(_parted(sets.drop("key2").withColumn("c", F.col("x")), PART).groupBy("key", "part").applyInArrow(_within(percent), kind).repartition(parts)))
+    comps = components(sets, edges[-1], parts)
+    for key in ("key", "key2"):
+        degree = reduce(DataFrame.union, edges).groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("degree"))
+        ranked = comps.join(degree, "x", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        hubs = ranked.groupBy("c").agg(F.max_by("x", F.struct("degree", -F.col("x"))).alias("x"))
+        heads = sets.select("x", "n", F.col(key).alias("key"), "set").join(hubs, "x")
+        edges.append(written(_parted(heads, PART).groupBy("key", "part").applyInArrow(_within(percent), kind).repartition(parts)))
+        comps = components(sets, reduce(DataFrame.union, edges), parts)
+    # the matrix. A class has `own` shingles that no other group holds: no partner in
+    # another group has them, so it is done if these are more than may be missing
+    grouped = sets.drop("key", "key2").join(comps, "x")
+    matrix = grouped.mapInArrow(_tokens(buckets, percent, shares), "bucket long, postings binary").groupBy("bucket").applyInArrow(_matrix, "x long, t long, g long")
     matrix = written(matrix)
-    sizes = written(comps.groupBy("c").agg(F.count(F.lit(1)).alias("members")))
-    rare = matrix.filter("x is not null").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("g", "t"))).alias("found"))
-    rare = rare.join(live.withColumnRenamed("rep_id", "x"), "x").withColumn("owed", F.col("owed") + F.size("found")).filter("owed > 0")
-    probes = rare.select("x", F.explode(F.slice("found", F.lit(1), F.col("owed").cast("int"))["t"]).alias("t"))
-    entries = matrix.filter("x is null").select("t", F.col("g").alias("to"))
-    own = comps.join(sizes, "c").select("x", "c", F.col("members").alias("own_members"))
-    other = sizes.select(F.col("c").alias("to"), "members")
-    asks = probes.join(entries, "t").select("x", "to").distinct().join(own, "x").join(other, "to")
-    # of two groups, the members of the smaller one ask
-    asks = asks.filter(F.struct("own_members", "c") < F.struct("members", "to")).select("x", "c", "to", "members")
-    asks = written(asks)
-    many = asks.groupBy("to").agg(F.count(F.lit(1)).alias("asking"), F.first("members").alias("members"))
-    many = many.select("to", F.ceil(F.col("members") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("chunks"))
+    found = matrix.filter("x is not null").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("g", "t"))).alias("found"))
+    able = found.join(live.withColumnRenamed("rep_id", "x"), "x").withColumn("own", F.col("counted") - F.size("found")).filter("own <= spare")
+    able = written(able.join(sets.select("x", "n"), "x").join(comps, "x"))
+    groups = able.groupBy("c").agg(F.min("own").alias("least_own"), F.max(F.col("n") - F.col("own")).alias("most_free"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count(F.lit(1)).alias("members"))
+    groups = written(groups, parts)
+    sized = able.join(groups.select("c", F.col("members").alias("own_members")), "c")
+    # of spare + 1 - own of its rarest shared shingles a partner's group holds one
+    rare = F.slice("found", F.lit(1), (F.col("spare") + 1 - F.col("own")).cast("int"))["t"]
+    probes = sized.select("x", "c", "n", "own", "own_members", F.explode(rare).alias("t"))
+    entries = matrix.filter("x is null").select("t", F.col("g").alias("to")).join(groups.withColumnRenamed("c", "to"), "to")
+    # of two groups, the members of the smaller one ask; sizes and own shingles of both
+    # bound what x and any member can share: at most n - own, of at least n + least_own
+    may = [
+        F.struct("own_members", "c") < F.struct("members", "to"),
+        100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least_own")),
+        100 * F.col("most_free") >= percent * (F.col("n") + F.col("least_own")),
+        100 * F.col("most_n") >= percent * F.col("n"),
+        100 * F.col("n") >= percent * F.col("least_n"),
+    ]
+    asks = probes.withColumnRenamed("t", "t_").join(entries, (F.col("t_") == F.col("t")) & reduce(lambda a, b: a & b, may))
+    allowed = F.floor((100 * (F.col("n") - F.col("own")) - percent * F.col("n")) / percent)
+    asks = written(asks.select("x", "c", "to", "members", allowed.alias("allowed")).distinct(), parts)
+    many = asks.groupBy("to").agg(F.count(F.lit(1)).alias("asking"), F.first("members").alias("members"), F.max("allowed").alias("allowed"))
+    many = many.select("to", "allowed", F.ceil(F.col("members") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("chunks"))
     each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
     place = lambda name: F.pmod(F.xxhash64("x"), F.col(name))
-    members = grouped.join(many, grouped["c"] == many["to"]).withColumn("block", place("blocks")).withColumn("chunk", each("chunks"))
-    asking = asks.select("x", "c", "to").join(sets, "x").join(many, "to").withColumn("chunk", place("chunks")).withColumn("block", each("blocks"))
+    members = able.select("x", "c", "own").join(many, (F.col("c") == F.col("to")) & (F.col("own") <= F.col("allowed")))
+    members = members.join(sets.select("x", "set"), "x").withColumn("block", place("blocks")).withColumn("chunk", each("chunks"))
+    asking = asks.select("x", "c", "to").join(sets.select("x", "set"), "x").join(many, "to").withColumn("chunk", place("chunks")).withColumn("block", each("blocks"))
     cols = ["to", "block", "chunk", "x", "c", "set"]
     left, right = members.select(*cols), asking.select(*cols).toDF("to_", "block_", "chunk_", "x", "c", "set")
     opened = left.groupBy("to", "block", "chunk").cogroup(right.groupBy("to_", "block_", "chunk_")).applyInArrow(_across(percent), kind)
-    edges.append(written(opened))
-    comps = components(sets, reduce(DataFrame.union, edges))
+    edges.append(written(opened.repartition(parts)))
+    comps = components(sets, reduce(DataFrame.union, edges), parts)
     # classes that no other can link with keep their own least id
     of = classes.join(comps, "x", "left").select("one", "two", "n", F.coalesce("c", "x").alias("least"))
     out = slim.join(of, ["one", "two", "n"], "left")

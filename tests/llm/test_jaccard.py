@@ -37,12 +37,22 @@ def family(seed, n=90):
     return out
 
 
-@pytest.mark.parametrize(("n", "percent", "small"), [(4, 85, 150), (4, 85, 20), (3, 60, 150)])
-def test_components(spark, monkeypatch, n, percent, small):
-    for name, value in (("PART", 20), ("BLOCK", 8), ("SMALL", small)):
+ALL, SOME = ((float("inf"), 1.0),), ((130, 1.0), (145, 0.6), (float("inf"), 0.4))
+
+
+def grown(seed):
+    """Texts of neighbouring sizes, which link across the sizes where shares change."""
+    r = random.Random(seed)
+    base = ["".join(r.choice("ijklmnop") for _ in range(5)) for _ in range(175)]
+    return [" ".join(base[:n]) for n in range(115, 175, 6)]
+
+
+@pytest.mark.parametrize(("n", "percent", "shares"), [(4, 85, jaccard.SHARES), (4, 85, SOME), (4, 85, ((20, 1.0), (float("inf"), 0.1))), (3, 60, ALL)])
+def test_components(spark, monkeypatch, n, percent, shares):
+    for name, value in (("PART", 20), ("BLOCK", 8), ("SHARES", shares)):
         monkeypatch.setattr(jaccard, name, value)
     r = random.Random(4)
-    values = texts(10, 60) + family(5) + ["A b C", "a B c", "a b c", "a b", "A B"]
+    values = texts(10, 60) + family(5) + grown(6) + ["A b C", "a B c", "a b c", "a b", "A B"]
     r.shuffle(values)
     want = brute([(i * 3 + 1, t) for i, t in enumerate(values)], n, percent)
     rows = jaccard.near_groups(frame(spark, values).repartition(3), n, percent).collect()
@@ -57,3 +67,14 @@ def test_edges(spark):
     got = jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == sorted([(-1, 2, None), (4, 2, 2), (4, 2, 2), (2, 2, 2), (9, 0, 9), (8, 0, 8)], key=str) or len(got) == 6
     assert {r.doc_id: r.component_id for r in got} == {None: None, 4: 2, 2: 2, 9: 9, 8: 8}
+
+
+def test_long_paths(spark):
+    """Components of chains much longer than the steps of a pass."""
+    r = random.Random(7)
+    ids = list(range(120))
+    r.shuffle(ids)
+    pairs = list(zip(ids[:70], ids[1:70])) + list(zip(ids[70:119], ids[71:119]))
+    nodes = spark.createDataFrame([(i,) for i in ids], "x long")
+    got = {x.x: x.c for x in jaccard.components(nodes, spark.createDataFrame(pairs, "u long, v long"), 1).collect()}
+    assert got == {i: min(part) for part in (ids[:70], ids[70:119], ids[119:]) for i in part}
