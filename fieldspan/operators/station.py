@@ -46,3 +46,8 @@ def status(stations: DataFrame, found: DataFrame, runs: DataFrame, trimmed: Data
         at(4, day("first_valid")).alias("start_date"), at(4, day("last_valid")).alias("end_date"), at(4, n_days).cast("long").alias("n_days"),
         at(6, F.col("max_depth") * 100).alias("max_depth_cm"), at(6, F.col("all_depths")).alias("depths"), at(6, name).alias("filename"),
     )
+
+
+def totals(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Stations per status and remark, over all or for each of ``by``."""
+    return table.groupBy(*by, "status", "remark").agg(F.count(F.lit(1)).alias("stations"))

@@ -218,18 +218,19 @@ def coverage(spark, sf_dir):
 
 
 def shipment_job(spark: SparkSession, sf_dir: str):
-    """Line items as raw observations of eight stations, one of them without data."""
+    """Line items as raw observations: station 0 is dense, 4 and 5 less so, 6 has no
+    surface sensors, 7 only bad flags, and 1 to 3 have no rows."""
     li, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part").select("p_partkey", "p_size")
-    k = F.col("l_suppkey") % 8
+    k = F.when(F.col("l_suppkey") % 8 < 4, 0).otherwise(F.col("l_suppkey") % 8)
     obs = li.join(part, li["l_partkey"] == part["p_partkey"]).select(
         k.cast("string").alias("station"), F.col("l_suppkey").cast("string").alias("sensor"), F.col("p_size").cast("double").alias("depth_to"),
         F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"), F.when(k == 7, "C01").otherwise("G").alias("flag"),
     ).filter((F.col("station") != "6") | (F.col("depth_to") > 10))
     stations = spark.range(8).select(F.col("id").cast("string").alias("station"), (F.col("id") * 1.5).alias("latitude"), (F.col("id") * 2.5).alias("longitude"))
-    return station_job(obs, stations, Limits(min_obs=1, max_gap_days=6, min_frac=0.2, min_days=600), BY)
+    return station_job(obs, stations, Limits(min_obs=1, max_gap_days=7, min_frac=0.2, min_days=400), BY)
 
 
-STATUS_SQL = f"""with obs as (select l_suppkey % 8 as k, cast(p_size as double) as depth, cast(l_shipdate as date) as day, l_shipdate as ts,
+STATUS_SQL = f"""with obs as (select case when l_suppkey % 8 < 4 then 0 else l_suppkey % 8 end as k, cast(p_size as double) as depth, cast(l_shipdate as date) as day, l_shipdate as ts,
         case when l_suppkey % 8 <> 7 then l_quantity end as x from lineitem join part on l_partkey = p_partkey
         where l_suppkey % 8 <> 6 or p_size > 10),
     a1 as (select cast(k as varchar) as station, depth, day, ts, avg(x) as v from obs group by all),
@@ -237,13 +238,13 @@ STATUS_SQL = f"""with obs as (select l_suppkey % 8 as k, cast(p_size as double)
     {DENSE_SQL},
     cm as (select *, case when max(depth) over (partition by station) <= 3 then depth * 100 else depth end as d from dense),
     series as (select station, {BIN_SQL.replace("depth", "d")} as depth, day, avg(case when n >= 1 then v end) as v from cm group by all),
-    {runs_sql('avail', 6)}, {SURFACE_SQL.format(frac=0.2)}, {fill_sql('trimmed')},
+    {runs_sql('avail', 7)}, {SURFACE_SQL.format(frac=0.2)}, {fill_sql('trimmed')},
     found as (select station, max(depth) as max_depth from held group by all),
     days as (select station, min(day) as a, max(day) as z, count(distinct day) as n_days from trimmed where v is not null group by all),
     fin as (select station, count(*) filter (where value is null) as bad, string_agg(distinct depth, ',' order by depth) as depths from filled group by all),
     st as (select cast(i as varchar) as station, i * 1.5::double as lat, i * 2.5::double as lon from range(8) r(i)),
     s as (select st.*, max_depth, a, z, coalesce(n_days, 0) as n_days, depths, case when found.station is null then 1 when w.station is null then 2
-        when coalesce(n_days, 0) < 600 then 4 when bad > 0 then 5 else 6 end as step
+        when coalesce(n_days, 0) < 400 then 4 when bad > 0 then 5 else 6 end as step
         from st left join found using (station) left join w using (station) left join days using (station) left join fin using (station))
     select station, case when step = 6 then 'saved' else 'skipped' end as status,
         case step when 1 then '{station.NO_DATA}' when 2 then '{station.NO_SURFACE}' when 4 then '{station.TOO_SHORT}'
@@ -260,6 +261,11 @@ def station_status(spark, sf_dir):
     return shipment_job(spark, sf_dir).status.withColumn("depths", F.concat_ws(",", "depths")).withColumn("depths", F.when(F.col("status") == "saved", F.col("depths")))
 
 
+@query(f"select status, remark, count(*)::bigint as stations from ({STATUS_SQL}) group by all")
+def status_totals(spark, sf_dir):
+    return station.totals(shipment_job(spark, sf_dir).status)
+
+
 @query(STATUS_SQL.rsplit("select station, case", 1)[0] + """select filled.station, depth, count(*)::bigint as n_days, count(*) filter (where value_qc = 1)::bigint as n_filled,
     round(avg(value), 6) as mean_value from filled join s using (station) where step = 6 group by all""")
 def saved_series(spark, sf_dir):
