@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from ..model import KEYS
 
 
-def fill_from_climatology(series: DataFrame, by: Sequence[str] = KEYS, flag: str = "value_qc", keep_flag: bool = True, per_depth: bool = False) -> DataFrame:
+def fill_from_climatology(series: DataFrame, by: Sequence[str] = KEYS, flag: str = "value_qc", keep_flag: bool = True, per_depth: bool = False, aligned: bool = False) -> DataFrame:
     """Missing values become the mean of their calendar day over the given rows.
 
     If 29 February has no mean at any depth of the station, its mean is that of the 28th,
     or of 1 March where the 28th has none at any depth either; with ``per_depth`` each
     depth is judged alone. ``flag`` is 0 observed, 1 filled, 2 still missing; an existing
     flag column is kept if ``keep_flag``, and the new one gets the suffix ``_gapfill``.
+    ``aligned``: the rows are already partitioned by ``by`` and need no exchange.
     """
     name = f"{flag}_gapfill" if flag in series.columns and keep_flag else flag
     station, one = W.partitionBy(*by), W.partitionBy(*by, "depth")
     scope = one if per_depth else station
     md = F.date_format("day", "MM-dd")
-    rows = series.repartition(*by).withColumn("md_", md)
+    rows = (series if aligned else series.repartition(*by)).withColumn("md_", md)
     rows = rows.withColumn("clim_", F.avg("value").over(W.partitionBy(*by, "depth", "md_")))
     on = lambda d: F.when(F.col("md_") == d, F.col("clim_"))
     known = lambda d: F.max(on(d)).over(scope).isNotNull()

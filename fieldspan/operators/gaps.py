@@ -21,7 +21,7 @@ def missing_days_per_year(series: DataFrame, by: Sequence[str] = KEYS) -> DataFr
     return series.groupBy(*by, "depth", F.year("day").cast("long").alias("year")).agg(missing.alias("missing_days"))
 
 
-def _islands(series: DataFrame, by: Sequence[str], state: str) -> DataFrame:
+def numbered_islands(series: DataFrame, by: Sequence[str], state: str) -> DataFrame:
     """``series`` plus ``island``: equal for neighbouring days of one state."""
     all_days = W.partitionBy(*by, "depth").orderBy("day")
     same = W.partitionBy(*by, "depth", state).orderBy("day")
@@ -30,7 +30,7 @@ def _islands(series: DataFrame, by: Sequence[str], state: str) -> DataFrame:
 
 def _longest(series: DataFrame, by: Sequence[str], state: str) -> DataFrame:
     """Per series the longest island where ``state`` holds, the first on ties."""
-    runs = _islands(series, by, state).groupBy(*by, "depth", state, "island").agg(F.count(F.lit(1)).alias("len"), F.min("day").alias("a"), F.max("day").alias("z"))
+    runs = numbered_islands(series, by, state).groupBy(*by, "depth", state, "island").agg(F.count(F.lit(1)).alias("len"), F.min("day").alias("a"), F.max("day").alias("z"))
     run = F.when(F.col(state), F.struct(F.col("len"), F.col("a"), F.col("z")))
     best = F.max_by(run, F.when(F.col(state), F.struct(F.col("len"), -F.unix_date("a"))))
     best = runs.groupBy(*by, "depth").agg(best.alias("r"))
@@ -45,7 +45,7 @@ def longest_missing_run(series: DataFrame, by: Sequence[str] = KEYS) -> DataFram
 def bridge_gaps(series: DataFrame, max_gap_days: int = 7, by: Sequence[str] = KEYS) -> DataFrame:
     """``series`` plus ``available``: a value, or in a missing run of at most
     ``max_gap_days`` days, at either end of the record as well. Values stay NULL."""
-    marked = _islands(series.withColumn("gone", F.col("value").isNull()), by, "gone")
+    marked = numbered_islands(series.withColumn("gone", F.col("value").isNull()), by, "gone")
     size = F.count(F.lit(1)).over(W.partitionBy(*by, "depth", "gone", "island"))
     return marked.withColumn("available", ~F.col("gone") | (size <= max_gap_days)).drop("gone", "island")
 

@@ -15,22 +15,21 @@ TOO_SHORT = "<1 year of valid daily data"
 STILL_NULL = "NaNs remain after gap-filling"
 
 
-def valid_days(trimmed: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """First, last and number of the days on which any depth has a value."""
-    valid = trimmed.filter(F.col("value").isNotNull())
-    return valid.groupBy(*by).agg(F.min("day").alias("first_valid"), F.max("day").alias("last_valid"), F.count_distinct("day").alias("n_days"))
-
-
-def status(stations: DataFrame, found: DataFrame, runs: DataFrame, trimmed: DataFrame, filled: DataFrame, by: Sequence[str] = KEYS, surface: str = "0-10", min_days: int = 365) -> DataFrame:
+def status(stations: DataFrame, found: DataFrame, marked: DataFrame, filled: DataFrame, by: Sequence[str] = KEYS, min_days: int = 365, flag: str = "value_qc") -> DataFrame:
     """The decision for each row of ``stations``; the first that holds counts.
 
-    ``found``: keys and max_depth of stations with any valid depth. ``runs``, ``trimmed``
-    and ``filled`` are the outputs of the earlier steps. Columns a decision does not
-    reach are NULL, as are the coordinates of a station without data.
+    ``found``: keys and max_depth of stations with any valid depth. ``marked``: the
+    series with its surface window. ``filled``: the trimmed and filled rows, whose
+    ``flag`` tells what was observed. Columns a decision does not reach are NULL, as
+    are the coordinates of a station without data.
     """
-    top = runs.filter((F.col("depth") == surface) & (F.col("run_days") > 0)).select(*by, F.lit(True).alias("has_surface"))
-    left = filled.groupBy(*by).agg(F.count_if(F.col("value").isNull()).alias("n_null"), F.array_sort(F.collect_set("depth")).alias("all_depths"))
-    s = stations.join(found.withColumn("has_data", F.lit(True)), list(by), "left").join(top, list(by), "left").join(valid_days(trimmed, by), list(by), "left").join(left, list(by), "left")
+    top = marked.groupBy(*by).agg(F.max(F.col("start").isNotNull()).alias("has_surface"))
+    seen = F.when(F.col(flag) == 0, F.col("day"))
+    rest = filled.groupBy(*by).agg(
+        F.min(seen).alias("first_valid"), F.max(seen).alias("last_valid"), F.size(F.collect_set(seen)).alias("n_days"),
+        F.count_if(F.col("value").isNull()).alias("n_null"), F.array_sort(F.collect_set("depth")).alias("all_depths"),
+    )
+    s = stations.join(found.withColumn("has_data", F.lit(True)), list(by), "left").join(top.filter("has_surface"), list(by), "left").join(rest, list(by), "left")
     n_days = F.coalesce("n_days", F.lit(0))
     step = (
         F.when(F.col("has_data").isNull(), 1).when(F.col("has_surface").isNull(), 2).when(n_days < min_days, 4).when(F.col("n_null") > 0, 5).otherwise(6)

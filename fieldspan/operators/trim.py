@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import KEYS
+from .gaps import bridge_gaps, numbered_islands
 
 
 def common_period(runs: DataFrame, min_frac: float = 0.95, by: Sequence[str] = KEYS) -> DataFrame:
@@ -30,6 +31,28 @@ def trim_to_surface_window(series: DataFrame, runs: DataFrame, min_frac: float =
     """All depths inside the surface depth's longest run, its last day left out; depths
     with values on fewer than ``min_frac`` of those days go, the surface depth too."""
     window = runs.filter((F.col("depth") == surface) & (F.col("run_days") > 0)).select(*by, F.col("run_start").alias("start"), F.col("run_end").alias("end"))
-    inside = series.join(window, list(by)).filter((F.col("day") >= F.col("start")) & (F.col("day") < F.col("end"))).drop("start", "end")
+    return inside_surface_window(series.join(window, list(by)), min_frac, by)
+
+
+def mark_surface_window(series: DataFrame, max_gap_days: int = 7, surface: str = "0-10", by: Sequence[str] = KEYS) -> DataFrame:
+    """``series`` plus ``start`` and ``end``: the surface depth's longest available run.
+
+    As ``longest_available_run`` and a join would give, but over windows of the station
+    only. Both are NULL for a station without such a run.
+    """
+    marked = numbered_islands(bridge_gaps(series, max_gap_days, by), by, "available")
+    run = W.partitionBy(*by, "depth", "available", "island")
+    first, last, size = F.min("day").over(run), F.max("day").over(run), F.count(F.lit(1)).over(run)
+    marked = marked.select("*", size.alias("len_"), first.alias("a_"), last.alias("z_"))
+    one = F.struct(F.col("len_"), -F.unix_date("a_"), F.col("a_").alias("a"), F.col("z_").alias("z"))
+    best = F.max(F.when((F.col("depth") == surface) & F.col("available"), one)).over(W.partitionBy(*by))
+    marked = marked.withColumn("best_", best)
+    return marked.select("*", F.col("best_.a").alias("start"), F.col("best_.z").alias("end")).drop("available", "island", "len_", "a_", "z_", "best_")
+
+
+def inside_surface_window(marked: DataFrame, min_frac: float = 0.95, by: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of a marked series from ``start`` to before ``end``, of depths with values on
+    ``min_frac`` of those days."""
+    inside = marked.filter((F.col("day") >= F.col("start")) & (F.col("day") < F.col("end"))).drop("start", "end")
     share = F.avg(F.col("value").isNotNull().cast("double")).over(W.partitionBy(*by, "depth"))
     return inside.withColumn("share", share).filter(F.col("share") >= min_frac).drop("share")

@@ -47,9 +47,12 @@ def station_job(obs: DataFrame, stations: DataFrame, limits: Limits = Limits(),
     found = kept.groupBy(*by).agg(F.max("depth").alias("max_depth"))
     dense = resample.require_count(resample.densify(kept, by), limits.min_obs)
     series = depth.mean_by_bin(depth.to_cm(dense, by), by)
+    # from here to the status every step is a window or a sum over the station's rows,
+    # which the exchange of the daily rows has brought together
+    marked = trim.mark_surface_window(series, limits.max_gap_days, limits.surface, by)
+    trimmed = trim.inside_surface_window(marked, limits.min_frac, by)
+    filled = fill.fill_from_climatology(trimmed, by, aligned=True)
+    table = station.status(stations, found, marked, filled, by, limits.min_days)
     runs = gaps.longest_available_run(series, limits.max_gap_days, by)
-    trimmed = trim.trim_to_surface_window(series, runs, limits.min_frac, limits.surface, by)
-    filled = fill.fill_from_climatology(trimmed, by)
-    table = station.status(stations, found, runs, trimmed, filled, by, limits.surface, limits.min_days)
     saved = filled.join(table.filter("status = 'saved'").select(*by, "filename"), list(by))
     return StationJob(series, runs, trimmed, filled, table, saved)
