@@ -1 +1 @@
-"""Part of the sensor-series engine; see README."""
+"""Sensor-series, catalogue, attribute and text operators."""

@@ -1 +1 @@
-"""Part of the sensor-series engine; see README."""
+"""Whole jobs, and queries over the test tables with their SQL."""

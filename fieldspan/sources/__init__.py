@@ -1 +1 @@
-"""Part of the sensor-series engine; see README."""
+"""Readers: measurement files, archives, catalogues, spreadsheets, reports."""

@@ -1 +1 @@
-"""Part of the sensor-series engine; see README."""
+"""Operators that follow a stream."""
