@@ -17,7 +17,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import BASES, STEP, U, grams, joined, mixed, slices, small, word_hashes, words
@@ -346,30 +345,40 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     found = matrix.filter("x is not null").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("g", "t"))).alias("found"))
     able = found.join(live.withColumnRenamed("rep_id", "x"), "x").withColumn("own", F.col("counted") - F.size("found")).filter("own <= spare")
     able = written(able.join(sets.select("x", "n"), "x").join(comps, "x"))
-    groups = able.groupBy("c").agg(F.min("own").alias("least_own"), F.max(F.col("n") - F.col("own")).alias("most_free"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count(F.lit(1)).alias("members"))
-    groups = written(groups, parts)
-    sized = able.join(groups.select("c", F.col("members").alias("own_members")), "c")
+    # targets: small groups of one min-hash share a bundle, large ones have their own
+    sized = able.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
+    sized = sized.join(sets.select(F.col("x").alias("c"), "key"), "c")
+    sized = sized.join(sized.groupBy("key").agg(F.sum("members").alias("total")), "key")
+    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("total") / BLOCK))
+    bundle = F.when(F.col("members") > BLOCK // 4, F.xxhash64("c")).otherwise(F.xxhash64("key", part))
+    sized = written(sized.select("c", "members", bundle.alias("to")), parts)
+    able = able.join(sized, "c")
+    targets = able.groupBy("to").agg(
+        F.min("own").alias("least_own"), F.max(F.col("n") - F.col("own")).alias("most_free"), F.min("n").alias("least_n"), F.max("n").alias("most_n"),
+        F.max(F.struct("members", "c")).alias("largest"), F.count(F.lit(1)).alias("held"),
+    )
+    targets = written(targets, parts)
     # of spare + 1 - own of its rarest shared shingles a partner's group holds one
     rare = F.slice("found", F.lit(1), (F.col("spare") + 1 - F.col("own")).cast("int"))["t"]
-    probes = sized.select("x", "c", "n", "own", "own_members", F.explode(rare).alias("t"))
-    entries = matrix.filter("x is null").select("t", F.col("g").alias("to")).join(groups.withColumnRenamed("c", "to"), "to")
+    probes = able.select("x", "c", "n", "own", "members", F.explode(rare).alias("t_"))
+    entries = matrix.filter("x is null").select("t", F.col("g").alias("c")).join(sized.select("c", "to"), "c").select("t", "to").distinct().join(targets, "to")
     # of two groups, the members of the smaller one ask; sizes and own shingles of both
     # bound what x and any member can share: at most n - own, of at least n + least_own
     may = [
-        F.struct("own_members", "c") < F.struct("members", "to"),
+        F.struct("members", "c") < F.col("largest"),
         100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least_own")),
         100 * F.col("most_free") >= percent * (F.col("n") + F.col("least_own")),
         100 * F.col("most_n") >= percent * F.col("n"),
         100 * F.col("n") >= percent * F.col("least_n"),
     ]
-    asks = probes.withColumnRenamed("t", "t_").join(entries, (F.col("t_") == F.col("t")) & reduce(lambda a, b: a & b, may))
+    asks = probes.join(entries, (F.col("t_") == F.col("t")) & reduce(lambda a, b: a & b, may))
     allowed = F.floor((100 * (F.col("n") - F.col("own")) - percent * F.col("n")) / percent)
-    asks = written(asks.select("x", "c", "to", "members", allowed.alias("allowed")).distinct(), parts)
-    many = asks.groupBy("to").agg(F.count(F.lit(1)).alias("asking"), F.first("members").alias("members"), F.max("allowed").alias("allowed"))
-    many = many.select("to", "allowed", F.ceil(F.col("members") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("chunks"))
+    asks = written(asks.select("x", "c", "to", "held", allowed.alias("allowed")).distinct())
+    many = asks.groupBy("to").agg(F.count(F.lit(1)).alias("asking"), F.first("held").alias("held"), F.max("allowed").alias("allowed"))
+    many = many.select("to", "allowed", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("chunks"))
     each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
     place = lambda name: F.pmod(F.xxhash64("x"), F.col(name))
-    members = able.select("x", "c", "own").join(many, (F.col("c") == F.col("to")) & (F.col("own") <= F.col("allowed")))
+    members = able.select("x", "c", "own", "to").join(many, "to").filter(F.col("own") <= F.col("allowed"))
     members = members.join(sets.select("x", "set"), "x").withColumn("block", place("blocks")).withColumn("chunk", each("chunks"))
     asking = asks.select("x", "c", "to").join(sets.select("x", "set"), "x").join(many, "to").withColumn("chunk", place("chunks")).withColumn("block", each("blocks"))
     cols = ["to", "block", "chunk", "x", "c", "set"]
