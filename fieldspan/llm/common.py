@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,15 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests in local mode) a folder is made.
+    Only in local mode, where that setting may be absent, a folder is made.
     """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldspan-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
