@@ -325,18 +325,19 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     edges = [live.select(F.col("rep_id").alias("u"), F.col("rep_id").alias("v")).limit(0)]
     sets = base.join(live.select("rep_id"), "rep_id", "left_semi").mapInArrow(_set_rows(n), "x long, n long, key long, key2 long, set binary")
     sets = written(sets.dropDuplicates(["x"]))
-    # groups: parts of the classes with one min-hash, then their central classes again,
-    # which joins the parts of a hot min-hash, then those by another min-hash
+    # groups: parts of the classes with one min-hash, then their central classes by either
+    # of two min-hashes, which also joins the parts of a hot one
     kind = "u long, v long"
     edges.append(written(_parted(sets.drop("key2").withColumn("c", F.col("x")), PART).groupBy("key", "part").applyInArrow(_within(percent), kind).repartition(parts)))
     comps = components(sets, edges[-1], parts)
+    degree = edges[-1].groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("degree"))
+    ranked = comps.join(degree, "x", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = ranked.groupBy("c").agg(F.max_by("x", F.struct("degree", -F.col("x"))).alias("x"))
+    hubs = written(hubs, parts)
     for key in ("key", "key2"):
-        degree = reduce(DataFrame.union, edges).groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("degree"))
-        ranked = comps.join(degree, "x", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        hubs = ranked.groupBy("c").agg(F.max_by("x", F.struct("degree", -F.col("x"))).alias("x"))
         heads = sets.select("x", "n", F.col(key).alias("key"), "set").join(hubs, "x")
         edges.append(written(_parted(heads, PART).groupBy("key", "part").applyInArrow(_within(percent), kind).repartition(parts)))
-        comps = components(sets, reduce(DataFrame.union, edges), parts)
+    comps = components(sets, reduce(DataFrame.union, edges), parts)
     # the matrix. A class has `own` shingles that no other group holds: no partner in
     # another group has them, so it is done if these are more than may be missing
     grouped = sets.drop("key", "key2").join(comps, "x")
