@@ -9,14 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # What a sensor row, a code, a triple and the heights look like.
-NUMBER = r"-?\d+\.?\d*"
-SENSOR_ROW = rf"({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+(SWC|TS)_\d+_\d+_\d+\s*$"
+SENSOR_ROW = r"(-?\d+\.?\d*)\s+(-?\d+\.?\d*)\s+(-?\d+\.?\d*)\s+(SWC|TS)_\d+_\d+_\d+\s*$"
 CODE = r"(SWC|TS)_\d+_\d+_\d+"
-TRIPLE = rf"(?:(?<=\s)|^)({NUMBER})\s+({NUMBER})\s+({NUMBER})"
+TRIPLE = r"(?:(?<=\s)|^)(-?\d+\.?\d*)\s+(-?\d+\.?\d*)\s+(-?\d+\.?\d*)"
 HEIGHT = r"HEIGHT\s*\(m\)\s+([\d.]+)"
 CANOPY = r"(?i)(?:canopy|tree|vegetation|stand)\s+height[^0-9]*?([\d.]+)\s*m"
 #: What ends a line, beside a line feed.
-BREAKS = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
+BREAKS = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
 DEEPEST, SHALLOWEST = -3.0, -0.001
 
 
