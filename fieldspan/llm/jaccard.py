@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import BASES, STEP, U, grams, joined, mixed, slices, small, word_hashes, words
 from .common import small_batches, written
-from .repeats import BUCKET_BYTES, LEAST_BUCKETS, PACK, _blobs, _dealt, _texts, unpacked
+from .repeats import BUCKET_BYTES, LEAST_BUCKETS, PACK, _blobs, _dealt, _packed_marks, _texts, _with_nulls, unpacked
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -117,6 +117,14 @@ def _slim(n: int, percent: int, shares):
 
 
 def _class_postings(n: int, buckets: int, percent: int, shares):
+    """(bucket, postings, known): who shows which shingle, and per class how many of the
+    shingles it counts are known to be shared and not posted.
+
+    A shingle that three classes or more of a task hold is shared whatever other tasks
+    hold: two of the classes are posted for it and the others know. So a bucket gets at
+    most two postings a flush of a shingle that a third of the corpus holds.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -127,7 +135,13 @@ def _class_postings(n: int, buckets: int, percent: int, shares):
             key, own, counted = key[order], own[order], counted[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-            yield _dealt({"key": key[new], "doc": own[new], "size": counted[new]}, buckets)
+            key, own, counted = key[new], own[new], counted[new]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            knows = np.arange(len(key)) - np.repeat(head, np.diff(np.append(head, len(key)))) > 1
+            who, at = np.unique(own, return_inverse=True)
+            known = np.bincount(at, counted * knows, len(who)).astype(np.int64)
+            yield _with_nulls(_dealt({"key": key[~knows], "doc": own[~knows], "size": counted[~knows]}, buckets))
+            yield _with_nulls(_packed_marks(who, known, buckets))
 
         for batch in small(batches, "rep_text"):
             _, _, owner, h, size, one, _ = _sets_of(batch, n)
@@ -142,7 +156,14 @@ def _class_postings(n: int, buckets: int, percent: int, shares):
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    """Per class: how many of the shingles it counts here another class shows as well."""
+    """Per class: how many of the shingles it counts here another class shows as well, and
+    how many more are known. A text's shingles are posted or known within one flush, so
+    the least number known in any flush of the class's copies bounds those not posted.
+    """
+    least = unpacked(_blobs(table, "known"), ("doc", "at"))
+    sure, at = np.unique(least["doc"], return_inverse=True)
+    known = np.full(len(sure), np.iinfo(np.int64).max)
+    np.minimum.at(known, at, least["at"])
     c = unpacked(_blobs(table, "postings"), ("key", "doc", "size"))
     order = np.lexsort((c["doc"], c["key"]))
     key, own, counted = c["key"][order], c["doc"][order], c["size"][order]
@@ -154,7 +175,11 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     token = np.cumsum(head) - 1
     several = np.bincount(token)[token] > 1 if len(key) else head
     who, count = np.unique(own[several & (counted > 0)], return_counts=True)
-    return pa.table({"one": pa.array(who, pa.int64()), "shared": pa.array(count, pa.int64())})
+    return pa.table({
+        "one": pa.array(np.concatenate([who, sure]), pa.int64()),
+        "shared": pa.concat_arrays([pa.array(count, pa.int64()), pa.nulls(len(sure), pa.int64())]),
+        "known": pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(known, pa.int64())]),
+    })
 
 
 def _set_rows(n: int):
@@ -317,8 +342,9 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     total = base.agg(F.sum(F.octet_length("rep_text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)
     classes = slim.filter("n > 0 and rep_id is not null").groupBy("one", "two", "n").agg(F.min("rep_id").alias("x"), F.first("counted").alias("counted"))
-    shared = base.filter("rep_id is not null").mapInArrow(_class_postings(n, buckets, percent, shares), "bucket long, postings binary").groupBy("bucket").applyInArrow(_shared_counts, "one long, shared long")
-    shared = shared.groupBy("one").agg(F.sum("shared").alias("shared"))
+    postings = base.filter("rep_id is not null").mapInArrow(_class_postings(n, buckets, percent, shares), "bucket long, postings binary, known binary")
+    shared = postings.groupBy("bucket").applyInArrow(_shared_counts, "one long, shared long, known long")
+    shared = shared.groupBy("one").agg((F.coalesce(F.sum("shared"), F.lit(0)) + F.min("known")).alias("shared"))
     live = classes.join(shared, "one", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("counted") - spare)
     live = written(live.select(F.col("x").alias("rep_id"), "counted", spare.alias("spare")))
     parts = -(-live.count() // NODES) or 1
