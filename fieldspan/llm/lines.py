@@ -1,7 +1,8 @@
-"""Line dedup over content-defined chunks of lines, in DataFrame functions only.
+"""Line dedup in DataFrame functions only, over content-defined chunks or all passages.
 
 A rolling hash over the hashes of two neighbouring lines ends a chunk wherever it
 is 0 modulo ``spread``; a line put in or left out moves the boundaries near it only.
+``dedup_lines`` takes out whole chunks, ``dedup_runs`` every repeated passage.
 """
 
 from __future__ import annotations
@@ -77,3 +78,86 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = df.withColumn(text_col, F.when(F.col("ld_gone").isNull(), F.col(text_col)).otherwise(F.expr(kept)))
     df = df.withColumn("ld_lines_removed", F.coalesce(F.expr(lost), F.lit(0)).cast("long"))
     return df.select(*cols, "ld_lines_removed")
+
+
+#: Lines a window may need to reach ``LEAST_CHARS``: each has a character and a newline.
+WIDEST = LEAST_CHARS // 2 + 1
+_WORDY = r"[^\\x20\\x09-\\x0D]"
+
+
+def _slice(array: str, w: str) -> str:
+    """The part of ``array`` that the window ``w`` (its start times 64 plus its length) covers."""
+    return f"slice({array}, cast(shiftright({w}, 6) + 1 as int), cast({w} & 63 as int))"
+
+
+def _windows(docs: DataFrame, text_col: str) -> DataFrame:
+    """(ld_id, ld_w, ld_key): the least windows of each text's lines that may go.
+
+    From each line that is not blank, forwards and backwards, the fewest such lines that
+    are ``LEAST_LINES`` and hold ``LEAST_CHARS`` characters. What ends a window follows
+    from its lines alone, so equal passages have equal windows, and the windows inside a
+    passage of at least that size cover it.
+    """
+    reach = f"""aggregate(part, named_struct('t', -1, 'k', 0), (a, x) -> case when a.k >= {LEAST_LINES} and a.t >= {LEAST_CHARS} then a
+        else named_struct('t', a.t + 1 + x, 'k', a.k + 1) end, a -> case when a.k >= {LEAST_LINES} and a.t >= {LEAST_CHARS} then cast(a.k as bigint) end)"""
+    ahead = reach.replace("part", f"slice(l, i + 1, {WIDEST})")
+    back = reach.replace("part", f"reverse(slice(l, greatest(i - {WIDEST - 1}, 0) + 1, least(i + 1, {WIDEST})))")
+    find = f"""transform(array(filter(split(coalesce(`{text_col}`, ''), '\n'), x -> x rlike '{_WORDY}')), s ->
+        transform(array(transform(s, x -> xxhash64(x))), h -> transform(array(transform(s, x -> length(x))), l ->
+        transform(array(case when size(l) < {LEAST_LINES} then array() else filter(array_distinct(concat(
+            transform(sequence(0, size(l) - 1), i -> cast(i as bigint) * 64 + {ahead}),
+            transform(sequence(0, size(l) - 1), i -> transform(array({back}), k -> (i + 1 - k) * 64 + k)[0]))), w -> w is not null) end), c ->
+        transform(c, w -> named_struct('ld_w', w, 'ld_key', xxhash64({_slice("h", "w")}))))[0])[0])[0])[0]"""
+    return docs.select("ld_id", F.expr(find).alias("ld_all")).select("ld_id", F.inline("ld_all"))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(ld_id, ld_gone): the windows of each document's lines that stand earlier.
+
+    Earlier means under a smaller id, or further up in the same document without an
+    overlap. Counting goes by 64-bit hash; windows whose hash repeats are compared by the
+    SHA-256 of their lines, so no text moves but with its document.
+    """
+    slim = docs.select(F.col(id_col).alias("ld_id"), text_col)
+    found = _windows(slim, text_col)
+    keys = found.groupBy("ld_key").agg(F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1").select("ld_key")
+    again = found.join(keys, "ld_key", "left_semi").groupBy("ld_id").agg(F.collect_set(F.struct("ld_w", "ld_key")).alias("ld_some"))
+    again = written(again)
+    base = docs.select(id_col, text_col)
+    # null ids come before all others and must be compared too
+    held = base.join(again, base[id_col].eqNullSafe(again["ld_id"]))
+    sums = f"""transform(array(filter(split(coalesce(`{text_col}`, ''), '\n'), x -> x rlike '{_WORDY}')), s ->
+        transform(array(transform(s, x -> xxhash64(x))), h -> transform(filter(ld_some, c -> c.ld_key = xxhash64({_slice("h", "c.ld_w")})), c ->
+        named_struct('ld_w', c.ld_w, 'ld_key', c.ld_key, 'ld_sum', unhex(sha2(cast(array_join({_slice("s", "c.ld_w")}, '\n') as binary), 256)))))[0])[0]"""
+    parts = held.select("ld_id", F.expr(sums).alias("ld_all")).select("ld_id", F.inline("ld_all"))
+    model = parts.groupBy("ld_sum").agg(F.min(F.struct("ld_id", "ld_w")).alias("ld_first"), F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1").drop("ld_n")
+    apart = "ld_id > ld_first.ld_id or (ld_first.ld_id is null and ld_id is not null) or (ld_id = ld_first.ld_id and shiftright(ld_w, 6) >= shiftright(ld_first.ld_w, 6) + (ld_w & 63))"
+    gone = parts.join(model, "ld_sum").filter(apart)
+    return gone.groupBy("ld_id").agg(F.collect_set(F.struct("ld_w", "ld_key")).alias("ld_gone"))
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without repeated passages in ``text_col``, plus ``ld_lines_removed``.
+
+    A line goes if it lies in neighbouring lines, at least ``LEAST_LINES`` and
+    ``LEAST_CHARS`` characters with newlines, that stand earlier as neighbours. Blank
+    lines neither count nor part neighbours; they go with the line above, those at the
+    head with the first line. Ids, nulls and columns are dealt with as in ``dedup_lines``.
+    """
+    cols = [c for c in docs.columns if not c.startswith("ld_")]
+    docs = docs.select(*cols)
+    gone = repeated_windows(docs, id_col, text_col)
+    df = docs.join(gone, docs[id_col] == gone["ld_id"], "left").drop("ld_id")
+    # p: where the lines that are not blank stand; line u takes the blank ones below along
+    head, tail = "case when u = 0 then 0 else p[u] end", "case when u = size(p) - 1 then size(s) else p[u + 1] end"
+    out = f"""case when ld_gone is not null then transform(array(split(`{text_col}`, '\n')), s ->
+        transform(array(filter(sequence(0, size(s) - 1), i -> s[i] rlike '{_WORDY}')), p ->
+        transform(array(transform(p, i -> xxhash64(s[i]))), h ->
+        transform(array(array_except(case when size(p) = 0 then array() else sequence(0, size(p) - 1) end, flatten(transform(
+            filter(ld_gone, c -> c.ld_key = xxhash64({_slice("h", "c.ld_w")})),
+            c -> sequence(cast(shiftright(c.ld_w, 6) as int), cast(shiftright(c.ld_w, 6) + (c.ld_w & 63) - 1 as int)))))), k ->
+        case when size(k) < size(p) then named_struct('text', array_join(transform(k, u -> array_join(slice(s, {head} + 1, {tail} - {head}), '\n')), '\n'),
+            'lost', size(s) - aggregate(k, 0, (a, u) -> a + {tail} - {head})) end)[0])[0])[0])[0] end"""
+    df = df.withColumn("ld_out", F.expr(out))
+    df = df.withColumn(text_col, F.when(F.col("ld_out").isNull(), F.col(text_col)).otherwise(F.col("ld_out.text")))
+    return df.select(*cols, F.coalesce("ld_out.lost", F.lit(0)).cast("long").alias("ld_lines_removed"))

@@ -49,7 +49,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "ld_lines_removed", F.length("text").alias("kept_chars"), sha256_hex(F.col("text")).alias("kept_sha256"))
+    return lines.dedup_runs(docs).select("doc_id", "ld_lines_removed", F.length("text").alias("kept_chars"), sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
