@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspan.llm import bpe, jaccard, lines, mixing, toxicity
-from fieldspan.llm.common import load, written
+from fieldspan.llm.common import WORD, load, written
 from fieldspan.llm.queries import tokenizer_path, toxicity_model
 
 
@@ -52,9 +52,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """Of documents with one text the one of least id; null ids and blank texts stay.
+
+    Line dedup would leave fragments of copies, which no later stage knows for copies.
+    """
+    cols = docs.columns
+    worded = docs.filter(F.col("text").rlike(WORD) & F.col("doc_id").isNotNull())
+    key = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    sums = worded.select("doc_id", key.alias("copy_sum"))
+    least = sums.groupBy("copy_sum").agg(F.min("doc_id").alias("copy_least"), F.max("doc_id").alias("copy_last")).filter("copy_least < copy_last")
+    gone = written(sums.join(least, "copy_sum").filter("doc_id > copy_least").select("doc_id", "copy_sum").distinct())
+    return docs.withColumn("copy_sum", key).join(gone, ["doc_id", "copy_sum"], "left_anti").select(*cols)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; what a stage keeps is written before the next one reads it."""
-    docs = load(spark, sf_dir, "documents")
+    docs = drop_copies(load(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if i == 0 else written(docs), sf_dir)
     return docs
