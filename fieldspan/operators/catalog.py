@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import coerced
+from ..session import written
 
 # The columns of the two catalogues and the names used here.
 TOWER_NAMES = {
@@ -129,7 +130,9 @@ def inventory(objects: DataFrame, sites: DataFrame | None = None, year_range: tu
 
     ``objects``: station_uri, uri, time_start, time_end, ord (catalogue order). The site
     of an object is the id in its ``station_uri``; ``sites`` (SITE_ID) restricts and may
-    repeat an id. Years are distinct and inside the window.
+    repeat an id, each time with a row of its own; further columns of it, such as the
+    place in a request list, stay. Years are distinct and inside the window. A site's
+    row lists all its objects, so its length grows with them.
     """
     lo, hi = year_range or (0, 9999)
     objs = objects.withColumn("SITE_ID", id_of_uri(F.col("station_uri")))
@@ -145,7 +148,7 @@ def inventory(objects: DataFrame, sites: DataFrame | None = None, year_range: tu
     per = per.select("SITE_ID", F.size("YEARS").cast("long").alias("N_YEARS"), "YEARS", "DATA_OBJECTS")
     if min_years is not None:
         per = per.filter(F.col("N_YEARS") >= min_years)
-    return per if sites is None else sites.select("SITE_ID").join(per, "SITE_ID")
+    return per if sites is None else sites.join(per, "SITE_ID")
 
 
 def missing_ids(requested: DataFrame, received: DataFrame, key: str = "SITE_ID") -> DataFrame:
@@ -153,16 +156,24 @@ def missing_ids(requested: DataFrame, received: DataFrame, key: str = "SITE_ID")
     return requested.join(received.select(key).distinct(), key, "left_anti")
 
 
-def batches(ids: DataFrame, order: Sequence[str], size: int = 10, bits: int = 12) -> DataFrame:
+def batches(ids: DataFrame, order: Sequence[str], size: int = 10) -> DataFrame:
     """``ids`` plus ``batch``: 0 for the first ``size`` in order, 1 for the next, and so on.
 
-    Positions come from counts of ranges of the order, so that no task holds all rows.
+    Rows are put in ranges of the order, and numbered within a range while they are
+    written; the counts of the ranges ahead, one row for each, give the position. The
+    ranges are written before they are counted: two plans over one range exchange may
+    draw different bounds. Rows alike in ``order`` come in any order.
     """
-    parts = ids.repartitionByRange(*[F.col(c) for c in order]).withColumn("part_", F.spark_partition_id())
-    parts = parts.withColumn("in_", F.row_number().over(W.partitionBy("part_").orderBy(*order)))
-    count = parts.groupBy("part_").agg(F.max("in_").alias("n_"))
-    ahead = count.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead_"))
-    return parts.join(ahead, "part_").withColumn("batch", F.floor((F.col("ahead_") + F.col("in_") - 1) / size).cast("long")).drop("part_", "in_", "ahead_")
+    at, cols = "batch_at_", [F.col(c) for c in order]
+    ranged = ids.drop("batch").repartitionByRange(*cols).sortWithinPartitions(*cols)
+    held = written(ranged.withColumn(at, F.monotonically_increasing_id()))
+    part, row = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    count = held.groupBy(part.alias("batch_part_")).agg(F.count(F.lit(1)).alias("n_"))
+    ahead = F.coalesce(F.sum("n_").over(W.orderBy("batch_part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row per range, of which there are at most as many as shuffle partitions
+    ahead = count.select("batch_part_", ahead.alias("batch_ahead_"))
+    out = held.join(F.broadcast(ahead), part == F.col("batch_part_"))
+    return out.withColumn("batch", F.floor((F.col("batch_ahead_") + row) / size).cast("long")).drop(at, "batch_part_", "batch_ahead_")
 
 
 def download_plan(ids: DataFrame, existing: DataFrame | None = None, key: str = "SITE_ID", size: int = 10) -> DataFrame:
@@ -178,4 +189,4 @@ def newest(files: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, k: int = 100, seed: int = 42) -> DataFrame:
     """``k`` rows, the same ones for the same seed, whatever their order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)

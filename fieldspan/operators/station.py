@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEYS
 
+# The remarks of the decision table.
 NO_DATA = "no valid data after process_station"
 NO_SURFACE = "no surface run for 0-10 after removing long gaps"
 TOO_SHORT = "<1 year of valid daily data"

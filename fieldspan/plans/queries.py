@@ -351,20 +351,41 @@ def missing_ids(spark, sf_dir):
     return catalog.missing_ids(ids, had.select(F.col("o_custkey").alias("SITE_ID")))
 
 
-@query("select c_custkey as \"SITE_ID\", ((row_number() over (order by c_custkey) - 1) // 10)::bigint as batch from customer")
+@query("""select c_custkey as "SITE_ID", c_name as name, c_acctbal as balance, ((row_number() over (order by c_custkey) - 1) // 10)::bigint as batch from customer""")
 def batch_ids(spark, sf_dir):
-    return catalog.batches(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("SITE_ID")), ["SITE_ID"])
+    return catalog.batches(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("SITE_ID"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), ["SITE_ID"])
 
 
-@query("""select c_custkey as "SITE_ID", ((row_number() over (order by c_custkey) - 1) // 10)::bigint as batch from customer
+@query("""select c_custkey as "SITE_ID", c_name as name, ((row_number() over (order by c_custkey) - 1) // 10)::bigint as batch from customer
     where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')""")
 def download_plan(spark, sf_dir):
-    ids = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("SITE_ID"))
+    ids = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("SITE_ID"), F.col("c_name").alias("name"))
     have = load(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("SITE_ID"))
     return catalog.download_plan(ids, have)
 
 
-@query()
+@query("""with o as (select 'S-' || (o_custkey % 50)::varchar || '_1' as id, o_orderkey, least(o_orderdate, s) as a, greatest(o_orderdate, s) as z
+        from orders join (select l_orderkey, max(l_shipdate) as s from lineitem group by all) on o_orderkey = l_orderkey),
+    y as (select id, count(distinct y)::bigint as n, string_agg(distinct y::varchar, ',' order by y::varchar) as years
+        from (select id, unnest(generate_series(year(a), year(z))) as y from o) group by all),
+    r as (select c_custkey as request, 'S-' || (c_custkey % 70)::varchar || '_1' as id from customer)
+    select request, id as "SITE_ID", n as "N_YEARS", years as "YEARS" from r join y using (id)""")
+def requested_inventory(spark, sf_dir):
+    """A request list that repeats sites and names some without objects."""
+    asked = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"), F.concat(F.lit("S-"), F.col("c_custkey") % 70, F.lit("_1")).alias("SITE_ID"))
+    inv = catalog.inventory(objects(spark, sf_dir), asked)
+    return inv.select("request", "SITE_ID", "N_YEARS", F.concat_ws(",", F.col("YEARS").cast("array<string>")).alias("YEARS"))
+
+
+@query("""select 0 as spec, o_orderkey as object, o_totalprice as price from orders where o_orderstatus = 'F'
+    union all select 1, o_orderkey, null from orders where o_orderstatus = 'O'""")
+def linked_objects(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object"), F.col("o_totalprice").alias("price"), "o_orderstatus")
+    both = catalogs.link_objects([o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'").drop("price")])
+    return both.select(F.col("ord.spec").alias("spec"), "object", "price")
+
+
+@query("select c_custkey from customer order by md5('42:' || c_custkey::varchar), c_custkey limit 100")
 def seeded_sample(spark, sf_dir):
     return catalog.seeded_sample(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
@@ -429,36 +450,65 @@ def json_props(spark, sf_dir):
     return coerced(e, ["k", "absent"])
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as report lines, a report per brand."""
-    k, s = F.col("p_partkey"), F.col("p_size")
-    d = F.format_string("-%.2f", s / 100.0)
-    line = F.when(k % 4 == 0, F.concat(F.lit("probe x "), d, F.lit(" 2.5 3 SWC_1_1_1"))).when(k % 4 == 1, F.concat(F.lit("th "), d, F.lit(" 1 -2 TS_1_2_1 "))).when(k % 4 == 2, F.concat(F.lit("HEIGHT (m) "), s, F.lit(" 3"))).otherwise(F.concat(F.lit("the Canopy height is about "), s, F.lit(" m")))
-    rows = load(spark, sf_dir, "part").select(F.col("p_brand").alias("SITE_ID"), F.struct(k.alias("k"), line.alias("line")).alias("l"))
+#: Keys of parts in one report, so that reports grow in number and not in length.
+REPORT_KEYS = 500
+
+
+def reports(spark: SparkSession, sf_dir: str, line) -> DataFrame:
+    """Parts as report lines, a report per brand and range of keys."""
+    part = load(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    site = F.concat("p_brand", F.lit("/"), F.floor(k / REPORT_KEYS))
+    rows = part.select(site.alias("SITE_ID"), F.struct(k.alias("k"), line(k, F.col("p_size")).alias("line")).alias("l"))
     return rows.groupBy("SITE_ID").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
 
 
-@query("""with p as (select p_brand as id, p_partkey as k, p_size as s from part)
+def _depths(facts: DataFrame, *more: str) -> DataFrame:
+    text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda d: F.format_string("%.2f", d))), ",")
+    return facts.select("SITE_ID", text("SWC_DEPTHS_M").alias("swc"), text("TS_DEPTHS_M").alias("ts"), *more)
+
+
+@query(f"""with p as (select p_brand || '/' || (p_partkey // {REPORT_KEYS})::varchar as id, p_partkey as k, p_size as s from part)
     select id as "SITE_ID", coalesce(string_agg(distinct printf('-%.2f', s / 100.0), ',' order by printf('-%.2f', s / 100.0)) filter (where k % 4 = 0), '') as swc,
         coalesce(string_agg(distinct printf('-%.2f', s / 100.0), ',' order by printf('-%.2f', s / 100.0)) filter (where k % 4 = 1), '') as ts,
         arg_min(s, k) filter (where k % 4 = 2)::double as "MEASUREMENT_HEIGHT_M", arg_min(s, k) filter (where k % 4 = 3)::double as "CANOPY_HEIGHT_M"
     from p group by all""")
 def report_facts(spark, sf_dir):
-    text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda d: F.format_string("%.2f", d))), ",")
-    return extract.report_facts(reports(spark, sf_dir)).select("SITE_ID", text("SWC_DEPTHS_M").alias("swc"), text("TS_DEPTHS_M").alias("ts"), "MEASUREMENT_HEIGHT_M", "CANOPY_HEIGHT_M")
+    def line(k, s):
+        d = F.format_string("-%.2f", s / 100.0)
+        row, code = F.concat(F.lit("probe x "), d, F.lit(" 2.5 3 SWC_1_1_1")), F.concat(F.lit("th "), d, F.lit(" 1 -2 TS_1_2_1 "))
+        return F.when(k % 4 == 0, row).when(k % 4 == 1, code).when(k % 4 == 2, F.concat(F.lit("HEIGHT (m) "), s, F.lit(" 3"))).otherwise(F.concat(F.lit("the Canopy height is about "), s, F.lit(" m")))
+
+    return _depths(extract.report_facts(reports(spark, sf_dir, line)), "MEASUREMENT_HEIGHT_M", "CANOPY_HEIGHT_M")
+
+
+@query(f"""with p as (select p_brand || '/' || (p_partkey // {REPORT_KEYS})::varchar as id, p_partkey as k, case when p_partkey % 5 = 1 then -p_size / 100.0 end as own from part),
+    n as (select *, coalesce(lag(own) over w, own, lead(own, 1) over w, lead(own, 2) over w) as near from p window w as (partition by id order by k)),
+    d as (select *, printf('%.2f', near) as d from n where near is not null)
+    select id as "SITE_ID", coalesce(string_agg(distinct d, ',' order by d) filter (where k % 5 in (0, 3)), '') as swc,
+        coalesce(string_agg(distinct d, ',' order by d) filter (where k % 5 = 2), '') as ts
+    from (select distinct id from p) left join d using (id) group by all""")
+def nearby_depths(spark, sf_dir):
+    """Codes that take their depth from the lines around them, and codes inside prose."""
+
+    def line(k, s):
+        three = F.concat(F.format_string("-%.2f", s / 100.0), F.lit(" 2.5 3.5"))
+        return F.when(k % 5 == 0, "probe SWC_1_1_1").when(k % 5 == 1, three).when(k % 5 == 2, "TS_1_2_1 is here").when(k % 5 == 3, "both SWC_2_1_1 and TS_9_1_1, of which the first counts").otherwise("prose")
+
+    return _depths(extract.report_facts(reports(spark, sf_dir, line)))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents
-        where text not like '%' || chr(13) || '%')
-    select doc_id, line_no::integer as line_no, length(line)::integer as chars from l""")
+@query(r"""with l as (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x{000B}\x{000C}\x{001C}-\x{001E}\x{0085}\x{2028}\x{2029}]') as ls from documents),
+    k as (select doc_id, case when ls[-1] = '' then ls[:-2] else ls end as ls from l)
+    select doc_id, unnest(range(len(ls)))::integer as line_no, length(unnest(ls))::integer as chars from k""")
 def report_lines(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return extract.split_lines(docs, keep=["doc_id"]).select("doc_id", "line_no", F.length("line").alias("chars"))
 
 
-@query("""select c_custkey as id, c_name as name, null::double as balance from customer where c_custkey % 2 = 0
+@query("""select c_custkey as id, c_name as name, null::double as balance from customer
     union all select s_suppkey, s_name, s_acctbal from supplier""")
 def union_records(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     return sinks.union_records([c, s])

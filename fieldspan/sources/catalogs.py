@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..model import ATTRIBUTES
 
+#: Fixed value: how a page assigns an array to a constant.
+ARRAY_IN_SCRIPT = r"(?s)const\s+{0}\s*=\s*{1}(\[.*?\]){1}"
+
 
 def script_json(html: Column, variable: str) -> Column:
     """The JSON array that a page's script assigns to a constant; NULL for none.
@@ -16,7 +19,7 @@ def script_json(html: Column, variable: str) -> Column:
     Single quotes around it are tried first, then double quotes; quotes that the script
     escapes once become plain.
     """
-    pick = lambda q: F.nullif(F.regexp_extract(html, rf"(?s)const\s+{variable}\s*=\s*{q}(\[.*?\]){q}", 1), F.lit(""))
+    pick = lambda q: F.nullif(F.regexp_extract(html, ARRAY_IN_SCRIPT.format(variable, q), 1), F.lit(""))
     raw = F.coalesce(pick("'"), pick('"'))
     return F.regexp_replace(F.regexp_replace(raw, r'(?<!\\)\\"', '"'), r"(?<!\\)\\'", "'")
 

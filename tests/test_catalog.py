@@ -59,6 +59,23 @@ def test_batches_and_missing(spark):
     assert catalog.seeded_sample(ids, "SITE_ID", 7).collect() == catalog.seeded_sample(ids.repartition(2), "SITE_ID", 7).collect()
 
 
+def test_batches_at_size(spark):
+    """A million ids with other columns, whose pruning must not change the numbers."""
+    ids = spark.range(1_000_000).select(((F.col("id") * 7_919) % 1_000_000).alias("SITE_ID"), F.xxhash64("id").alias("a"), F.lit("x").alias("batch"))
+    got = catalog.batches(ids, ["SITE_ID"], 10)
+    assert got.columns == ["SITE_ID", "a", "batch"]
+    assert got.filter("batch <> SITE_ID div 10").count() == 0 and got.count() == 1_000_000
+    assert catalog.batches(ids.filter("false"), ["SITE_ID"]).count() == 0
+
+
+def test_seeded_sample_goes_by_md5(spark):
+    import hashlib
+
+    ids = spark.range(500).withColumnRenamed("id", "k")
+    want = sorted(range(500), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))[:9]
+    assert [r.k for r in catalog.seeded_sample(ids, "k", 9).collect()] == want
+
+
 def test_pivot_and_ranges(spark):
     kinds = "SITE_ID string, VARIABLE_GROUP string, GROUP_ID string, VARIABLE string, DATAVALUE string, ord long"
     rows = [("s", "g", "1", "A", "1", 0), ("s", "g", "1", "A", "2", 1), ("s", "g", "1", "B", "3", 2)]
