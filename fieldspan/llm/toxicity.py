@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BASES, BYTES, STEP, grams, joined, mixed, slices, small, word_hashes, words
-from .common import small_batches
+from .arrays import BASES, STEP, joined, loads, mixed, slices, small, word_hashes, words
+from .common import small_batches, written
 
 #: Labelled rows at most that a model is fitted on, the lowest in hash order.
 TRAIN_ROWS = 20_000
-#: Terms at most in a model: those whose label shares differ most (chi square).
-TERMS, LEAST_CHI, LEAST_ROWS = 1024, 30.0, 5
+#: Terms at most in a model: those whose label shares differ most (chi square), over all
+#: texts, and PARTNERS more over the texts that hold one of the first, where a word that
+#: says nothing alone, such as a group's name, may say much.
+TERMS, PARTNERS, LEAST_CHI, LEAST_ROWS = 1024, 16, 30.0, 5
 FACTORS, EPOCHS, RATE, DECAY, SEED = 6, 60, 0.3, 1e-5, 7
 #: Besides words, every run of so many bytes inside a word is a term: insults inflect.
 GRAM = 4
@@ -69,7 +71,7 @@ def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             np.cumsum(_SPACES[part], out=inside[1:])
             at = np.flatnonzero(inside[GRAM:] == inside[:-GRAM]) if len(part) >= GRAM else np.zeros(0, np.int64)
             owners.append(np.searchsorted(begin, at + a, "right") - 1 + done)
-            hashes.append(mixed(grams(BYTES[part], GRAM, BASES[1]))[at])
+            hashes.append(mixed(loads(part, GRAM)[at] + BASES[1]))
             i = j
         done += hi - lo
     return np.concatenate(owners), np.concatenate(hashes)
@@ -96,31 +98,67 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+def _bounded(some: DataFrame, rows: int) -> DataFrame:
+    """``rows`` rows at most, those of the lowest hashes ``o``; copies of a key beyond the
+    last whole hash are left out together."""
+    low = some.select("o").orderBy("o").limit(rows + 1).agg(F.count("o").alias("n"), F.max("o").alias("cut")).first()
+    return some if low.n <= rows else some.filter(F.col("o") < low.cut)
+
+
+def _telling(hashed: DataFrame, total: int, positive: int, most: int) -> np.ndarray:
+    """Sorted hashes of the terms that speak most for the label, from (h, y) rows."""
+    if not total or not positive or positive == total:
+        return np.zeros(0, np.uint64)
+    rate = positive / total
+    counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).filter(F.col("n") >= LEAST_ROWS)
+    chi = (F.col("p") - F.col("n") * rate) ** 2 / (F.col("n") * rate * (1 - rate) * (1 - F.col("n") / (total + 1)))
+    # only terms that speak for the label: clean passages beside an insult hide nothing
+    best = counts.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (F.col("p") > F.col("n") * rate)).orderBy(F.desc("chi"), "h").limit(most)
+    return np.sort(best.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on ``rows`` labelled rows at most (null labels and texts left out).
+    """Fit on ``rows`` labelled rows at most, the lowest in hash order of their key (null
+    labels and texts left out).
 
-    Terms are hashed and counted in Spark; what reaches the driver is the counts of
-    TERMS terms and, for each row of the bounded sample, the indices of those terms.
+    Terms are hashed and counted in Spark; what reaches the driver is TERMS + PARTNERS
+    terms and, for each row of the bounded sample, the indices of those it holds.
+    Repeated rows count each time; without rows of both labels the score is constant.
     """
+    terms, data = prepared(labelled, text_col, label_col, key_col, rows)
+    y = data["y"]
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(0, np.uint64), 20.0 if len(y) and y.min() else -20.0, np.zeros(0), np.zeros((0, FACTORS)))
+    return fit(terms, data)
+
+
+def prepared(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, pd.DataFrame]:
+    """The terms of a model, and (y, x) of each row: its label and its terms' indices."""
     small_batches(labelled.sparkSession)
     some = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    some = some.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(key_col)).alias("o"), F.col(key_col).alias("k"))
-    total, positive = some.agg(F.count(F.lit(1)), F.sum("y")).first()
-    if not total or not positive or positive == total:
-        return Model(np.zeros(0, np.uint64), -20.0 if not positive else 20.0, np.zeros(0), np.zeros((0, FACTORS)))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t"):
-            owner, h = _pairs(_binary(batch, "t"))
-            y = batch.column("y").to_numpy()
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(y[owner].astype(np.int64))], names=["h", "y"])
+    some = _bounded(some.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(key_col)).alias("o")), rows)
+
+    def hashed(beside: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small(batches, "t"):
+                owner, h = _pairs(_binary(batch, "t"))
+                y = batch.column("y").to_numpy().astype(np.int64)
+                if beside is not None:
+                    held = np.bincount(owner[np.isin(h, beside)], minlength=batch.num_rows) > 0
+                    keep = held[owner] & ~np.isin(h, beside)
+                    # a row of the texts themselves, for their number and labels
+                    yield pa.record_batch([pa.nulls(int(held.sum()), pa.int64()), pa.array(y[held])], names=["h", "y"])
+                    owner, h = owner[keep], h[keep]
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(y[owner])], names=["h", "y"])
+
+        return some.mapInArrow(run, "h long, y long")
 
-    counts = some.mapInArrow(hashed, "h long, y long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).filter(F.col("n") >= LEAST_ROWS)
-    rate = positive / total
-    chi = (F.col("p") - F.col("n") * rate) ** 2 / (F.col("n") * rate * (1 - rate) * (1 - F.col("n") / (total + 1)))
-    # only terms that speak for the label: clean passages beside an insult hide nothing
-    best = counts.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (F.col("p") > F.col("n") * rate)).orderBy(F.desc("chi"), "h").limit(TERMS).select("h").toPandas()
-    terms = np.sort(best["h"].to_numpy(np.int64).view(np.uint64))
+    total, positive = some.agg(F.count(F.lit(1)), F.sum("y")).first()
+    terms = _telling(hashed(None), total, positive or 0, TERMS)
+    if len(terms) and PARTNERS:
+        beside = written(hashed(terms))
+        total, positive = beside.filter("h is null").agg(F.count(F.lit(1)), F.sum("y")).first()
+        terms = np.sort(np.concatenate([terms, _telling(beside.filter("h is not null"), total, positive or 0, PARTNERS)]))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "t"):
@@ -129,8 +167,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
             lists = np.split(at, np.searchsorted(owner, np.arange(1, len(texts))))
             yield pa.record_batch([batch.column("y"), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["y", "x"])
 
-    data = some.mapInArrow(indexed, "y int, x array<int>").toPandas()
-    return _fit(terms, data)
+    return terms, some.mapInArrow(indexed, "y int, x array<int>").toPandas()
 
 
 def sampled(labels: DataFrame, key_col: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -138,25 +175,26 @@ def sampled(labels: DataFrame, key_col: str = "doc_id", rows: int = TRAIN_ROWS)
     return labels.orderBy(F.xxhash64(key_col), key_col).limit(rows)
 
 
-def _fit(terms: np.ndarray, data: pd.DataFrame) -> Model:
+def fit(terms: np.ndarray, data: pd.DataFrame, factors: int = FACTORS) -> Model:
     """Logistic loss by AdaGrad over whole batches; the order of rows has no bearing
-    but for rounding, as each step sums over a batch of fixed rows."""
+    but for rounding, as each step sums over a batch of fixed rows. Without ``factors``
+    the model is additive."""
     rng = np.random.default_rng(SEED)
     data = data.assign(k=[(tuple(x), y) for x, y in zip(data["x"], data["y"], strict=True)]).sort_values("k").drop(columns="k")
     lists, y = [np.asarray(x, np.int64) for x in data["x"]], data["y"].to_numpy(float)
-    model = Model(terms, float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), FACTORS)))
+    model = Model(terms, float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors)))
     order = rng.permutation(len(y))
-    gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), FACTORS), 1e-6), 1e-6
+    gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), factors), 1e-6), 1e-6
     for _ in range(EPOCHS if len(terms) else 0):
         for lo in range(0, len(y), 1000):
             rows = order[lo : lo + 1000]
             x = [lists[r] for r in rows]
             owner, term = np.repeat(np.arange(len(x)), [len(a) for a in x]), np.concatenate(x)
             slope = (model.score(owner, term, len(x)) - y[rows]) / len(x)
-            s = np.stack([np.bincount(owner, model.factor[term, f], len(x)) for f in range(FACTORS)], 1)
+            s = np.stack([np.bincount(owner, model.factor[term, f], len(x)) for f in range(factors)], 1) if factors else np.zeros((len(x), 0))
             dw = np.bincount(term, slope[owner], len(terms)) + DECAY * model.weight
             each = slope[owner, None] * (s[owner] - model.factor[term])
-            dv = np.stack([np.bincount(term, each[:, f], len(terms)) for f in range(FACTORS)], 1) + DECAY * model.factor
+            dv = np.stack([np.bincount(term, each[:, f], len(terms)) for f in range(factors)], 1) + DECAY * model.factor if factors else model.factor
             gw += dw * dw
             gv += dv * dv
             gb += slope.sum() ** 2

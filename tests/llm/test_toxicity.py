@@ -28,6 +28,62 @@ def test_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_pairs_say_more_than_sums(spark):
+    """Labels by an insult beside a group's name: an additive model of the same terms and
+    rows misses what the factorization machine finds."""
+
+    def rows(seed, n):
+        r = random.Random(seed)
+        out = []
+        for i in range(n):
+            a, b = r.random() < 0.4, r.random() < 0.4
+            w = ["".join(r.choice("abdehiknorst") for _ in range(5)) for _ in range(20)] + ["zzgrumfle"] * a + ["qqvalefolk"] * b
+            r.shuffle(w)
+            out.append((i + seed * 10_000, " ".join(w), int(a and b)))
+        return spark.createDataFrame(out, "doc_id long, text string, toxic int")
+
+    terms, data = tox.prepared(rows(3, 1500))
+    held = rows(4, 800)
+    right = {}
+    for name, factors in (("pairs", tox.FACTORS), ("sums", 0)):
+        got = tox.score(held, tox.fit(terms, data, factors)).collect()
+        right[name] = sum((r.score >= 0.5) == bool(r.toxic) for r in got) / len(got)
+        loss = -sum(np.log(r.score if r.toxic else 1 - r.score) for r in got) / len(got)
+        right[name + " loss"] = loss
+    assert right["pairs"] >= right["sums"] and right["pairs loss"] < 0.8 * right["sums loss"], right
+
+
+def test_neutral_partner_is_a_term(spark, monkeypatch):
+    """A word as frequent in clean texts as in toxic ones, but not beside the insult."""
+    r = random.Random(5)
+    out = []
+    for i in range(2000):
+        a = r.random() < 0.5
+        b = r.random() < 0.5
+        # without the insult the name stands in clean texts more often, which evens it out
+        w = ["".join(r.choice("abdehiknorst") for _ in range(5)) for _ in range(20)] + (["zzgrumfle"] * a + ["qqvalefolk"] * b)
+        out.append((i, " ".join(w), int(a and (b or r.random() < 0.2))))
+    data = spark.createDataFrame([*out, *[(5000 + i, "qqvalefolk and more " + str(i), 0) for i in range(4500)]], "doc_id long, text string, toxic int")
+    name = tox.terms_of([b"qqvalefolk"])[1][0]
+    assert name in tox.prepared(data)[0]
+    monkeypatch.setattr(tox, "PARTNERS", 0)
+    assert name not in tox.prepared(data)[0]
+
+
+def test_rows_bound_the_sample(spark):
+    df = spark.createDataFrame([(i % 50, f"text number {i}", i % 2) for i in range(400)], "doc_id long, text string, toxic int")
+    assert len(tox.prepared(df, rows=100)[1]) <= 100 and len(tox.prepared(df, rows=400)[1]) == 400
+
+
+def test_long_words_alike_modulo_powers_of_two():
+    from .test_repeats import morse
+
+    a, b = morse(1024)
+    _, h = tox.terms_of([a.encode(), b.encode()])
+    words = {int(tox.word_hashes(np.frombuffer(t.encode() + b" ", np.uint8), np.array([0]), np.array([1024]))[0]) for t in (a, b)}
+    assert len(words) == 2 and words <= set(h.tolist())
+
+
 def test_terms_match_plain_python():
     import re
 
