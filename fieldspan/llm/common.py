@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
+__all__ = ["SPACE", "WORD", "load", "sha256_hex", "small_batches", "word_count", "written"]
+
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
-
-    Only in local mode, where that setting may be absent, a folder is made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldspan-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage.
-
-    A later loss of executors re-reads the table in place of recomputing it. ``parts``:
-    the files it goes to at most, for tables far smaller than what they come from.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Rows pass to Python in Arrow batches of at most ``size`` bytes from now on.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import BASES, STEP, U, grams, joined, mixed, slices, small, word_hashes, words
 from .common import small_batches, written
-from .repeats import BUCKET_BYTES, LEAST_BUCKETS, PACK, _blobs, _dealt, _packed_marks, _texts, _with_nulls, unpacked
+from .repeats import BUCKET_BYTES, LEAST_BUCKETS, PACK, _blobs, _dealt, _packed_marks, _texts, _with_nulls, dealt, unpacked
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -160,10 +160,10 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     how many more are known. A text's shingles are posted or known within one flush, so
     the least number known in any flush of the class's copies bounds those not posted.
     """
-    least = unpacked(_blobs(table, "known"), ("doc", "at"))
+    least = unpacked(_blobs(table, "known"), ("doc", "wide"))
     sure, at = np.unique(least["doc"], return_inverse=True)
     known = np.full(len(sure), np.iinfo(np.int64).max)
-    np.minimum.at(known, at, least["at"])
+    np.minimum.at(known, at, least["wide"])
     c = unpacked(_blobs(table, "postings"), ("key", "doc", "size"))
     order = np.lexsort((c["doc"], c["key"]))
     key, own, counted = c["key"][order], c["doc"][order], c["size"][order]
@@ -343,7 +343,7 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)
     classes = slim.filter("n > 0 and rep_id is not null").groupBy("one", "two", "n").agg(F.min("rep_id").alias("x"), F.first("counted").alias("counted"))
     postings = base.filter("rep_id is not null").mapInArrow(_class_postings(n, buckets, percent, shares), "bucket long, postings binary, known binary")
-    shared = postings.groupBy("bucket").applyInArrow(_shared_counts, "one long, shared long, known long")
+    shared = dealt(postings, buckets).groupBy("bucket").applyInArrow(_shared_counts, "one long, shared long, known long")
     shared = shared.groupBy("one").agg((F.coalesce(F.sum("shared"), F.lit(0)) + F.min("known")).alias("shared"))
     live = classes.join(shared, "one", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("counted") - spare)
     live = written(live.select(F.col("x").alias("rep_id"), "counted", spare.alias("spare")))
@@ -367,7 +367,7 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     # the matrix. A class has `own` shingles that no other group holds: no partner in
     # another group has them, so it is done if these are more than may be missing
     grouped = sets.drop("key", "key2").join(comps, "x")
-    matrix = grouped.mapInArrow(_tokens(buckets, percent, shares), "bucket long, postings binary").groupBy("bucket").applyInArrow(_matrix, "x long, t long, g long")
+    matrix = dealt(grouped.mapInArrow(_tokens(buckets, percent, shares), "bucket long, postings binary"), buckets).groupBy("bucket").applyInArrow(_matrix, "x long, t long, g long")
     matrix = written(matrix)
     found = matrix.filter("x is not null").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("g", "t"))).alias("found"))
     able = found.join(live.withColumnRenamed("rep_id", "x"), "x").withColumn("own", F.col("counted") - F.size("found")).filter("own <= spare")

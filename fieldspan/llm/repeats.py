@@ -10,12 +10,16 @@ consecutive symbols of one document. Work goes in three steps:
    stand nowhere else.
 2. Inside a bucket, postings are sorted by the identifier of the whole range, then by
    place. Ranges equal to an earlier one are decided: all their windows repeat.
-3. Only the first ranges of buckets that hold several different ranges stay open.
-   Their windows are bucketed one by one by their own identifiers.
+3. Only the first ranges of buckets that hold several different ranges stay open. For
+   bytes their text goes to the bucket, where ``suffixes`` refines all its suffixes by
+   bucket pointers. Windows of words, and of q-grams that too many ranges hold, are
+   bucketed one by one by their own identifiers.
 
 Postings travel as packed arrays, one per task and bucket, and equal ranges of a task
 travel once, so that a passage which a third of the corpus shares costs each bucket one
-posting a task. No step pairs up the members of a bucket.
+posting a task. Of a q-gram that a task finds in very many different ranges a few are
+posted, which is enough to leave all of them open. No step pairs up the members of a
+bucket.
 """
 
 from __future__ import annotations
@@ -28,14 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BASES, BYTES, STEP, U, grams, joined, mixed, sliding_min, slices, small, word_hashes, words
+from .arrays import BASES, STEP, U, byte_ids, grams, joined, mixed, sliding_min, slices, small, word_hashes, words
 from .common import small_batches, written
+from .suffixes import bucket_pointers
 
 #: Postings packed at once, which with STEP bounds a task's memory.
 PACK = 1 << 19
-#: Bytes of text whose postings share a bucket of the exchange.
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
-#: Ranges are cut so that a mark fits: start << 9 | length << 1 | open.
+#: Bytes of text whose postings share a bucket of the exchange; buckets at least, and
+#: partitions at most, each of which takes its buckets one after the other.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_PARTS = 8 << 20, 16, 1 << 16
+#: Bytes of open text, or of postings of open windows, that share a bucket.
+OPEN_BYTES = 4 << 20
+#: Ranges that hold one q-gram from which their windows are bucketed one by one.
+HOT = 20_000
+#: Ranges are cut so that a mark fits: start << 10 | length << 2 | hot << 1 | open.
 WIDE = 200
 
 
@@ -51,6 +61,11 @@ class Shape:
     by_word: bool
     within: bool
 
+    def ids(self, sym: np.ndarray, n: int, have: np.ndarray | None = None, h: int = 0, base: np.uint64 = BASES[0]) -> np.ndarray:
+        """Identifiers of ``n`` symbols from each position on: Rabin-Karp for words, by
+        doubling (from those of ``h``) for bytes."""
+        return mixed(grams(sym, n, base)) if self.by_word else byte_ids(sym, n, have, h, base)
+
 
 def symbols(shape: Shape, texts: list[bytes]):
     """(symbols of all texts, first symbol of each text, end of each text)."""
@@ -78,17 +93,12 @@ def _runs(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, int,
         i = j
 
 
-def _part(shape: Shape, sym: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    part = sym[lo:hi]
-    return part if shape.by_word else BYTES[part]
-
-
 def ranges(shape: Shape, sym: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple]:
     """(bucket, range identifier, text number, first window, number of windows) arrays."""
     k, n = shape.length, len(sym)
     wide = min(k - shape.q + 1, WIDE)
     for lo in range(0, n, STEP):
-        part = _part(shape, sym, lo, min(n, lo + STEP + k - 1))
+        part = sym[lo : lo + STEP + k - 1]
         if len(part) < k:
             break
         at = np.arange(lo, lo + len(part) - k + 1)
@@ -98,8 +108,8 @@ def ranges(shape: Shape, sym: np.ndarray, start: np.ndarray, end: np.ndarray) ->
         at, owner = at[ok], owner[ok]
         if not len(at):
             continue
-        q = mixed(grams(part, shape.q, BASES[0]))
-        whole = mixed(grams(part, k, BASES[0]))
+        q = shape.ids(part, shape.q)
+        whole = shape.ids(part, k, q, shape.q)
         least = sliding_min((q & ~U(0xFFFFFFFF)) | np.arange(len(q), dtype=np.uint64), k - shape.q + 1)
         anchor = (least & U(0xFFFFFFFF)).astype(np.int64)[at - lo]
         new = np.ones(len(at), bool)
@@ -114,7 +124,7 @@ def ranges(shape: Shape, sym: np.ndarray, start: np.ndarray, end: np.ndarray) ->
 
 
 # Packed arrays: columns by byte planes, which the shuffle's compression likes.
-_KINDS = {"group": (np.int64, 8), "key": (np.uint64, 6), "more": (np.uint64, 6), "doc": (np.int64, 8), "at": (np.int64, 5), "size": (np.uint8, 1), "tail": (np.uint16, 2)}
+_KINDS = {"group": (np.int64, 8), "key": (np.uint64, 6), "more": (np.uint64, 6), "doc": (np.int64, 8), "at": (np.int64, 5), "size": (np.uint8, 1), "hot": (np.uint8, 1), "wide": (np.int64, 6)}
 
 
 def packed(cols: dict[str, np.ndarray]) -> bytes:
@@ -141,15 +151,25 @@ def unpacked(blobs: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray
     return {n: np.concatenate(v) if v else np.zeros(0, _KINDS[n][0]) for n, v in got.items()}
 
 
-def _dealt(cols: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """One row per bucket: its number and its packed postings."""
-    to = (cols["key"] % U(buckets)).astype(np.int64)
+def _by_bucket(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by their bucket, the buckets that occur, and where each begins."""
     order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    used, begin = np.unique(to[order], return_index=True)
+    return order, used, np.append(begin, len(to))
+
+
+def _dealt(cols: dict[str, np.ndarray], buckets: int, name: str = "postings", to: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket: its number and its packed postings."""
+    order, used, cut = _by_bucket((cols["key"] % U(buckets)).astype(np.int64) if to is None else to)
     cols = {n: v[order] for n, v in cols.items()}
-    used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    blobs = [packed({n: v[cut[b] : cut[b + 1]] for n, v in cols.items()}) for b in used]
-    return pa.record_batch([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "postings"])
+    blobs = [packed({n: v[a:z] for n, v in cols.items()}) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.record_batch([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", name])
+
+
+def dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows of one bucket in one partition; partitions grow in number with the buckets."""
+    now = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(now, min(buckets, MOST_PARTS)), "bucket")
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], list[bool]]:
@@ -175,15 +195,20 @@ def _repeats(shape: Shape, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _own(at: np.ndarray, size: np.ndarray, open_: bool) -> np.ndarray:
-    return at << 9 | size.astype(np.int64) << 1 | int(open_)
+def _own(at: np.ndarray, size: np.ndarray, open_: bool, hot: np.ndarray | bool = False) -> np.ndarray:
+    return at << 10 | size.astype(np.int64) << 2 | np.asarray(hot, np.int64) << 1 | int(open_)
 
 
 def _marks(doc: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(doc, pa.int64()), pa.array(mark, pa.int64())], names=["rep_id", "mark"])
 
 
-def _range_postings(shape: Shape, buckets: int):
+def _range_postings(shape: Shape, buckets: int, few: int):
+    """(bucket, postings, known): the ranges of a task. Equal ones travel once, the others
+    of them are known to repeat. ``few``: different ranges of one q-gram that a flush
+    posts; where it finds more, all of them are open and hot, and the posted ones say so.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -191,18 +216,23 @@ def _range_postings(shape: Shape, buckets: int):
             key, more, doc, at, size = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             key, more = key & U((1 << 48) - 1), more & U((1 << 48) - 1)
-            # equal ranges of a task travel once; the others of them are known to repeat
             order, new = _first_of((doc, at), key, more)
             key, more, doc, at, size = (x[order] for x in (key, more, doc, at, size))
             again = _repeats(shape, new, doc)
-            stay = np.sort(order[~again])
+            # ranges are in order of key and identifier: count the different ones of a key
+            head = np.append(True, key[1:] != key[:-1])
+            different = np.cumsum(new)
+            nth = different - different[np.flatnonzero(head)][np.cumsum(head) - 1]
+            hot = np.maximum.reduceat(nth, np.flatnonzero(head))[np.cumsum(head) - 1] >= few
+            left = ~again & (nth >= few)
+            stay = np.sort(order[~again & ~left])
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
             s = back[stay]
-            yield _with_nulls(_dealt({"key": key[s], "more": more[s], "doc": doc[s], "at": at[s], "size": size[s]}, buckets))
-            if again.any():
-                known = _packed_marks(doc[again], _own(at[again], size[again], False), buckets)
-                yield _with_nulls(known)
+            yield _with_nulls(_dealt({"key": key[s], "more": more[s], "doc": doc[s], "at": at[s], "size": size[s], "hot": hot[s]}, buckets))
+            if again.any() or left.any():
+                marks = np.concatenate([_own(at[again], size[again], False), _own(at[left], size[left], True, True)])
+                yield _with_nulls(_packed_marks(np.concatenate([doc[again], doc[left]]), marks, buckets))
 
         for batch in small(batches, "rep_text"):
             ids, texts, ok = _texts(batch)
@@ -220,56 +250,60 @@ def _range_postings(shape: Shape, buckets: int):
 
 def _packed_marks(doc: np.ndarray, mark: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Marks that need no bucket: they pass through the exchange as they are."""
-    to = (mixed(doc.astype(np.uint64)) % U(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(buckets + 1))
-    used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    pair = [packed({"doc": doc[order][cut[b] : cut[b + 1]], "at": mark[order][cut[b] : cut[b + 1]]}) for b in used]
-    return pa.record_batch([pa.array(used, pa.int64()), pa.array(pair, pa.binary())], names=["bucket", "known"])
+    return _dealt({"doc": doc, "wide": mark}, buckets, "known", (mixed(doc.astype(np.uint64)) % U(buckets)).astype(np.int64))
 
 
-def _with_nulls(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n = batch.num_rows
-    cols = {"bucket": batch.column("bucket"), "postings": pa.nulls(n, pa.binary()), "known": pa.nulls(n, pa.binary())}
-    cols |= {name: batch.column(name) for name in batch.schema.names}
-    return pa.record_batch([cols["bucket"], cols["postings"], cols["known"]], names=["bucket", "postings", "known"])
+def _with_nulls(batch: pa.RecordBatch, names: tuple[str, ...] = ("postings", "known")) -> pa.RecordBatch:
+    cols = {n: pa.nulls(batch.num_rows, pa.binary()) for n in names} | {n: batch.column(n) for n in batch.schema.names}
+    return pa.record_batch([cols[n] for n in ("bucket", *names)], names=["bucket", *names])
 
 
 def _blobs(table: pa.Table, name: str) -> list[bytes]:
     return [x for x in table.column(name).to_pylist() if x is not None]
 
 
+def _known(table: pa.Table) -> pa.RecordBatch:
+    c = unpacked(_blobs(table, "known"), ("doc", "wide"))
+    return _marks(c["doc"], c["wide"])
+
+
 def _refine_ranges(shape: Shape):
     """One bucket of the exchange -> (rep_id, mark): repeated ranges and open ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        known = unpacked(_blobs(table, "known"), ("doc", "at"))
-        c = unpacked(_blobs(table, "postings"), ("key", "more", "doc", "at", "size"))
+        c = unpacked(_blobs(table, "postings"), ("key", "more", "doc", "at", "size", "hot"))
+        if not len(c["key"]):
+            return pa.Table.from_batches([_known(table)])
         order, new = _first_of((c["doc"], c["at"]), c["key"], c["more"])
-        key, doc, at, size = (c[n][order] for n in ("key", "doc", "at", "size"))
+        key, doc, at, size, hot = (c[n][order] for n in ("key", "doc", "at", "size", "hot"))
         again = _repeats(shape, new, doc)
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        bucket = np.cumsum(head) - 1
-        several = np.bincount(bucket, new)[bucket] > 1 if len(key) else again
-        if not shape.within and len(key):
-            begin = np.flatnonzero(head)
-            several &= (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin))[bucket]
+        head = np.append(True, key[1:] != key[:-1])
+        begin, bucket = np.flatnonzero(head), np.cumsum(head) - 1
+        different = np.bincount(bucket, new)[bucket]
+        told = np.maximum.reduceat(hot, begin)[bucket] > 0
+        several = (different > 1) | told
+        if not shape.within:
+            several &= told | (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin))[bucket]
         open_ = several & ~again
         return pa.Table.from_batches([
-            _marks(known["doc"], known["at"]),
+            _known(table),
             _marks(doc[again], _own(at[again], size[again], False)),
-            _marks(doc[open_], _own(at[open_], size[open_], True)),
+            _marks(doc[open_], _own(at[open_], size[open_], True, (told | (different > HOT))[open_])),
         ])
 
     return run
 
 
-def _window_postings(shape: Shape, buckets: int):
-    """Windows of the open ranges of each text, bucketed by their own identifiers."""
+_OPEN = ("postings", "known", "places", "pieces")
+
+
+def _open_postings(shape: Shape, buckets: int):
+    """What is still open of each text: the text of its ranges, by the q-gram that bounds
+    their bucket, or their windows, by their own identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        texts_of: list[tuple] = []
 
         def flush():
             key, tail, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -280,38 +314,71 @@ def _window_postings(shape: Shape, buckets: int):
             s = ~again
             place = np.lexsort((at[s], doc[s]))
             low, high = key[s][place] & U((1 << 48) - 1), key[s][place] >> U(48)
-            yield _with_nulls(_dealt({"key": low, "more": high | tail[s][place].astype(np.uint64) << U(16), "doc": doc[s][place], "at": at[s][place]}, buckets))
+            yield _with_nulls(_dealt({"key": low, "more": high | tail[s][place].astype(np.uint64) << U(16), "doc": doc[s][place], "at": at[s][place]}, buckets), _OPEN)
             if again.any():
-                yield _with_nulls(_packed_marks(doc[again], _own(at[again], np.ones(again.sum(), np.int64), False), buckets))
-
+                yield _with_nulls(_packed_marks(doc[again], _own(at[again], np.ones(again.sum(), np.int64), False), buckets), _OPEN)
+
+        def flush_texts():
+            doc, at, size = (np.concatenate([t[i] for t in texts_of]) for i in range(3))
+            pieces = [p for t in texts_of for p in t[3]]
+            texts_of.clear()
+            raw = np.frombuffer(b"".join(pieces), np.uint8)
+            begin = np.cumsum(size + shape.length - 1) - (size + shape.length - 1)
+            q = shape.ids(raw, shape.q)
+            # the anchor of a range is that of its first window
+            inside = begin[:, None] + np.arange(shape.length - shape.q + 1)
+            key = q[begin + np.argmin(q[inside] >> U(32), 1)]
+            order, used, cut = _by_bucket((key % U(buckets)).astype(np.int64))
+            runs = list(zip(cut[:-1], cut[1:], strict=True))
+            places = [packed({"doc": doc[order[a:z]], "at": at[order[a:z]], "size": size[order[a:z]]}) for a, z in runs]
+            joined_ = [b"".join([pieces[i] for i in order[a:z].tolist()]) for a, z in runs]
+            cols = [pa.array(used, pa.int64()), pa.array(places, pa.binary()), pa.array(joined_, pa.binary())]
+            yield _with_nulls(pa.record_batch(cols, names=["bucket", "places", "pieces"]), _OPEN)
+
+        weight = 0
         for batch in small(batches, "rep_text"):
-            states = batch.column("rep_marks").to_pylist()
-            rows = [(i, m) for i, ms in enumerate(states) if ms and len(m := np.array([x for x in ms if x & 1], np.int64))]
-            if not rows:
-                continue
             ids = batch.column("rep_id").to_numpy(zero_copy_only=False)
-            texts = batch.column("rep_text").take(pa.array([i for i, _ in rows])).cast(pa.large_binary()).to_pylist()
-            for (i, marks), text in zip(rows, texts, strict=True):
-                sym, start, _ = symbols(shape, [text or b""])
-                for lo, at in _places(marks, start, sym, shape):
-                    part = _part(shape, sym, lo, min(len(sym), int(at[-1]) + shape.length))
-                    whole = [grams(part, shape.length, b) for b in BASES]
-                    if not len(whole[0]):
-                        continue
-                    at = at[at - lo < len(whole[0])]
-                    held.append((mixed(whole[0])[at - lo], (mixed(whole[1])[at - lo] >> U(40)).astype(np.uint64) & U(0xFFFF), np.full(len(at), ids[i]), at))
-                if sum(len(x[0]) for x in held) >= PACK:
-                    yield from flush()
+            texts = batch.column("rep_text").cast(pa.large_binary())
+            for i, marks in enumerate(batch.column("rep_marks")):
+                marks = marks.values.to_numpy()
+                marks = np.sort(marks[marks & 1 == 1])
+                text = texts[i].as_py() or b""
+                alone = np.ones(len(marks), bool) if shape.by_word else marks & 2 == 2
+                if alone.any():
+                    sym, start, _ = symbols(shape, [text])
+                    for lo, at in _places(marks[alone], sym, shape):
+                        part = sym[lo : int(at[-1]) + shape.length]
+                        whole = [shape.ids(part, shape.length, base=b) for b in BASES]
+                        if not len(whole[0]):
+                            continue
+                        at = at[at - lo < len(whole[0])]
+                        held.append((whole[0][at - lo], (whole[1][at - lo] >> U(40)).astype(np.uint64) & U(0xFFFF), np.full(len(at), ids[i]), at))
+                    if sum(len(x[0]) for x in held) >= PACK:
+                        yield from flush()
+                if not alone.all():
+                    m = marks[~alone]
+                    at, size = m >> 10, (m >> 2) & 0xFF
+                    fits = at + size + shape.length - 1 <= len(text)
+                    at, size = at[fits], size[fits]
+                    to = at + size + shape.length - 1
+                    texts_of.append((np.full(len(at), ids[i]), at, size, [text[a:z] for a, z in zip(at.tolist(), to.tolist(), strict=True)]))
+                    weight += int((to - at).sum())
+                    if weight >= STEP:
+                        yield from flush_texts()
+                        weight = 0
         if held:
             yield from flush()
+        if weight:
+            yield from flush_texts()
 
     return run
 
 
-def _places(marks: np.ndarray, start: np.ndarray, sym: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray]]:
+def _places(marks: np.ndarray, sym: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray]]:
     """The windows of the open ranges, in runs that lie close together."""
-    at, size = np.sort(marks) >> 9, (np.sort(marks) >> 1) & 0xFF
+    at, size = marks >> 10, (marks >> 2) & 0xFF
     every = np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    # marks of rows that share an id may lie beyond this text
     every = np.unique(every[every + shape.length <= len(sym)])
     cut = np.flatnonzero(np.diff(every) > 4 * shape.length) + 1
     for run in np.split(every, cut):
@@ -321,34 +388,68 @@ def _places(marks: np.ndarray, start: np.ndarray, sym: np.ndarray, shape: Shape)
                 yield int(part[0]), part
 
 
-def _refine_windows(shape: Shape):
+def _runs_of(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Marks of repeated windows, neighbouring ones as ranges."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)) if len(doc) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    new |= (np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))) % WIDE == 0
+    begin = np.flatnonzero(new)
+    return _marks(doc[begin], _own(at[begin], np.diff(np.append(begin, len(doc))), False))
+
+
+def _refine_open(shape: Shape):
+    """One bucket of the exchange -> (rep_id, mark) of the repeated windows."""
+
     def run(table: pa.Table) -> pa.Table:
-        known = unpacked(_blobs(table, "known"), ("doc", "at"))
         c = unpacked(_blobs(table, "postings"), ("key", "more", "doc", "at"))
         order, new = _first_of((c["doc"], c["at"]), c["key"], c["more"])
         doc, at = c["doc"][order], c["at"][order]
         again = _repeats(shape, new, doc)
-        return pa.Table.from_batches([_marks(known["doc"], known["at"]), _marks(doc[again], _own(at[again], np.ones(again.sum(), np.int64), False))])
+        out = [_known(table), _runs_of(doc[again], at[again])]
+        p = unpacked(_blobs(table, "places"), ("doc", "at", "size"))
+        if len(p["doc"]):
+            raw, size = np.frombuffer(b"".join(_blobs(table, "pieces")), np.uint8), p["size"].astype(np.int64)
+            long = size + shape.length - 1
+            end = np.cumsum(long)
+            pointer = bucket_pointers(raw, np.repeat(end, long), shape.length)
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            mine = pointer[np.repeat(end - long, size) + step]
+            shared = np.flatnonzero(np.bincount(mine, minlength=len(raw))[mine] > 1)
+            row = np.repeat(np.arange(len(size)), size)[shared]
+            doc, at, mine = p["doc"][row], p["at"][row] + step[shared], mine[shared]
+            order, new = _first_of((doc, at), mine)
+            again = order[_repeats(shape, new, doc[order])]
+            out.append(_runs_of(doc[again], at[again]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, with ``rep_marks`` and ``rep_more``; the same texts are exchanged once).
-
-    The result has every row of ``docs`` with rep_id, rep_text and the marks of its
-    repeated windows, to be read with ``covered``. Rows with a null id repeat nothing.
+def repeated_windows(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> DataFrame:
+    """Every row of ``docs`` as rep_id, rep_text and the marks of its repeated windows,
+    rep_marks and rep_more, to be read with ``covered``. Rows with a null id repeat nothing.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("rep_text"))
-    total = base.agg(F.sum(F.octet_length("rep_text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)
-    schema, out = "bucket long, postings binary, known binary", "rep_id long, mark long"
-    marks = base.mapInArrow(_range_postings(shape, buckets), schema).groupBy("bucket").applyInArrow(_refine_ranges(shape), out)
+    total = int(base.agg(F.sum(F.octet_length("rep_text"))).first()[0] or 0)
+    buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
+    few = max(4, HOT // (1 + total // (PACK * 35)))
+    out = "rep_id long, mark long"
+    posted = base.mapInArrow(_range_postings(shape, buckets, few), "bucket long, postings binary, known binary")
+    marks = dealt(posted, buckets).groupBy("bucket").applyInArrow(_refine_ranges(shape), out)
     marks = written(marks.groupBy("rep_id").agg(F.collect_list("mark").alias("rep_marks")))
-    held = base.join(marks.withColumnRenamed("rep_id", "mark_id"), F.col("rep_id") == F.col("mark_id"), "left").drop("mark_id")
-    more = held.mapInArrow(_window_postings(shape, buckets), schema).groupBy("bucket").applyInArrow(_refine_windows(shape), out)
+    opened = F.filter("rep_marks", lambda m: m.bitwiseAND(1) == 1)
+    per = F.lit(25 if shape.by_word else shape.length + 40)
+    weight = marks.agg(F.sum(F.size(opened).cast("long") * per)).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, int(weight) // OPEN_BYTES)
+    known = marks.withColumnRenamed("rep_id", "mark_id")
+    some = base.join(known.filter(F.size(opened) > 0), F.col("rep_id") == F.col("mark_id"))
+    posted = some.select("rep_id", "rep_text", "rep_marks").mapInArrow(_open_postings(shape, buckets), "bucket long, " + ", ".join(f"{n} binary" for n in _OPEN))
+    more = dealt(posted, buckets).groupBy("bucket").applyInArrow(_refine_open(shape), out)
     more = more.groupBy("rep_id").agg(F.collect_list("mark").alias("rep_more")).withColumnRenamed("rep_id", "more_id")
+    held = base.join(known, F.col("rep_id") == F.col("mark_id"), "left").drop("mark_id")
     return held.join(more, F.col("rep_id") == F.col("more_id"), "left").drop("more_id")
 
 
@@ -359,7 +460,7 @@ def covered(shape: Shape, n: int, *marks) -> np.ndarray | None:
     every = every[every & 1 == 0]
     if not len(every):
         return None
-    at, size = every >> 9, (every >> 1) & 0xFF
+    at, size = every >> 10, (every >> 2) & 0xFF
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, np.minimum(at, n), 1)
     np.add.at(step, np.minimum(at + size - 1 + shape.length, n), -1)

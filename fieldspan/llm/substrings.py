@@ -26,20 +26,21 @@ def _rows(batch: pa.RecordBatch):
 
 
 def dedup_substrings(docs: DataFrame, length: int = 100, q: int = 25, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Suffix-array dedup by bucket refinement: bytes that an earlier string covers go.
+    """Suffix-array dedup by bucket-pointer refinement: bytes that an earlier string covers go.
 
-    The suffixes of all texts fall into buckets by their first ``q`` bytes. A bucket's
-    identifier for 2h bytes comes from those for h bytes here and h bytes further on
-    (``arrays.grams``), so that an update at one depth serves all later ones. Buckets
-    are sorted on the identifiers of later offsets until they hold one suffix, or
-    suffixes equal over ``length`` bytes; see ``repeats`` for what travels. The head of
-    a bucket is its earliest suffix, and all others of it start a repeated string.
+    Suffixes are dealt to buckets by a q-gram of ``q`` bytes that their first ``length``
+    bytes hold, the one of least hash, and only buckets which hold different text stay
+    open (``repeats``). The suffixes of open buckets are sorted by bucket pointers
+    (``suffixes``): by their first 8 bytes, then by the pointers of suffixes 8, 16, ...
+    bytes further on, until ``length`` bytes are compared. The head of a bucket is its
+    earliest suffix, and all others of it start a repeated string.
 
     Returns id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``,
     kept (binary; cutting bytes may break a character). Null texts are empty. Rows
     with a null id keep all bytes. Ids should be unique: rows that share one are
-    marked by the places of both. Extra columns are ignored. Strings are held equal
-    if 96 bits of their hashes agree.
+    marked by the places of both. Extra columns are ignored. Ranges of
+    neighbouring windows are held equal if 96 bits of their hashes agree, and windows of
+    a q-gram that over ``repeats.HOT`` ranges hold if 80 do; all others go by their bytes.
     """
     shape = Shape(length, q, by_word=False, within=True)
 
@@ -66,10 +67,11 @@ def dedup_substrings(docs: DataFrame, length: int = 100, q: int = 25, id_col: st
 def dedup_ngrams(docs: DataFrame, n: int = 13, q: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Substring dedup: windows of ``n`` words that also start in a smaller id go.
 
-    Rabin-Karp hashes of all windows of a text come at once from the words' hashes;
-    windows are counted in Spark by those hashes, neighbouring ones together where
-    they share their bucket (``repeats``), and repeated windows merge into maximal
-    intervals of words.
+    Rabin-Karp hashes modulo 2**61 - 1 of all windows of a text come at once from the
+    words' hashes. Spark deals them to buckets, neighbouring ones together (``repeats``);
+    equal ones are counted there by a sort inside the bucket, not by a Spark aggregate,
+    whose one row a window would be several times the text. Repeated windows merge into
+    maximal intervals of words.
 
     Returns id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept (the
     words left, joined by a space). Null texts have no words; rows with a null id keep

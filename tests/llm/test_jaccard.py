@@ -9,6 +9,7 @@ from fieldspan.llm import jaccard
 from fieldspan.llm.repeats import unpacked
 
 from .corpus import frame, texts
+from .test_repeats import morse
 
 
 def brute(rows, n, percent):
@@ -72,6 +73,16 @@ def test_edges(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_alike_modulo_powers_of_two(spark, n):
+    a, b = morse(n)
+    rest = " ".join(f"w{i}" for i in range(12))
+    values = [f"{a} {rest}", f"{b} {rest}", f"k {a} l", f"k {b} l"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_groups(frame(spark, values)).collect()}
+    assert got == brute([(i * 3 + 1, t) for i, t in enumerate(values)], 4, 85)
+    assert len({c for _, c in got.values()}) == 4
+
+
 def test_long_paths(spark):
     """Components of chains much longer than the steps of a pass."""
     r = random.Random(7)

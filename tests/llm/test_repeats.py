@@ -2,8 +2,10 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from fieldspan.llm import repeats, substrings
+from fieldspan.llm.suffixes import bucket_pointers
 
 from .corpus import frame, texts
 
@@ -60,10 +62,65 @@ def test_words(spark, n, q):
     assert sum(x[1] > 0 for x in want.values()) > 10
 
 
+@pytest.mark.parametrize(("hot", "few"), [(3, 1), (0, 10**6)])
+def test_hot_grams(spark, monkeypatch, hot, few):
+    """Q-grams in more ranges than a bucket keeps: their windows go one by one."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    posted = repeats._range_postings
+    monkeypatch.setattr(repeats, "_range_postings", lambda shape, buckets, _: posted(shape, buckets, few))
+    values = texts(8, 60) + [f"{i} {i * 7} a line that very many of the documents hold between words of their own {i * 3} x{i}" for i in range(40)]
+    df = frame(spark, values).repartition(5)
+    rows = [(i * 3 + 1, t) for i, t in enumerate(values)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in substrings.dedup_substrings(df, 40, 10).collect()}
+    assert got == brute_bytes(rows, 40)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substrings.dedup_ngrams(df, 6, 3).collect()}
+    assert got == brute_words(rows, 6)
+
+
+@pytest.mark.parametrize("depth", [5, 8, 20, 100])
+def test_pointers_order_suffixes(depth):
+    blobs = [t.encode() for t in texts(9, 40) if t] + [b"", b"ab" * 300, b"a" * 500, b"ab" * 290 + b"c", bytes(range(256)) * 2]
+    raw = np.frombuffer(b"".join(blobs), np.uint8)
+    end = np.repeat(np.cumsum([len(b) for b in blobs]), [len(b) for b in blobs])
+    pointer = bucket_pointers(raw, end, depth)
+    at = [i for i in range(len(raw)) if i + depth <= end[i]]
+    order = sorted(at, key=lambda i: pointer[i])
+    data = raw.tobytes()
+    assert all(pointer[i] >= 0 for i in at) and len(set(at)) > 1000
+    for i, j in zip(order, order[1:]):
+        a, b = data[i : i + depth], data[j : j + depth]
+        assert a == b if pointer[i] == pointer[j] else a < b
+
+
+def morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_alike_modulo_powers_of_two(spark, n):
+    """Words that polynomials modulo 2**64 take for one differ here."""
+    a, b = morse(n)
+    rest = " ".join(f"w{i}" for i in range(12))
+    values = [f"{a} {rest}", f"{b} {rest}", a + b + a, b + a + b]
+    df = frame(spark, values)
+    rows = [(i * 3 + 1, t) for i, t in enumerate(values)]
+    assert {r.doc_id: r.n_removed for r in substrings.dedup_ngrams(df).collect()} == {i: x[1] for i, x in brute_words(rows, 13).items()}
+    assert {r.doc_id: r.n_removed for r in substrings.dedup_substrings(df).collect()} == {i: x[1] for i, x in brute_bytes(rows, 100).items()}
+
+
+def test_very_long_words(spark):
+    """One word longer than every step, repeated, among words of a usual length."""
+    long = "".join(chr(97 + i * i % 23) for i in range(700_000))
+    values = [f"{long} " + " ".join(f"w{i}" for i in range(12)), "x", f"y {long} " + " ".join(f"w{i}" for i in range(12))]
+    got = {r.doc_id: r.n_removed for r in substrings.dedup_ngrams(frame(spark, values)).collect()}
+    assert got == {1: 0, 4: 0, 7: 13}
+
+
 def test_small_steps(spark, monkeypatch):
     """Slices, packs and steps far smaller than the texts change nothing."""
-    import numpy as np
-
     values = [t for t in texts(7, 30)]
     for by_word, length, q in ((False, 100, 25), (True, 13, 5)):
         shape = repeats.Shape(length, q, by_word, True)
