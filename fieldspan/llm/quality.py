@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -9,8 +10,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows at most that cost and selectivity of the rules are estimated on.
-SAMPLE_ROWS = 200
+from .common import written
+
+#: Rows at most that cost and selectivity of the rules are estimated on, how often each
+#: is timed, and the seconds below which times are noise.
+SAMPLE_ROWS, TIMES, NOISE = 1000, 3, 0.002
 
 #: Repeated windows up to which a linear search beats a sort of all windows.
 FEW = 32
@@ -26,6 +30,17 @@ class Rule:
     reject: str
 
 
+# Common words of the four languages.
+STOP_WORDS = (
+    "a an and are as at be by for from have he in is it not of on or that the this to was with you "
+    "der die das und ist nicht ein eine zu mit von den auf f\u00fcr im "
+    "le la les un une et est de des du en que qui pas pour dans "
+    "el los las y es una por con para del se no"
+).split(" ")
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK = r"[\\x20\\x09\\x0B-\\x0D]*"
+
 #: Measures as SQL over ``q_text`` (never null) and ``q_words`` (its words).
 MEASURES = {
     "n_words": "cast(size(q_words) as bigint)",
@@ -45,6 +60,14 @@ MEASURES = {
             cast(size(array_distinct(flatten(transform(filter(sequence(0, size(p) - 1), j ->
                 (j > 0 and p[greatest(j - 1, 0)].x = p[j].x) or (j < size(p) - 1 and p[least(j + 1, size(p) - 1)].x = p[j].x)),
                 j -> array(p[j].i, p[j].i + 1, p[j].i + 2))))) as bigint))[0] end)[0])[0])[0] end""",
+    "n_ellipsis_lines": rf"cast(regexp_count(q_text, '(?:\\.\\.\\.|\\x{{2026}}){_BLANK}(?:\\n|\\z)') as bigint)",
+    "n_bullet_lines": rf"cast(regexp_count(q_text, '(?:\\A|\\n){_BLANK}[-*\\x{{2022}}]') as bigint)",
+    "n_letters": r"cast(regexp_count(q_text, '[A-Za-z\\x{80}-\\x{10FFFF}]') as bigint)",
+    "n_stop_words": f"cast(size(filter(q_words, w -> {_LOWER.format('w')} in ({_STOP}))) as bigint)",
+    "n_distinct_words": "cast(size(array_distinct(q_words)) as bigint)",
+    "n_top_pair": """case when size(q_words) < 2 then 0L else aggregate(sort_array(transform(sequence(0, size(q_words) - 2), i -> xxhash64(q_words[i], q_words[i + 1]))),
+        named_struct('last', 0L, 'run', 0L, 'best', 0L), (a, x) -> transform(array(case when x = a.last then a.run + 1 else 1L end),
+            r -> named_struct('last', x, 'run', r, 'best', greatest(a.best, r)))[0], a -> a.best) end""",
 }
 
 #: The base rules first, then the method's own. Limits are wide: they name junk, not style.
@@ -56,64 +79,84 @@ EXTRA = (
     Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > n_words"),
     Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule("duplicate_lines", ("n_lines", "n_dup_lines"), "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
+    Rule("ellipsis_lines", ("n_lines", "n_ellipsis_lines"), "n_lines >= 4 and 100 * n_ellipsis_lines > 30 * n_lines"),
+    Rule("bullet_lines", ("n_lines", "n_bullet_lines"), "n_lines >= 4 and 100 * n_bullet_lines > 90 * n_lines"),
+    Rule("letters", ("word_chars", "n_letters"), "100 * n_letters < 60 * word_chars"),
+    Rule("stop_words", ("n_words", "n_stop_words"), "n_words >= 50 and n_stop_words < 2"),
+    Rule("top_pair", ("n_words", "n_top_pair"), "n_words >= 50 and 100 * 2 * n_top_pair > 20 * n_words"),
+    Rule("distinct_words", ("n_words", "n_distinct_words"), "n_words >= 50 and 100 * n_distinct_words < 10 * n_words"),
 )
 
 
 def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM q_text)")
+    trimmed = F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM q_text)")
     words = F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     return docs.withColumn("q_text", text).withColumn("q_words", words)
 
 
-def cascade_order(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second, both measured on ``rows`` rows at most.
+def _sample(docs: DataFrame, text_col: str, key_col: str, measures: Sequence[str], rows: int) -> DataFrame:
+    """About ``rows`` rows, never more, by the hash of their key, with ``measures``."""
+    total = docs.count()
+    key = F.xxhash64(key_col if key_col in docs.columns else text_col)
+    # half as many again as asked for, as the hash may fall short; the limit bounds copies
+    share = max(1, int(total / (1.5 * rows)))
+    some = docs.filter(F.pmod(key, F.lit(share)) == 0).select(F.col(text_col).alias("q_in")).limit(rows)
+    return written(with_words(some, "q_in").select("q_text", "q_words", *[F.expr(MEASURES[m]).alias(m) for m in measures]), 1)
+
+
+def cascade_order(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", key_col: str = "doc_id", measures: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejected share per second, both measured on a hash sample.
 
-    The order bears on speed alone: a document is rejected if any rule rejects it.
+    A rule's cost is the least of several times less that of reading the sample;
+    ``measures`` are those that every row has anyway and cost a rule nothing. The order
+    bears on speed alone: a document is rejected if any rule rejects it. With no rows
+    the order given stays.
     """
-    # the first rows only, from as few partitions as hold them
-    some = docs.select(text_col).limit(rows).collect()
-    sample = with_words(docs.sparkSession.createDataFrame(some, f"`{text_col}` string"), text_col)
+    sample = _sample(docs, text_col, key_col, measures, rows)
 
     def run(what) -> tuple[float, float]:
-        began = time.perf_counter()
-        got = sample.agg(what).first()[0]
-        return time.perf_counter() - began, float(got or 0)
+        times = []
+        for _ in range(TIMES):
+            began = time.perf_counter()
+            got = sample.agg(what).first()[0]
+            times.append(time.perf_counter() - began)
+        return min(times), float(got or 0)
 
     idle, _ = run(F.sum(F.size("q_words")))
     scored = []
     for rule in rules:
-        test = rule.reject
-        for m in sorted(rule.needs, key=len, reverse=True):
-            test = _inline(test, m)
-        seconds, share = run(F.avg(F.expr(f"cast(({test}) as double)")))
-        scored.append((share / max(seconds - idle, 1e-3), rule))
+        seconds, share = run(F.avg(F.expr(f"cast(({_inlined(rule, measures)}) as double)")))
+        scored.append((share / max(seconds - idle, NOISE), rule))
     return [r for _, r in sorted(scored, key=lambda x: -x[0])]
 
 
-def _inline(test: str, measure: str) -> str:
-    import re
+def _inlined(rule: Rule, measures: Sequence[str]) -> str:
+    """The rule's test with the measures that are no columns put in."""
+    test = rule.reject
+    for m in sorted(set(rule.needs) - set(measures), key=len, reverse=True):
+        test = _inline(test, m)
+    return test
+
 
+def _inline(test: str, measure: str) -> str:
     return re.sub(rf"\b{measure}\b", lambda _: f"({MEASURES[measure]})", test)
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, text_col: str = "text", measures: Sequence[str] = ()) -> DataFrame:
+def cascade(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, text_col: str = "text", measures: Sequence[str] = (), key_col: str = "doc_id", ordered: bool = False) -> DataFrame:
     """``docs`` plus ``kept``: true if no rule rejects the row.
 
-    The rules run in the order of ``cascade_order`` inside one CASE, so that a row
-    which an early rule rejects never pays for the measures of a later one.
-    ``measures`` are added as columns and then shared with the rules. Null texts
-    count as empty; no row is dropped; input columns named like an added one are
-    replaced. Nothing is shuffled: a row's verdict needs that row only.
+    The rules run in the order of ``cascade_order``, or as given if ``ordered``, inside
+    one CASE, so that a row which an early rule rejects never pays for the measures of a
+    later one. ``measures`` are added as columns, computed for every row and then shared
+    with the rules. Null texts count as empty; no row is dropped, repeated rows count
+    each for itself; input columns named like an added one are replaced. Nothing is
+    shuffled: a row's verdict needs that row only.
     """
-    ordered = cascade_order(docs, rules, text_col)
+    if not ordered:
+        rules = cascade_order(docs, rules, text_col, key_col, measures)
     docs = docs.drop(*[c for c in (*measures, "kept", "q_text", "q_words") if c != text_col])
     df = with_words(docs, text_col)
     df = df.select("*", *[F.expr(MEASURES[m]).alias(m) for m in measures])
-    case = ""
-    for rule in ordered:
-        test = rule.reject
-        for m in rule.needs:
-            test = test if m in measures else _inline(test, m)
-        case += f" when {test} then false"
+    case = "".join(f" when {_inlined(rule, measures)} then false" for rule in rules)
     return df.withColumn("kept", F.expr(f"case{case} else true end")).drop("q_text", "q_words")

@@ -21,10 +21,11 @@ def op3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+    # every row has these; the own rules' further measures are reached by rows left only
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     df = quality.cascade(docs, measures=base)
     failed = " or ".join(f"({r.reject})" for r in quality.BASE)
-    return df.select("doc_id", *base[:-1], F.expr(failed).alias("base_failed"), "kept")
+    return df.select("doc_id", *base, F.expr(failed).alias("base_failed"), "kept")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +71,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     df = pii.find_pii(docs)
     base = [k for k in pii.KINDS if k.base]
-    counts = [F.size(f"pii_{k.name}").cast("long").alias(f"n_{k.name}") for k in pii.KINDS]
-    return df.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(pii.KINDS).alias("spans"))
+    count = lambda kinds: [F.size(f"pii_{k.name}").cast("long").alias(f"n_{k.name}") for k in kinds]
+    more = [k for k in pii.KINDS if not k.base]
+    return df.select("doc_id", *count(base), F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(pii.KINDS).alias("spans"), *count(more))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +113,9 @@ _SQL_VALID = {
     "ip": "len(list_filter(string_split(x, '.'), lambda p: len(regexp_replace(p, '^0+', '')) > 3 or try_cast(p as bigint) > 255)) = 0",
     "card": f"len({_SQL_DIGITS}) between 16 and 19 and {_SQL_LUHN}",
     "phone": f"len({_SQL_DIGITS}) between 8 and 15",
-    "iban": _SQL_MOD97,
+    "iban": f"contains('{pii.IBAN_SIZES}', replace(x, ' ', '')[1:2] || len(replace(x, ' ', ''))::varchar) and {_SQL_MOD97}",
     "ssn": "regexp_full_match(x, '[0-9]{3}-[0-9]{2}-[0-9]{4}') and not regexp_matches(x, '^(000|666|9)') and not regexp_matches(x, '^...-00|-0000$')",
+    "secret": "regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Za-z]')",
 }
 # The base patterns, as the operator has them but for look-behind and
 # possessive repeats, which change what is tried and not what is found.
@@ -123,6 +126,7 @@ _SQL_FIND = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
     "ssn": r"[0-9-]+",
+    "secret": r"[A-Za-z0-9_+/=-]{20,}",
 }
 
 
@@ -133,16 +137,18 @@ def _pii_sql() -> str:
         score = "true" if k.base else f"""{k.prior} + case when regexp_matches(lower(substr(t, greatest(z[i] - len(m[i]) - {pii.NEAR}, 0) + 1,
             least(z[i] - len(m[i]), {pii.NEAR}))), '(^|[^a-z])({k.context})') then {k.bonus} else 0 end >= {pii.LEAST}"""
         valid = _SQL_VALID[k.name]
+        if k.whole:
+            score += " and not regexp_matches(case when z[i] > len(m[i]) then substr(t, z[i] - len(m[i]), 1) else '' end || ' ' || substr(t, z[i] + 1, 1), '[A-Za-z0-9]')"
         parts.append(f"""{k.name}_ as (select doc_id, list_transform(list_filter(range(1, len(m) + 1), lambda i: ok[i] and {score}),
             lambda i: '{k.name}:' || (z[i] - len(m[i]))::varchar || ':' || z[i]::varchar) as {k.name} from (select doc_id, t, m,
             list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda s: len(s)))::bigint) as z,
             list_transform(m, lambda x: {valid}) as ok from (select doc_id, coalesce(text, '') as t,
             regexp_extract_all(coalesce(text, ''), '{find}', 0) as p, regexp_extract_all(coalesce(text, ''), '{find}', 2) as m from documents)))""")
-    counts = ", ".join(f"len({n})::bigint as n_{n}" for n in names)
+    count = lambda base: ", ".join(f"len({k.name})::bigint as n_{k.name}" for k in pii.KINDS if k.base == base)
     base = " || ".join(k.name for k in pii.KINDS if k.base)
     joins = " ".join(f"join {n}_ using (doc_id)" for n in names[1:])
-    return f"""with {', '.join(parts)} select doc_id, {counts}, sha256(array_to_string({base}, ',')) as base_sha256,
-        array_to_string({' || '.join(names)}, ',') as spans from {names[0]}_ {joins}"""
+    return f"""with {', '.join(parts)} select doc_id, {count(True)}, sha256(array_to_string({base}, ',')) as base_sha256,
+        array_to_string({' || '.join(names)}, ',') as spans, {count(False)} from {names[0]}_ {joins}"""
 
 
 SQL: dict[str, str] = {
@@ -151,10 +157,17 @@ SQL: dict[str, str] = {
         tri as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
         twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from tri) where n > 1),
         rep as (select doc_id, count(distinct j)::bigint as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from twice) group by doc_id),
-        m as (select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as word_chars,
+        m as (select d.doc_id, t, w, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as word_chars,
             len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(rep.n, 0)::bigint as n_repeat_words,
             list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as ls from d left join rep using (doc_id)),
-        n as (select *, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines from m)
+        top as (select doc_id, max(c)::bigint as n_top_pair from (select doc_id, g, count(*) as c from
+            (select doc_id, w[i] || chr(1) || w[i + 1] as g from (select doc_id, w, unnest(range(1, len(w))) as i from d)) group by all) group by doc_id),
+        n as (select m.* replace (doc_id as doc_id), coalesce(n_top_pair, 0) as n_top_pair, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+            len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '(\\.\\.\\.|\\x{{2026}})[\\x20\\x09\\x0B-\\x0D]*$'))) as n_ellipsis_lines,
+            len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '^[\\x20\\x09\\x0B-\\x0D]*[-*\\x{{2022}}]'))) as n_bullet_lines,
+            len(regexp_extract_all(t, '[A-Za-z\\x{{80}}-\\x{{10FFFF}}]')) as n_letters, len(list_distinct(w)) as n_distinct_words,
+            len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') in ({quality._STOP}))) as n_stop_words
+            from m left join top using (doc_id))
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             {' or '.join(f'({r.reject})' for r in quality.BASE)} as base_failed,
             not ({' or '.join(f'({r.reject})' for r in quality.BASE + quality.EXTRA)}) as kept from n""",

@@ -22,7 +22,7 @@ def measures(text):
 
 
 def test_quality_measures(spark):
-    values = texts() + ["a b a b a b c", "a a a a", " ".join(f"w{i % 90}" for i in range(300)), "é 😀 😀 é 😀 😀"]
+    values = texts() + ["a b a b a b c", "a a a a", " ".join(f"w{i % 90}" for i in range(300)), "é 😀 😀 é 😀 😀", "f", "f a b c f", "\f f of \f"]
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     got = {r.doc_id: r for r in quality.cascade(frame(spark, values), measures=names).collect()}
     assert len(got) == len(values)
@@ -33,11 +33,66 @@ def test_quality_measures(spark):
             assert not r.kept
 
 
+ODD = [
+    "\n".join([f"one two three {i} the end of a line..." for i in range(20)]),
+    "\n".join([f" - point {i} of the list and more" for i in range(20)]),
+    "1 2 3 4 of the " * 30,
+    " ".join(f"word{i}" for i in range(80)),
+    "the cat and the dog " * 4 + " ".join(f"w{i} of" for i in range(70)),
+    " ".join(["spam", "eggs"] * 30 + [f"x{i} the of" for i in range(60)]),
+    "a\n" * 80 + "the of and",
+]
+
+
+def own_measures(text):
+    words = WORD.findall(text or "")
+    pairs = Counter(zip(words, words[1:]))
+    ls = (text or "").split("\n")
+    low = lambda w: "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+    return {
+        "n_ellipsis_lines": sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09\x0B-\x0D]*$", x)) for x in ls),
+        "n_bullet_lines": sum(bool(re.match(r"[\x20\x09\x0B-\x0D]*[-*\u2022]", x)) for x in ls),
+        "n_letters": sum(("A" <= c <= "Z") or ("a" <= c <= "z") or c >= "\x80" for c in text or ""),
+        "n_stop_words": sum(low(w) in quality.STOP_WORDS for w in words),
+        "n_top_pair": max(pairs.values(), default=0),
+        "n_distinct_words": len(set(words)),
+    }
+
+
+def test_quality_own_measures(spark):
+    values = texts() + ODD
+    names = tuple(own_measures(""))
+    got = {r.doc_id: r for r in quality.cascade(frame(spark, values), measures=names).collect()}
+    for i, t in enumerate(values):
+        assert {n: got[i * 3 + 1][n] for n in names} == own_measures(t), t
+    # of a text that no base rule rejects, each own rule rejects some
+    assert sum(not got[(len(texts()) + i) * 3 + 1].kept for i in range(len(ODD))) >= 5
+
+
 def test_quality_order_does_not_matter(spark):
-    df = frame(spark, texts(1))
+    df = frame(spark, texts(1) + ODD)
     one = {r.doc_id: r.kept for r in quality.cascade(df).collect()}
     two = {r.doc_id: r.kept for r in quality.cascade(df, measures=tuple(quality.MEASURES)).collect()}
-    assert one == two
+    three = {r.doc_id: r.kept for r in quality.cascade(df, tuple(reversed(quality.BASE + quality.EXTRA)), ordered=True).collect()}
+    assert one == two == three and not all(one.values()) and any(one.values())
+
+
+def test_quality_rules_after_a_rejection_are_not_evaluated(spark, monkeypatch):
+    monkeypatch.setitem(quality.MEASURES, "late", "cast(raise_error('evaluated') as bigint)")
+    df = frame(spark, ["too short", None, ""])
+    short, late = quality.Rule("short", ("n_words",), "n_words < 50"), quality.Rule("late", ("late",), "late > 0")
+    assert [r.kept for r in quality.cascade(df, (short, late), ordered=True).collect()] == [False] * 3
+    with pytest.raises(Exception, match="evaluated"):
+        quality.cascade(df, (late, short), ordered=True).collect()
+
+
+def test_quality_order_goes_by_rejections_per_cost(spark, monkeypatch):
+    """Of rules that reject alike the cheap one comes first, of rules that cost alike the
+    one that rejects more."""
+    monkeypatch.setitem(quality.MEASURES, "slow", "cast(size(array_distinct(transform(sequence(1, 20000), i -> xxhash64(i, q_text)))) as bigint)")
+    df = frame(spark, ["some words"] * 60 + ["word " * 80] * 60)
+    rules = [quality.Rule("slow", ("slow", "n_words"), "slow > 0 and n_words < 50"), quality.Rule("never", ("n_words",), "n_words < 0"), quality.Rule("cheap", ("n_words",), "n_words < 50")]
+    assert [r.name for r in quality.cascade_order(df, rules)] == ["cheap", "slow", "never"]
 
 
 FIND = {
@@ -74,6 +129,9 @@ PERSONAL = [
     "a" * 30000 + "@",
     "1 " * 20000,
     "+1" + "(" * 20000,
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and 04dbebab91ab85687d33eeaaf9ac699e1188f962' + " pad" * 20 + " 04dbebab91ab85687d33eeaaf9ac699e1188f963",
+    "xDE89370400440532013000 DE89370400440532013000y DE893704004405320130 00",
+    "mark \u0001 a@b.cd \u0001\u0002 +1 555 123 4567\u0001",
 ]
 
 
@@ -87,6 +145,19 @@ def test_pii(spark):
     iban = got[(len(values) - len(PERSONAL) + 4) * 3 + 1].pii_iban
     assert [PERSONAL[4][s.lo : s.hi] for s in iban] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
     assert len(got[(len(values) - len(PERSONAL) + 5) * 3 + 1].pii_ssn) == 2  # the last has no word near it
+    assert len(got[(len(values) - 3) * 3 + 1].pii_secret) == 1 and got[(len(values) - 2) * 3 + 1].pii_iban == []
+
+
+def test_many_matches_cost_in_proportion(spark):
+    """A row of 100,000 matches, which a list that grows by each would take hours for."""
+    import time
+
+    n = 100_000
+    df = spark.createDataFrame([(1, "a@b.cd " * n), (2, "x")], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in pii.find_pii(df).selectExpr("doc_id", "size(pii_email) as n", "get(pii_email, 99999).lo as lo", "get(pii_email, 99999).hi as hi").collect()}
+    assert (rows[1].n, rows[1].lo, rows[1].hi, rows[2].n) == (n, 7 * (n - 1), 7 * n - 1, 0)
+    assert time.perf_counter() - began < 60
 
 
 def test_mixing(spark):
