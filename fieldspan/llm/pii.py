@@ -76,15 +76,20 @@ def _spans(kind: Kind) -> str:
     sums = f"transform(sequence(0, (size(p) - 1) div c), k -> aggregate({chunk}, 0, (a, x) -> a + length(x)))"
     ahead = f"""aggregate({sums}, named_struct('at', 0, 'got', cast(array() as array<int>)),
         (a, x) -> named_struct('at', a.at + x, 'got', concat(a.got, array(a.at)))).got"""
-    none = "cast(array() as array<struct<s: int, e: int, m: string>>)"
-    walk = f"""aggregate({chunk}, named_struct('at', o[k], 'i', k * c, 'got', {none}), (a, x) -> named_struct('at', a.at + length(x), 'i', a.i + 1,
-        'got', case when a.i % 2 = 1 then concat(a.got, array(named_struct('s', a.at, 'e', a.at + length(x), 'm', x))) else a.got end)).got"""
+    none = "cast(array() as array<struct<s: int, e: int, m: string, b: string, z: string>>)"
+    # the characters before come along, as a substring of a long text is found from its start;
+    # of every two parts one has a character at least
+    last = f"right(array_join(slice(p, greatest(k * c - {2 * NEAR}, 0) + 1, least(k * c, {2 * NEAR})), ''), {NEAR})"
+    after = "left(concat(p[a.i + 1], coalesce(get(p, a.i + 2), '')), 1)" if kind.whole else "''"
+    walk = f"""aggregate({chunk}, named_struct('at', o[k], 'i', k * c, 'b', {last}, 'got', {none}), (a, x) -> named_struct('at', a.at + length(x), 'i', a.i + 1,
+        'b', right(concat(a.b, x), {NEAR}), 'got', case when a.i % 2 = 1 then
+        concat(a.got, array(named_struct('s', a.at, 'e', a.at + length(x), 'm', x, 'b', a.b, 'z', {after}))) else a.got end)).got"""
     found = f"""transform(array({parts}), p -> transform(array(cast(ceil(sqrt(size(p))) as int)), c -> transform(array({ahead}), o ->
         flatten(transform(sequence(0, size(o) - 1), k -> {walk})))[0])[0])[0]"""
-    near = f"lower(substr(t, greatest(x.s - {NEAR}, 0) + 1, least(x.s, {NEAR}))) rlike '(^|[^a-z])({kind.context})'"
+    near = f"lower(x.b) rlike '(^|[^a-z])({kind.context})'"
     valid = f"transform(array(x.m), m -> {kind.valid})[0]"
     if kind.whole:
-        valid += " and not (x.s > 0 and substr(t, x.s, 1) rlike '[A-Za-z0-9]') and not substr(t, x.e + 1, 1) rlike '[A-Za-z0-9]'"
+        valid += " and not concat(right(x.b, 1), ' ', x.z) rlike '[A-Za-z0-9]'"
     scored = f"transform(filter({found}, x -> {valid}), x -> struct('{kind.name}' as kind, x.s as lo, x.e as hi, {kind.prior}D + case when {near} then {kind.bonus}D else 0D end as score))"
     if not kind.base:
         scored = f"filter({scored}, x -> x.score >= {LEAST}D)"

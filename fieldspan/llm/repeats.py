@@ -42,9 +42,9 @@ PACK = 1 << 19
 #: partitions at most, each of which takes its buckets one after the other.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_PARTS = 8 << 20, 16, 1 << 16
 #: Bytes of open text, or of postings of open windows, that share a bucket.
-OPEN_BYTES = 4 << 20
+OPEN_BYTES = 2 << 20
 #: Ranges that hold one q-gram from which their windows are bucketed one by one.
-HOT = 20_000
+HOT = 5_000
 #: Ranges are cut so that a mark fits: start << 10 | length << 2 | hot << 1 | open.
 WIDE = 200
 
@@ -444,13 +444,16 @@ def repeated_windows(docs: DataFrame, shape: Shape, id_col: str, text_col: str)
     per = F.lit(25 if shape.by_word else shape.length + 40)
     weight = marks.agg(F.sum(F.size(opened).cast("long") * per)).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(weight) // OPEN_BYTES)
-    known = marks.withColumnRenamed("rep_id", "mark_id")
-    some = base.join(known.filter(F.size(opened) > 0), F.col("rep_id") == F.col("mark_id"))
+    # one exchange of the texts serves both joins: neither adds a test for null ids
+    known = marks.filter("rep_id is not null").withColumnRenamed("rep_id", "mark_id")
+    named = base.filter("rep_id is not null")
+    some = named.join(known.filter(F.size(opened) > 0), F.col("rep_id") == F.col("mark_id"))
     posted = some.select("rep_id", "rep_text", "rep_marks").mapInArrow(_open_postings(shape, buckets), "bucket long, " + ", ".join(f"{n} binary" for n in _OPEN))
     more = dealt(posted, buckets).groupBy("bucket").applyInArrow(_refine_open(shape), out)
     more = more.groupBy("rep_id").agg(F.collect_list("mark").alias("rep_more")).withColumnRenamed("rep_id", "more_id")
-    held = base.join(known, F.col("rep_id") == F.col("mark_id"), "left").drop("mark_id")
-    return held.join(more, F.col("rep_id") == F.col("more_id"), "left").drop("more_id")
+    held = named.join(known, F.col("rep_id") == F.col("mark_id"), "left").drop("mark_id")
+    held = held.join(more, F.col("rep_id") == F.col("more_id"), "left").drop("more_id")
+    return held.unionByName(base.filter("rep_id is null"), allowMissingColumns=True)
 
 
 def covered(shape: Shape, n: int, *marks) -> np.ndarray | None:
