@@ -50,13 +50,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that this process has written to shared folders and not removed, oldest first.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
     A later loss of executors re-reads the table in place of recomputing it. ``parts``:
-    the files it goes to at most, for tables far smaller than what they come from.
+    the files it goes to at most, for tables far smaller than what they come from. The
+    table stays until ``kept`` or ``drop_tables`` removes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, last: int | None = None) -> None:
+    """Remove the tables ``since`` to ``last`` of those written; plans that read them end."""
+    jvm, gone = spark._jvm, _TABLES[since:last]
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _TABLES.remove(path)
+
+
+def kept(spark: SparkSession, make) -> DataFrame:
+    """The written result of ``make()``, without the tables that were written on the way."""
+    since = len(_TABLES)
+    out = written(make())
+    drop_tables(spark, since, len(_TABLES) - 1)
+    return out

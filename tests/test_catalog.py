@@ -68,6 +68,20 @@ def test_batches_at_size(spark):
     assert catalog.batches(ids.filter("false"), ["SITE_ID"]).count() == 0
 
 
+def test_tables_on_the_way_are_removed(spark):
+    import os
+
+    from fieldspan import session
+
+    before = len(session._TABLES)
+    out = session.kept(spark, lambda: session.written(spark.range(5)).filter("id > 1"))
+    assert len(session._TABLES) == before + 1 and out.count() == 3
+    path = session._TABLES[-1].removeprefix("file:")
+    assert os.path.isdir(path)
+    session.drop_tables(spark, before)
+    assert not os.path.exists(path) and len(session._TABLES) == before
+
+
 def test_seeded_sample_goes_by_md5(spark):
     import hashlib
 
