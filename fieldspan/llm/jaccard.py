@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASES, STEP, U, grams, joined, mixed, slices, small, word_hashes, words
-from .common import small_batches, written
+from .common import small_batches, spread_join, written
 from .repeats import BUCKET_BYTES, LEAST_BUCKETS, PACK, _blobs, _dealt, _packed_marks, _texts, _with_nulls, dealt, unpacked
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Rows of a part of a min-hash group and of a block that is opened at once.
 PART, BLOCK = 512, 256
-#: Share of all hashes that a class counts, by its number of shingles. Above 200 the
-#: shingles left out keep what it counts more than 6 deviations over what may be missing.
+#: Share of all hashes that a class counts, by its number of shingles, at 85 percent; it
+#: grows with the share that may be missing. Above 200 the shingles left out keep what it
+#: counts more than 6 deviations over what may be missing.
 SHARES = ((200, 1.0), (1000, 0.375), (float("inf"), 0.25))
 KEY = U((1 << 48) - 1)
 #: Classes whose links and labels share a file.
@@ -333,7 +334,8 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     base = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("rep_text"))
     # of n shingles at most `spare` may be missing from a partner
     spare = F.expr(f"n - cast(ceil(n * {percent} / 100.0) as bigint)")
-    shares, kinds = SHARES, "rep_id long, n long, counted long, one long, two long"
+    shares = tuple((most, min(1.0, share * (100 - percent) / 15)) for most, share in SHARES)
+    kinds = "rep_id long, n long, counted long, one long, two long"
     slim = written(base.mapInArrow(_slim(n, percent, shares), kinds))
     if not slim.filter((F.col("n") > 0) & (F.col("counted") <= spare)).isEmpty():
         # a text whose counted shingles might all be missing from a partner: count all
@@ -341,7 +343,7 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         slim = written(base.mapInArrow(_slim(n, percent, shares), kinds))
     total = base.agg(F.sum(F.octet_length("rep_text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)
-    classes = slim.filter("n > 0 and rep_id is not null").groupBy("one", "two", "n").agg(F.min("rep_id").alias("x"), F.first("counted").alias("counted"))
+    classes = slim.filter("n > 0 and rep_id is not null").groupBy("one", "two", "n").agg(F.min("rep_id").alias("x"), F.first("counted").alias("counted"), F.count(F.lit(1)).alias("copies"))
     postings = base.filter("rep_id is not null").mapInArrow(_class_postings(n, buckets, percent, shares), "bucket long, postings binary, known binary")
     shared = dealt(postings, buckets).groupBy("bucket").applyInArrow(_shared_counts, "one long, shared long, known long")
     shared = shared.groupBy("one").agg((F.coalesce(F.sum("shared"), F.lit(0)) + F.min("known")).alias("shared"))
@@ -387,7 +389,7 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     targets = written(targets, parts)
     # of spare + 1 - own of its rarest shared shingles a partner's group holds one
     rare = F.slice("found", F.lit(1), (F.col("spare") + 1 - F.col("own")).cast("int"))["t"]
-    probes = able.select("x", "c", "n", "own", "members", F.explode(rare).alias("t_"))
+    probes = able.select("x", "c", "n", "own", "members", F.size(rare).alias("asked"), F.explode(rare).alias("t_"))
     entries = matrix.filter("x is null").select("t", F.col("g").alias("c")).join(sized.select("c", "to"), "c").select("t", "to").distinct().join(targets, "to")
     # of two groups, the members of the smaller one ask; sizes and own shingles of both
     # bound what x and any member can share: at most n - own, of at least n + least_own
@@ -399,8 +401,13 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         100 * F.col("n") >= percent * F.col("least_n"),
     ]
     asks = probes.join(entries, (F.col("t_") == F.col("t")) & reduce(lambda a, b: a & b, may))
+    # the hits are counted: x shares with a group's union no more than what is left of its
+    # shingles without its own and without those asked for that the group does not hold
     allowed = F.floor((100 * (F.col("n") - F.col("own")) - percent * F.col("n")) / percent)
-    asks = written(asks.select("x", "c", "to", "held", allowed.alias("allowed")).distinct())
+    asks = asks.groupBy("x", "c", "to").agg(F.count(F.lit(1)).alias("hits"), *[F.first(c).alias(c) for c in ("held", "n", "own", "asked", "least_n")])
+    overlap = F.col("n") - F.col("own") - F.col("asked") + F.col("hits")
+    asks = asks.filter((100 + percent) * overlap >= percent * (F.col("n") + F.col("least_n")))
+    asks = written(asks.select("x", "c", "to", "held", allowed.alias("allowed")))
     many = asks.groupBy("to").agg(F.count(F.lit(1)).alias("asking"), F.first("held").alias("held"), F.max("allowed").alias("allowed"))
     many = many.select("to", "allowed", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.ceil(F.col("asking") / BLOCK).alias("chunks"))
     each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
@@ -414,7 +421,10 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     edges.append(written(opened.repartition(parts)))
     comps = components(sets, reduce(DataFrame.union, edges), parts)
     # classes that no other can link with keep their own least id
-    of = classes.join(comps, "x", "left").select("one", "two", "n", F.coalesce("c", "x").alias("least"))
-    out = slim.join(of, ["one", "two", "n"], "left")
+    of = written(classes.join(comps, "x", "left").select("one", "two", "n", "copies", F.coalesce("c", "x").alias("least")))
+    # rows without shingles or id have no class and are not joined at all
+    has = F.col("rep_id").isNotNull() & (F.col("n") > 0)
+    out = spread_join(slim.filter(has), of, ["one", "two", "n"], "copies", F.col("rep_id"), "left").select("rep_id", "n", "least")
+    out = out.unionByName(slim.filter(~has).select("rep_id", "n", F.lit(None).cast("long").alias("least")))
     component = F.when(F.col("rep_id").isNotNull(), F.coalesce("least", "rep_id"))
     return out.select(F.col("rep_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 #: Mean lines of a chunk, and the lines and characters from which a chunk may go.
 SPREAD, LEAST_LINES, LEAST_CHARS = 3, 2, 80
@@ -53,8 +53,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = chunked(base.join(again, base[id_col] == again["ld_id"]), text_col, spread)
     parts = _parts(held.withColumn("ld_chunks", F.expr("transform(ld_chunks, (c, i) -> case when array_contains(ld_some, i) then c end)")))
     at = F.struct("ld_id", "ld_no")
-    model = parts.groupBy("ld_key").agg(F.min(at).alias("ld_first"), F.min_by("ld_text", at).alias("ld_model"))
-    gone = parts.join(model, "ld_key").filter((at > F.col("ld_first")) & (F.col("ld_text") == F.col("ld_model")))
+    # by the texts themselves: chunks of one hash that differ are compared with their like
+    model = written(parts.groupBy("ld_key", "ld_text").agg(F.min(at).alias("ld_first"), F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1"))
+    gone = spread_join(parts, model, ["ld_key", "ld_text"], "ld_n", F.col("ld_id")).filter(at > F.col("ld_first"))
     return gone.groupBy("ld_id").agg(F.collect_list(F.struct("ld_no", "ld_key")).alias("ld_gone"))
 
 
@@ -65,8 +66,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id are compared as if their id came before all others and are
     left as they are; null and empty texts stay; a text that is wholly repeated
     becomes empty but its row stays; rows that share an id share their removals.
-    Two different chunks with one hash are told apart by their bytes: those unlike
-    the first stay. Input columns that start with ``ld_`` are dropped.
+    Two different chunks with one hash are told apart by their bytes. Input columns that
+    start with ``ld_`` are dropped.
     """
     cols = [c for c in docs.columns if not c.startswith("ld_")]
     docs = docs.select(*cols)
@@ -129,10 +130,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sums = f"""transform(array(filter(split(coalesce(`{text_col}`, ''), '\n'), x -> x rlike '{_WORDY}')), s ->
         transform(array(transform(s, x -> xxhash64(x))), h -> transform(filter(ld_some, c -> c.ld_key = xxhash64({_slice("h", "c.ld_w")})), c ->
         named_struct('ld_w', c.ld_w, 'ld_key', c.ld_key, 'ld_sum', unhex(sha2(cast(array_join({_slice("s", "c.ld_w")}, '\n') as binary), 256)))))[0])[0]"""
-    parts = held.select("ld_id", F.expr(sums).alias("ld_all")).select("ld_id", F.inline("ld_all"))
-    model = parts.groupBy("ld_sum").agg(F.min(F.struct("ld_id", "ld_w")).alias("ld_first"), F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1").drop("ld_n")
+    parts = written(held.select("ld_id", F.expr(sums).alias("ld_all")).select("ld_id", F.inline("ld_all")))
+    model = written(parts.groupBy("ld_sum").agg(F.min(F.struct("ld_id", "ld_w")).alias("ld_first"), F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1"))
     apart = "ld_id > ld_first.ld_id or (ld_first.ld_id is null and ld_id is not null) or (ld_id = ld_first.ld_id and shiftright(ld_w, 6) >= shiftright(ld_first.ld_w, 6) + (ld_w & 63))"
-    gone = parts.join(model, "ld_sum").filter(apart)
+    gone = spread_join(parts, model, ["ld_sum"], "ld_n", F.struct("ld_id", "ld_w")).filter(apart)
     return gone.groupBy("ld_id").agg(F.collect_set(F.struct("ld_w", "ld_key")).alias("ld_gone"))
 
 

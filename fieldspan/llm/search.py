@@ -148,7 +148,8 @@ def _searched(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
 def _visited(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
     """Each block of queries against the tree of its shard."""
     t = trees.select("dim", "shard", F.col("n").alias("t_n"), F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
-    both = blocks.join(t, ["dim", "shard"])
+    # whichever side is streamed, the blocks of one shard follow each other: a tree is built once
+    both = blocks.join(t, ["dim", "shard"]).sortWithinPartitions("dim", "shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tree = None, None

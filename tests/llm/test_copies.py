@@ -21,9 +21,3 @@ def test_copies_leave_run_once(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     ids = {x.doc_id for x in cp.run(spark, str(tmp_path)).collect()}
     assert ids & set(range(20)) and not ids & set(range(40, 60))
-
-
-def test_odd_rows(spark):
-    rows = [(None, "a b"), (None, "a b"), (5, "a b"), (5, "a b"), (6, "a b"), (6, "c"), (7, ""), (8, ""), (9, None), (10, None), (11, " "), (12, " ")]
-    got = cp.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got), key=str) == sorted([x for x in rows if x != (6, "a b")], key=str)

@@ -7,12 +7,13 @@ import corpus_pipeline as cp
 import numpy as np
 import public_tokenizers
 import pytest
-from fieldspan.llm import lines
+from fieldspan.session import written
 from tokenizers import Tokenizer
 
 from .corpus import texts
 from .test_jaccard import brute, family
-from .test_native import WORD, line_dedup
+from .test_native import WORD
+from .test_runs import brute as brute_runs
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,22 +40,22 @@ def test_stages(spark, sf_dir):
     stages = dict(cp.STAGES)
     assert list(stages) == ["toxicity", "line_dedup", "ngram_jaccard", "mixing", "bpe"]
 
-    clean = cp.written(stages["toxicity"](spark, docs, sf_dir))
+    clean = written(stages["toxicity"](spark, docs, sf_dir))
     assert clean.columns == columns
     want = {r.doc_id for r in docs.collect() if "worthless" not in (r.text or "")}
     assert {r.doc_id for r in clean.collect()} == want
 
-    deduped = cp.written(stages["line_dedup"](spark, clean, sf_dir))
+    deduped = written(stages["line_dedup"](spark, clean, sf_dir))
     assert deduped.columns == columns
-    chunks = {r.doc_id: r.ld_chunks for r in lines.chunked(clean).collect()}
-    assert {r.doc_id: r.text or "" for r in deduped.collect()} == line_dedup(chunks.items())
+    runs = brute_runs([(r.doc_id, r.text) for r in clean.collect()])
+    assert {r.doc_id: r.text or "" for r in deduped.collect()} == {i: text for i, (text, _) in runs.items()}
 
-    apart = cp.written(stages["ngram_jaccard"](spark, deduped, sf_dir))
+    apart = written(stages["ngram_jaccard"](spark, deduped, sf_dir))
     assert apart.columns == columns
-    parts = brute([(r.doc_id, r.text) for r in deduped.collect()], 4, 85)
+    parts = brute([(r.doc_id, r.text) for r in deduped.collect()], 5, 80)
     assert sorted(r.doc_id for r in apart.collect()) == sorted(i for i, (_, c) in parts.items() if i == c)
 
-    mix = cp.written(stages["mixing"](spark, apart, sf_dir))
+    mix = written(stages["mixing"](spark, apart, sf_dir))
     assert mix.columns == columns
     size, taken, text = defaultdict(int), defaultdict(int), {r.doc_id: r.text for r in apart.collect()}
     for r in apart.collect():
