@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspan.llm import bpe, jaccard, lines, mixing, toxicity
-from fieldspan.llm.common import WORD, load, written
+from fieldspan.llm.common import load
 from fieldspan.llm.queries import tokenizer_path, toxicity_model
+from fieldspan.session import kept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,15 +18,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the chunks of lines that stand earlier; n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    """Texts without the passages of lines that stand earlier; n_chars follows the text.
+
+    Copies of several lines become empty, but for that of least id. Of rows that share an
+    id, both lose what either repeats.
+    """
+    out = lines.dedup_runs(docs)
     changed = out.withColumn("n_chars", F.when(F.col("ld_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id; null ids stay."""
-    groups = jaccard.near_groups(docs)
+    """Of each group of near copies, at five words and 0.8, the document of least id.
+
+    Null ids and texts without words stay, and so does every row that shares the id kept.
+    """
+    groups = jaccard.near_groups(docs, n=5, percent=80)
     gone = groups.filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -52,23 +60,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """Of documents with one text the one of least id; null ids and blank texts stay.
-
-    Line dedup would leave fragments of copies, which no later stage knows for copies.
-    """
-    cols = docs.columns
-    worded = docs.filter(F.col("text").rlike(WORD) & F.col("doc_id").isNotNull())
-    key = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-    sums = worded.select("doc_id", key.alias("copy_sum"))
-    least = sums.groupBy("copy_sum").agg(F.min("doc_id").alias("copy_least"), F.max("doc_id").alias("copy_last")).filter("copy_least < copy_last")
-    gone = written(sums.join(least, "copy_sum").filter("doc_id > copy_least").select("doc_id", "copy_sum").distinct())
-    return docs.withColumn("copy_sum", key).join(gone, ["doc_id", "copy_sum"], "left_anti").select(*cols)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; what a stage keeps is written before the next one reads it."""
-    docs = drop_copies(load(spark, sf_dir, "documents"))
+    docs = load(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else written(docs), sf_dir)
+        last = i == len(STAGES) - 1
+        docs = stage(spark, docs, sf_dir) if last else kept(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
