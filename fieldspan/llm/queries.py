@@ -160,14 +160,14 @@ SQL: dict[str, str] = {
         m as (select d.doc_id, t, w, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as word_chars,
             len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(rep.n, 0)::bigint as n_repeat_words,
             list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as ls from d left join rep using (doc_id)),
-        top as (select doc_id, max(c)::bigint as n_top_pair from (select doc_id, g, count(*) as c from
-            (select doc_id, w[i] || chr(1) || w[i + 1] as g from (select doc_id, w, unnest(range(1, len(w))) as i from d)) group by all) group by doc_id),
-        n as (select m.* replace (doc_id as doc_id), coalesce(n_top_pair, 0) as n_top_pair, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+        two as (select doc_id, count(distinct w[i] || chr(1) || w[i + 1])::bigint as n_distinct_pairs
+            from (select doc_id, w, unnest(range(1, len(w))) as i from d) group by doc_id),
+        n as (select m.*, coalesce(n_distinct_pairs, 0) as n_distinct_pairs, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
             len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '(\\.\\.\\.|\\x{{2026}})[\\x20\\x09\\x0B-\\x0D]*$'))) as n_ellipsis_lines,
             len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '^[\\x20\\x09\\x0B-\\x0D]*[-*\\x{{2022}}]'))) as n_bullet_lines,
-            len(regexp_extract_all(t, '[A-Za-z\\x{{80}}-\\x{{10FFFF}}]')) as n_letters, len(list_distinct(w)) as n_distinct_words,
-            len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') in ({quality._STOP}))) as n_stop_words
-            from m left join top using (doc_id))
+            len(regexp_extract_all(t, '[\\x00-\\x08\\x0E-\\x1F\\x21-\\x40\\x5B-\\x60\\x7B-\\x7F]')) as n_marks, len(list_distinct(w)) as n_distinct_words,
+            len(list_intersect(w, [{quality._STOP}])) as n_stop_words
+            from m left join two using (doc_id))
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             {' or '.join(f'({r.reject})' for r in quality.BASE)} as base_failed,
             not ({' or '.join(f'({r.reject})' for r in quality.BASE + quality.EXTRA)}) as kept from n""",

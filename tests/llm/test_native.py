@@ -46,15 +46,13 @@ ODD = [
 
 def own_measures(text):
     words = WORD.findall(text or "")
-    pairs = Counter(zip(words, words[1:]))
     ls = (text or "").split("\n")
-    low = lambda w: "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
     return {
         "n_ellipsis_lines": sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09\x0B-\x0D]*$", x)) for x in ls),
         "n_bullet_lines": sum(bool(re.match(r"[\x20\x09\x0B-\x0D]*[-*\u2022]", x)) for x in ls),
-        "n_letters": sum(("A" <= c <= "Z") or ("a" <= c <= "z") or c >= "\x80" for c in text or ""),
-        "n_stop_words": sum(low(w) in quality.STOP_WORDS for w in words),
-        "n_top_pair": max(pairs.values(), default=0),
+        "n_marks": sum(c < "\x80" and not c.isalpha() and WORD.fullmatch(c) is not None for c in text or ""),
+        "n_stop_words": len(set(words) & set(quality.STOP_WORDS)),
+        "n_distinct_pairs": len(set(zip(words, words[1:]))),
         "n_distinct_words": len(set(words)),
     }
 
