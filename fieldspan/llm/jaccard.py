@@ -327,8 +327,9 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     ``n``-word shingles of the text with A-Z lower-cased; a text of fewer words has the
     whole as its one shingle. ``component_id`` is the least id that links reach. Null,
     empty and blank texts have no shingles and link with nothing; rows with a null id
-    take no part and have a null component. Rows that share an id are one node. No
-    link between different texts is lost; shingles are equal if their 64-bit hashes are.
+    take no part and have a null component. Rows with shingles that share an id are one
+    node, whatever their texts. No link between different texts is lost; shingles are
+    equal if their 64-bit hashes are.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("rep_text"))
@@ -341,6 +342,9 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         # a text whose counted shingles might all be missing from a partner: count all
         shares = ((float("inf"), 1.0),)
         slim = written(base.mapInArrow(_slim(n, percent, shares), kinds))
+    by_id = slim.filter("n > 0 and rep_id is not null").groupBy("rep_id").agg(F.min("one").alias("one"), F.max("one").alias("other"))
+    if not by_id.filter("one <> other").isEmpty():
+        return _by_text(base, n, percent).toDF(id_col, "n_shingles", "component_id")
     total = base.agg(F.sum(F.octet_length("rep_text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)
     classes = slim.filter("n > 0 and rep_id is not null").groupBy("one", "two", "n").agg(F.min("rep_id").alias("x"), F.first("counted").alias("counted"), F.count(F.lit(1)).alias("copies"))
@@ -428,3 +432,27 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     out = out.unionByName(slim.filter(~has).select("rep_id", "n", F.lit(None).cast("long").alias("least")))
     component = F.when(F.col("rep_id").isNotNull(), F.coalesce("least", "rep_id"))
     return out.select(F.col("rep_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _by_text(base: DataFrame, n: int, percent: int) -> DataFrame:
+    """``near_groups`` where an id has several texts: each is a node, ids join them."""
+    one, has = F.count(F.lit(1)).alias("many"), F.col("n_shingles") > 0
+    rows = base.withColumn("node", F.when(F.col("rep_id").isNotNull(), F.xxhash64("rep_id", "rep_text")))
+    found = written(near_groups(rows, n, percent, "node", "rep_text").toDF("node", "n_shingles", "c"))
+    ids = written(rows.filter("node is not null").groupBy("node").agg(F.min("rep_id").alias("rep_id"), one))
+    # repeated rows are alike in every column, so any deal of them will do
+    own = spread_join(found.filter("node is not null"), ids, ["node"], "many", F.monotonically_increasing_id())
+    own = written(own.select("rep_id", "n_shingles", "node", "c"))
+    of = written(own.filter(has).select("rep_id", "c").distinct())
+    parts = -(-of.count() // NODES) or 1
+    lead = written(of.groupBy("rep_id").agg(F.min("c").alias("v"), one))
+    edges = spread_join(of, lead, ["rep_id"], "many", F.col("c")).select(F.col("c").alias("u"), "v")
+    nodes = written(of.groupBy(F.col("c").alias("x")).agg(F.min("rep_id").alias("low")), parts)
+    comps = components(nodes, edges, parts).join(nodes, "x")
+    least = written(comps.groupBy("c").agg(F.min("low").alias("least"), one), parts)
+    named = spread_join(comps, least, ["c"], "many", F.col("x")).select(F.col("x").alias("c"), "least")
+    named = written(named.join(own.filter(has).groupBy("c").agg(one), "c"))
+    out = spread_join(own.filter(has), named, ["c"], "many", F.col("node")).select("rep_id", "n_shingles", "least")
+    out = out.union(own.filter(~has).select("rep_id", "n_shingles", "rep_id"))
+    null = F.lit(None).cast("long")
+    return out.union(found.filter("node is null").select(null, "n_shingles", null))

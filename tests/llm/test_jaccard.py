@@ -117,3 +117,15 @@ def test_hot_shingles_are_posted_twice():
         bound = [got.get(i, 0) + least[i] for i in jaccard._sums(40, owner, h)[1].tolist()]
         assert all(b >= w for b, w in zip(bound, want))
         assert bound == want or len(parts) > 1
+
+
+def test_different_texts_under_one_id(spark):
+    """An id joins what its texts link with; its blank texts stay alone."""
+    r = random.Random(9)
+    a, b, c = (" ".join(str(r.random()) for _ in range(60)) for _ in range(3))
+    rows = [(9, a), (4, a + " end"), (4, b), (4, b), (4, " "), (7, b + " end"), (5, c), (None, a), (None, None), (5, c), (3, c + " end"), (8, a + " x y"), (2, "")]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, c int")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.near_groups(df.repartition(3)).collect())
+    size = lambda t: max(len((t or "").split()) - 3, 0)
+    want = {9: 4, 4: 4, 7: 4, 8: 4, 5: 3, 3: 3, 2: 2, None: -1}
+    assert got == sorted((i or -1, size(t), want[i]) for i, t in rows)
