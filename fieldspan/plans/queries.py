@@ -11,6 +11,7 @@ from .. import sinks
 from ..model import coerced
 from ..operators import attributes, catalog, depth, extract, fill, gaps, resample, station, trim
 from ..operators.qc import mask_flags
+from ..session import new_folder
 from ..sources import catalogs, files
 from .station import Limits, station_job
 
@@ -512,3 +513,77 @@ def union_records(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     return sinks.union_records([c, s])
+
+
+@query("""select c_custkey as "SITE_ID", case when c_custkey % 6 = 1 then printf('%.2f', (c_custkey % 90 + 1) / 100.0) else '' end as swc,
+    case when c_custkey % 6 = 3 then printf('-%.2f', (c_custkey % 90 + 1) / 100.0) else '' end as ts,
+    case when c_custkey % 6 > 3 then 'empty text' end as "ERROR" from customer""")
+def depth_rules(spark, sf_dir):
+    """Reports of one line: signs of sensor rows, depths out of range, blank and null texts."""
+    return _depths(extract.report_facts(one_liners(spark, sf_dir)), "ERROR")
+
+
+@query("select count(*) filter (where c_custkey % 6 <= 3)::bigint as n_ok, count(*) filter (where c_custkey % 6 > 3)::bigint as n_error from customer")
+def report_outcome(spark, sf_dir):
+    return extract.outcome(extract.report_facts(one_liners(spark, sf_dir)))
+
+
+def one_liners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    d = F.format_string("%.2f", (k % 90 + 1) / 100.0)
+    text = F.when(k % 6 == 0, F.concat(F.lit("a "), d, F.lit(" 2 3 TS_1_1_1"))).when(k % 6 == 1, F.concat(F.lit("a "), d, F.lit(" 2 3 SWC_1_1_1")))
+    text = text.when(k % 6 == 2, "-4.5 2 3 TS_1_1_1 here").when(k % 6 == 3, F.concat(F.lit("-"), d, F.lit(" 2 3 TS_1_1_1 here"))).when(k % 6 == 4, "  ")
+    return load(spark, sf_dir, "customer").select(k.alias("SITE_ID"), text.alias("text"))
+
+
+@query("""select c_name as station_id, o_orderkey as object, 'Step2 ' || case when o_orderkey % 3 = 0 then 'LABELLING' else 'Labelling' end || ' report' as name
+    from orders join customer on o_custkey = c_custkey where o_orderkey % 3 < 2""")
+def labelling_select(spark, sf_dir):
+    o, k = load(spark, sf_dir, "orders"), F.col("o_orderkey")
+    word = F.when(k % 3 == 0, "LABELLING").when(k % 3 == 1, "Labelling").otherwise("other")
+    names = o.select(k.alias("object"), F.concat(F.lit("Step2 "), word, F.lit(" report")).alias("name"))
+    stations = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("station"), F.col("c_name").alias("station_id"))
+    return catalogs.labelling_documents(o.select(k.alias("object"), F.col("o_custkey").alias("station")), names, stations)
+
+
+@query("select p_partkey, 'S-' || p_partkey::varchar as id from part")
+def file_ids(spark, sf_dir):
+    k = F.col("p_partkey")
+    return load(spark, sf_dir, "part").select(k, catalog.id_of_file(F.concat(F.lit("S-"), k, F.lit("_HH_2020.csv"))).alias("id"))
+
+
+# --- files written and read again ------------------------------------------------------
+
+
+@query("""select o_orderkey as "KEY", date_trunc('day', o_orderdate)::timestamp as "TIMESTAMP", case when o_orderkey % 7 <> 0 then o_totalprice end as "VALUE" from orders""")
+def tower_files(spark, sf_dir):
+    path, k = new_folder(spark), F.col("o_orderkey")
+    value = F.when(k % 7 == 0, -9999.0).otherwise(F.col("o_totalprice"))
+    load(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyyMMdd").alias("TIMESTAMP"), k.cast("long").alias("KEY"), value.alias("VALUE")).write.csv(path, header=True)
+    df = files.read_tower_csv(spark, path)
+    return df.select(F.col("KEY").cast("long").alias("KEY"), "TIMESTAMP", "VALUE")
+
+
+@query("""select event_id::double as "EVENT", date_trunc('minute', ts)::timestamp as "TIMESTAMP", case when event_id % 9 <> 0 then value end as "VALUE", event_type as "KIND" from events""")
+def station_files(spark, sf_dir):
+    """Records with a comment at the end of some lines."""
+    path, k = new_folder(spark), F.col("event_id")
+    kind = F.concat("event_type", F.when(k % 2 == 0, " # checked").otherwise(""))
+    rows = load(spark, sf_dir, "events").select(F.date_format("ts", "yyyyMMddHHmm").alias("TIMESTAMP"), k.alias("EVENT"), F.when(k % 9 == 0, -9999.0).otherwise(F.col("value")).alias("VALUE"), kind.alias("KIND"))
+    rows.write.csv(path, header=True)
+    return files.read_station_csv(spark, path)
+
+
+@query("""select c_custkey, '["' || c_name || '","' || c_mktsegment || '"]' as names from customer""")
+def table_files(spark, sf_dir):
+    path, c = new_folder(spark), load(spark, sf_dir, "customer")
+    sinks.write_table(c.select("c_custkey", F.array("c_name", "c_mktsegment").alias("names"), "c_acctbal"), path, drop=["c_acctbal"])
+    return spark.read.schema("c_custkey long, names string").csv(path, header=True, escape='"')
+
+
+@query(f"with {order_sql()} select station, depth, count(*)::bigint as n_days, count(v)::bigint as n_values, round(avg(v), 6) as mean_value from series group by all")
+def series_files(spark, sf_dir):
+    path = new_folder(spark)
+    sinks.write_series(order_days(spark, sf_dir), path, BY)
+    saved = spark.read.schema("depth string, day date, value double, station string").parquet(path)
+    return rounded(saved.groupBy(*BY, "depth").agg(F.count(F.lit(1)).alias("n_days"), F.count("value").alias("n_values"), F.avg("value").alias("mean_value")), "mean_value")

@@ -54,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder beside the written tables, removed as they are."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
+
+
 def written(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
@@ -62,9 +69,8 @@ def written(df: DataFrame, parts: int | None = None) -> DataFrame:
     table stays until ``kept`` or ``drop_tables`` removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
