@@ -88,11 +88,16 @@ def _matrix(blob: bytes, n: int) -> np.ndarray:
 
 
 def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group of rows of equal dimension: ids and vectors as binary."""
+    """One row per group of rows of equal dimension: ids and vectors as binary.
+
+    Repeated rows have one hash, so they meet in one group, where one of them stays.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s_id")
         vec = np.stack(pdf["s_vec"].to_list()).astype(np.int64)
+        _, one = np.unique(np.column_stack([pdf["s_id"].to_numpy(np.int64), vec]), axis=0, return_index=True)
+        pdf, vec = pdf.iloc[np.sort(one)], vec[np.sort(one)]
         row = {k: pdf[k].iloc[0] for k in keys} | {"n": len(pdf), "ids": pdf["s_id"].to_numpy(np.int64).tobytes(), "vecs": vec.tobytes()}
         if "floor" in pdf:
             row["floors"] = pdf["floor"].to_numpy(np.float64).tobytes()
@@ -105,8 +110,8 @@ def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best ``rows`` of each query.
 
-    Both sides as from ``quantised``; ids of ``rows`` are unique. A row is no candidate
-    for the query of its own id. Only vectors of one dimension are compared. A query set
+    Both sides as from ``quantised``; ids of ``rows`` are unique, but rows that repeat id
+    and vector count once. A row is no candidate for the query of its own id. Only vectors of one dimension are compared. A query set
     without rows, or rows without queries, gives an empty result, and fewer than ``k``
     rows give all. Work is dealt as (shard, block of queries): a task holds one shard and
     one block, the shards move once, and each query block goes to every shard, which is
@@ -122,7 +127,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     blocks = max(1, -(-asked.count() // BLOCK))
     first = asked.withColumn("floor", F.lit(float("-inf"))).withColumnRenamed("home", "shard")
     first = first.withColumn("block", F.floor(F.pmod(F.xxhash64(F.lit(3), "s_id"), F.lit(blocks)) / shards))
-    near = written(_searched(first, trees, k))
+    near = written(_searched(first, trees, k).distinct())
     rank = F.row_number().over(_window())
     kth = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("s_id"), F.col("score").cast("double").alias("floor"))
     rest = asked.join(kth, "s_id", "left").fillna(float("-inf"), ["floor"])

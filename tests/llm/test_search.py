@@ -37,3 +37,16 @@ def test_top_k(spark, monkeypatch):
 def test_few(spark):
     assert run(spark, [(0, [0.5, 0.5]), (1, [0.25, 0.5])]) == {(0, 1, 1, 128 * 64 + 128 * 128)}
     assert run(spark, [(0, None)]) == set()
+
+
+def test_repeated_rows_count_once(spark):
+    r = random.Random(5)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.75]) for _ in range(3)]) for i in range(40)]
+    assert run(spark, rows * 3) == brute(rows, 4)
+
+
+def test_clashing_columns(spark):
+    r = random.Random(6)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.75]) for _ in range(3)], "x", 1) for i in range(30)]
+    df = search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string, s_id int"))
+    assert {tuple(x) for x in search.top_k(df.filter("s_id % 5 = 0"), df, 4).collect()} == brute([x[:2] for x in rows], 4)
