@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, mixing, pii, quality, search, substrings, toxicity
+from . import alignment, bpe, counts, jaccard, lines, middle, mixing, pii, quality, search, substrings, toxicity
 from .common import load, sha256_hex
 
 
@@ -37,10 +37,10 @@ def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(rows.filter("s_id % 50 = 0"), rows, 5)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
+def op11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = counts.count_tokens(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return df.select("*", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = middle.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    chars = lambda c: F.length(c).cast("long").alias(f"{c[4:]}_chars")
+    back = middle.restored(F.col("fim_text"), F.col("fim_form"))
+    return df.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), chars("fim_prefix"), chars("fim_middle"), F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    df = alignment.scored(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digests=True)
+    return df.withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_counts": op11_counts,
+    "op12_middle": op12_middle,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 
@@ -205,4 +226,14 @@ SQL: dict[str, str] = {
             from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0
         ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op12_middle": """
+        with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+        h as (select doc_id, t, length(t)::bigint as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::bigint) as h from d),
+        c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+                when h[4] % 100 < 20 then 'spm' else 'psm' end as form from h),
+        p as (select *, t[:a] as p, t[a + 1:b] as m, t[b + 1:] as s from c)
+        select doc_id, n, form, case when form <> 'plain' then a end::bigint as prefix_chars, case when form <> 'plain' then b - a end::bigint as middle_chars,
+            sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+            sha256(t) as restored_sha256 from p""",
 }
