@@ -9,6 +9,7 @@ frequent ones by a table of bounded size, all others by a shuffle. No ids are ma
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -29,7 +30,7 @@ HOT = 1 << 18
 #: Bytes of a frequent pre-token at most.
 HOT_BYTES = 32
 #: Distinct pre-tokens that a task gathers before it passes them on.
-HELD = 1 << 17
+HELD = 1 << 16
 
 # The split of byte-level BPE, and the same for ASCII texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,7 +68,8 @@ class Splitter:
         self._ascii, self._settled = re.compile(ASCII_SPLIT).findall, regex.compile(SPLIT).findall
         self._is_settled = re.compile(f"[\0-{SETTLED}]*").fullmatch
 
-    def _plain(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text whose special tokens are plain text."""
         if text.isascii():
             return self._ascii(text)
         if self._is_settled(text):
@@ -77,15 +79,27 @@ class Splitter:
     def split(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens, and the number of special tokens between them."""
         if self._special is None or not self._special.search(text):
-            return self._plain(text), 0
+            return self.pieces(text), 0
         parts = self._special.split(text)
-        return [p for part in parts for p in self._plain(part)], len(parts) - 1
+        return [p for part in parts for p in self.pieces(part)], len(parts) - 1
 
     def sizes(self, pieces: list[str]) -> list[int]:
         """Number of tokens of each pre-token."""
         return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+_LOADED: dict[str, Splitter] = {}
+
+
+def splitter(spec: str) -> Splitter:
+    """The splitter of a file, one for all tasks of a worker."""
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Splitter(spec)
+    return _LOADED[key]
+
+
 def _spec(docs: DataFrame, tokenizer: str):
     """The file, read once on the driver, as a broadcast: its size does not grow with the data."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -103,7 +117,7 @@ def piece_sizes(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
     spec = _spec(docs, tokenizer)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(spec.value).split, Counter()
+        split, seen = splitter(spec.value).split, Counter()
         out = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["piece", "times"])
         for batch in small(batches, text_col):
             for text in batch.column(text_col).to_pylist():
@@ -115,10 +129,10 @@ def piece_sizes(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
         yield out()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Splitter(spec.value).sizes
+        sizes = splitter(spec.value).sizes
         for batch in small(batches, "piece"):
-            for lo in range(0, batch.num_rows, 5000):
-                part = batch.slice(lo, 5000)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 yield pa.record_batch([*part.columns, pa.array(sizes(part.column("piece").to_pylist()), pa.int64())], names=["piece", "times", "n_tokens"])
 
     found = docs.select(text_col).mapInArrow(gather, "piece string, times long")
@@ -145,7 +159,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", keep:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with the tokens of its frequent pre-tokens, and a row
         for each other pre-token of it."""
-        split, known = Splitter(spec.value).split, shared.value.get
+        split, known = splitter(spec.value).split, shared.value.get
         for batch in small(batches, "text_"):
             totals, at, pieces, times = [], [], [], []
             for i, text in enumerate(batch.column("text_").to_pylist()):
