@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,54 +23,117 @@ from pyspark.sql import types as T
 
 from .arrays import STEP, slices
 from .common import small_batches, written
+from .counts import Splitter
 
 #: A pair with one in so many of all links is frequent: there are at most so many.
 HOT = 1 << 17
+#: Stretches of text whose ids a task remembers for each tokenizer.
+KNOWN = 1 << 18
 #: Distinct links in one row; longer documents take more rows.
 ROW_LINKS = 1 << 15
 
 
-class ByteLevel:
+class Coder:
+    """Ids of texts, from those of the stretches they split into, each encoded once.
+
+    No merge of the tokenizer reaches from one stretch into the next.
+    """
+
+    def __init__(self, byte_strings: list[bytes]):
+        self.bytes = byte_strings
+        self._sizes = np.array([len(x) for x in byte_strings], np.int64)
+        self._known: dict[str, bytes | None] = {}
+
+    def _stretches(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def _ids(self, stretches: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def _learn(self, fresh: list[str]) -> None:
+        """The ids of each as 32-bit integers; None where they do not give it back."""
+        found, raw = self._ids(fresh), [s.encode() for s in fresh]
+        flat = np.fromiter(chain.from_iterable(found), np.int32)
+        ends = np.cumsum([len(i) for i in found])
+        sizes = np.append(0, np.cumsum(self._sizes[flat]))[ends]
+        packed, cuts = flat.tobytes(), [0, *(4 * ends).tolist()]
+        # bytes equal in all, and cut at the same places, are equal one by one
+        alike = np.array_equal(sizes, np.cumsum([len(r) for r in raw])) and b"".join(map(self.bytes.__getitem__, flat.tolist())) == b"".join(raw)
+        for i, (s, ids) in enumerate(zip(fresh, found, strict=True)):
+            same = alike or b"".join(map(self.bytes.__getitem__, ids)) == raw[i]
+            self._known[s] = packed[cuts[i] : cuts[i + 1]] if same else None
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text with a space before it, as 32-bit integers; None where their
+        bytes are not the space and the text."""
+        parts, known = [self._stretches(" " + t) if t else [] for t in texts], self._known
+        fresh = list({s for p in parts for s in p if s not in known})
+        if len(known) + len(fresh) > KNOWN:
+            known.clear()
+            fresh = list({s for p in parts for s in p})
+        for lo in range(0, len(fresh), 1000):
+            self._learn(fresh[lo : lo + 1000])
+        out = []
+        for p in parts:
+            ids = list(map(known.__getitem__, p))
+            out.append(None if None in ids else b"".join(ids))
+        return out
+
+
+class ByteLevel(Coder):
     """A byte-level BPE file; strings of special tokens in a text are plain text."""
 
     def __init__(self, content: bytes):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_str(content.decode())
+        splitter = Splitter(content.decode())
+        self._stretches, self._tokenizer = splitter.pieces, splitter.tokenizer
         self._tokenizer.encode_special_tokens = True
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
         parsed = json.loads(content)
         special = {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
         # Printable bytes stand for themselves, the others count from 256 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         entry = {i: bytes(map(byte.__getitem__, t)) for t, i in parsed["model"]["vocab"].items() if i not in special} | special
-        self.bytes = [entry.get(i, b"") for i in range(max(entry) + 1)]
+        super().__init__([entry.get(i, b"") for i in range(max(entry) + 1)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text with a space before it."""
-        return [e.ids for e in self._tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def _ids(self, stretches: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
 
 
-class Pieces:
-    """A sentencepiece model with byte fallback, which puts the space before the text itself."""
+class Pieces(Coder):
+    """A sentencepiece BPE model with byte fallback, which puts the space before a text itself.
+
+    Pieces hold the sign for a space at their start only, or consist of it, so that a
+    text falls apart before each run of spaces. Others raise ValueError.
+    """
 
     def __init__(self, content: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self._model = SentencePieceProcessor(model_proto=content)
-        name = self._model.id_to_piece
-        plain = lambda i: bytes([int(name(i)[3:5], 16)]) if self._model.is_byte(i) else name(i).replace("▁", " ").encode()
-        self.bytes = [plain(i) for i in range(self._model.get_piece_size())]
+        names = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
+        if any("▁" in n.lstrip("▁") for n in names):
+            raise ValueError("a piece holds a space after another character")
+        plain = lambda i, n: bytes([int(n[3:5], 16)]) if self._model.is_byte(i) else n.replace("▁", " ").encode()
+        super().__init__([plain(i, n) for i, n in enumerate(names)])
+        self._split = re.compile(r" +[^ ]+(?: +\Z)?| +").findall
+
+    def _stretches(self, text: str) -> list[str]:
+        # the sign itself in a text would stand for a space: such a text stays whole, and fails
+        return [text] if "▁" in text else self._split(text)
+
+    def _ids(self, stretches: list[str]) -> list[list[int]]:
+        return self._model.encode([s[1:] for s in stretches], num_threads=1)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self._model.encode(texts, num_threads=1)
 
+_LOADED: dict[tuple[str, str], Coder] = {}
 
-def _coder(path: str, content: bytes):
-    return Pieces(content) if path.endswith(".model") else ByteLevel(content)
+
+def _coder(path: str, content: bytes) -> Coder:
+    """The coder of a file, one for all tasks of a worker."""
+    key = (path, hashlib.sha256(content).hexdigest())
+    if key not in _LOADED:
+        _LOADED[key] = Pieces(content) if path.endswith(".model") else ByteLevel(content)
+    return _LOADED[key]
 
 
 @dataclass(frozen=True)
@@ -116,21 +180,17 @@ class Aligner:
         self._text = [f"{i}," for i in range(len(a.bytes))] + [f"{i}|" for i in range(len(a.bytes))]
         self._text += [f"{i}," for i in range(len(b.bytes))] + [f"{i};" for i in range(len(b.bytes))]
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of both sides; none where either's bytes are not the space and the text."""
-        out = []
-        for t, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts), strict=True):
-            want = b" " + t.encode()
-            same = t and b"".join(map(self.a.bytes.__getitem__, x)) == want and b"".join(map(self.b.bytes.__getitem__, y)) == want
-            out.append((x, y) if same else ([], []))
-        return out
+        both = zip(self.a.encode(texts), self.b.encode(texts), strict=True)
+        return [(b"", b"") if x is None or y is None else (x, y) for x, y in both]
 
     def align(self, texts: list[str]):
         """For each text n_a, n_b, n_groups, n_links and the groups as text; and of all
         texts the distinct links as (place of the text, id of a, id of b, times)."""
         pairs = self.tokens(texts)
-        n_a, n_b = (np.array([len(p[side]) for p in pairs], np.int64) for side in (0, 1))
-        a, b = (np.array([i for p in pairs for i in p[side]], np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([len(p[side]) // 4 for p in pairs], np.int64) for side in (0, 1))
+        a, b = (np.frombuffer(b"".join(p[side] for p in pairs), np.int32).astype(np.int64) for side in (0, 1))
         # the texts one after the other are one text whose parts end on both sides
         m = merge_ends(np.cumsum(self._size_a[a]), np.cumsum(self._size_b[b]))
         doc_a = np.repeat(np.arange(len(texts)), n_a)
