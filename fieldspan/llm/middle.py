@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,9 +23,10 @@ from .common import small_batches
 
 #: Any one code point.
 POINT = r"[\s\S]"
-#: Code points split at a time, where units are code points: the offsets of a long text
-#: take some 300 bytes each.
-CHUNK = 1 << 16
+#: A word with the space after it, of at most 64 code points, and how many of these a
+#: task remembers: where units are code points, equal runs have as many units.
+RUN = r"\S{0,63}\s|\S{1,64}"
+KNOWN = 1 << 17
 #: What stands before prefix, suffix and middle.
 MARKERS = ("<P>", "<S>", "<M>")
 
@@ -38,25 +41,32 @@ class Offsets:
         self._tokenizer = Tokenizer(models.WordLevel({"": 0}, unk_token=""))
         self._tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(unit), "isolated")
         # single code points may be split anywhere first, other matches may not
-        self._chunk = CHUNK if unit == POINT else None
-
-    def _encoded(self, text: str, part: int = 0):
-        step = self._chunk or len(text)
-        return self._tokenizer.encode(text[part * step : (part + 1) * step], add_special_tokens=False)
+        self._runs = re.compile(RUN).findall if unit == POINT else lambda text: [text] if text else []
+        self._known: dict[str, int] = {}
+
+    def _sizes(self, runs: list[str]) -> list[int]:
+        """Number of units of each run, each distinct one split once."""
+        fresh = [r for r in dict.fromkeys(runs) if r not in self._known]
+        if len(self._known) + len(fresh) > KNOWN:
+            self._known.clear()
+            fresh = list(dict.fromkeys(runs))
+        for lo in range(0, len(fresh), 1000):
+            part = fresh[lo : lo + 1000]
+            self._known.update(zip(part, map(len, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return list(map(self._known.__getitem__, runs))
 
     def cut(self, text: str, *draws: int) -> tuple[int, list[int]]:
         """The number n of units and, for each draw, the code points before unit draw % (n + 1)."""
-        step = self._chunk or max(len(text), 1)
-        if len(text) <= step:
-            one = self._encoded(text) if text else ()
-            n = len(one)
-            ranks = [d % (n + 1) for d in draws]
-            return n, [len(text) if r == n else one.token_to_chars(r)[0] for r in ranks]
-        # a part has as many units as code points; only those with a cut are split again
-        sizes = [len(self._encoded(text, i)) for i in range(-(-len(text) // step))]
-        n, out = sum(sizes), []
-        for r in (d % (n + 1) for d in draws):
-            out.append(len(text) if r == n else r // step * step + self._encoded(text, r // step).token_to_chars(r % step)[0])
+        runs = self._runs(text)
+        before = [0, *accumulate(self._sizes(runs))]
+        n, out = before[-1], []
+        for rank in (d % (n + 1) for d in draws):
+            if rank == n:
+                out.append(len(text))
+                continue
+            i = bisect_right(before, rank) - 1
+            offsets = self._tokenizer.encode(runs[i], add_special_tokens=False).offsets
+            out.append(sum(map(len, runs[:i])) + offsets[rank - before[i]][0])
         return n, out
 
 

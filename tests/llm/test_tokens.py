@@ -84,9 +84,9 @@ def by_hand(i, text):
     return n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}"
 
 
-@pytest.mark.parametrize("chunk", [middle.CHUNK, 7])
-def test_middle(docs, monkeypatch, chunk):
-    monkeypatch.setattr(middle, "CHUNK", chunk)
+@pytest.mark.parametrize("known", [middle.KNOWN, 7])
+def test_middle(docs, monkeypatch, known):
+    monkeypatch.setattr(middle, "KNOWN", known)
     df = middle.fill_in_middle(docs)
     rows = df.withColumn("back", middle.restored(F.col("fim_text"), F.col("fim_form"))).collect()
     assert len(rows) == len(VALUES)
@@ -174,6 +174,7 @@ def test_alignment(docs, monkeypatch, expected, hot, row_links):
     monkeypatch.setattr(alignment, "HOT", hot)
     monkeypatch.setattr(alignment, "ROW_LINKS", row_links)
     monkeypatch.setattr(alignment, "STEP", 500)
+    monkeypatch.setattr(alignment, "KNOWN", 100 if row_links == 3 else alignment.KNOWN)
     got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups) for r in alignment.scored(docs, A, B).collect()}
     assert got == expected
     assert any(v[0] == 0 and t for v, t in zip(expected.values(), VALUES))
