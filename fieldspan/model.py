@@ -53,9 +53,9 @@ def without_missing(df: DataFrame) -> DataFrame:
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out[f.name] = F.nullif(null_if_nan(F.col(f.name)), F.lit(MISSING))
+            out[f.name] = F.nullif(null_if_nan(F.col(f"`{f.name}`")), F.lit(MISSING))
         elif isinstance(f.dataType, (T.IntegerType, T.LongType)):
-            out[f.name] = F.nullif(F.col(f.name), F.lit(int(MISSING)))
+            out[f.name] = F.nullif(F.col(f"`{f.name}`"), F.lit(int(MISSING)))
         elif isinstance(f.dataType, T.StringType):
-            out[f.name] = F.when(~F.trim(f.name).isin("-9999", "-9999.0"), F.col(f.name))
+            out[f.name] = F.when(~F.trim(f"`{f.name}`").isin("-9999", "-9999.0"), F.col(f"`{f.name}`"))
     return df.withColumns(out)

@@ -17,6 +17,17 @@ def pivot_groups(rows: DataFrame, variables: Sequence[str], by: Sequence[str] =
     return wanted.groupBy(*by).agg(*[F.when(F.count_if(F.col(variable) == v) > 0, pick(v)).alias(v) for v in variables])
 
 
+def group_maps(rows: DataFrame, by: Sequence[str] = GROUP, variable: str = "VARIABLE", value: str = "DATAVALUE", order: str = "ord") -> DataFrame:
+    """One row per group with a map of all its variables, whichever they are.
+
+    Of repeats of a variable the last by ``order`` stays, a NULL value too; rows without
+    a variable are left out. The first exchange is by group and variable, so that a group
+    of many repeats is added up in parts; a group's map holds each variable once.
+    """
+    last = rows.filter(F.col(variable).isNotNull()).groupBy(*by, variable).agg(F.max_by(value, order).alias("last_"))
+    return last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(variable, "last_")))).alias("variables"))
+
+
 def whole(text: Column) -> Column:
     """A number's whole part, cut toward zero; NULL for text that is no finite number."""
     x = text.try_cast("double")

@@ -70,7 +70,8 @@ def _between(col: str, ends) -> Column | None:
     return F.col(col).between(*ends) if ends else None
 
 
-def filter_towers(sites: DataFrame, igbp=None, country=None, lat_range=None, lon_range=None, data_policy=None, min_years=None, flux_only=False, flux_col: str = "flux_data", flux_start: str = "FLUX_START", flux_year_range=None, min_flux_years=None, active_only=False) -> DataFrame:
+# The argument names of this filter and the next, which are their interface.
+def filter_towers(sites: DataFrame, igbp=None, country=None, lat_range=None, lon_range=None, data_policy=None, min_years=None, flux_only=True, flux_col: str = "flux_data", flux_start: str = "FLUX_START", flux_year_range=None, min_flux_years=None, active_only=False) -> DataFrame:
     """All given predicates at once; one left out, or an empty list, tests nothing.
 
     ``min_years`` compares end minus start. Years of ``flux_col`` in the window count

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,9 +50,17 @@ def mark_surface_window(series: DataFrame, max_gap_days: int = 7, surface: str =
     return marked.select("*", F.col("best_.a").alias("start"), F.col("best_.z").alias("end")).drop("available", "island", "len_", "a_", "z_", "best_")
 
 
+def coverage(series: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, depth, coverage): the share of a depth's days that have a value."""
+    return series.groupBy(*by, "depth").agg(_share().alias("coverage"))
+
+
+def _share() -> Column:
+    return F.avg(F.col("value").isNotNull().cast("double"))
+
+
 def inside_surface_window(marked: DataFrame, min_frac: float = 0.95, by: Sequence[str] = KEYS) -> DataFrame:
     """Rows of a marked series from ``start`` to before ``end``, of depths with values on
     ``min_frac`` of those days."""
     inside = marked.filter((F.col("day") >= F.col("start")) & (F.col("day") < F.col("end"))).drop("start", "end")
-    share = F.avg(F.col("value").isNotNull().cast("double")).over(W.partitionBy(*by, "depth"))
-    return inside.withColumn("share", share).filter(F.col("share") >= min_frac).drop("share")
+    return inside.withColumn("share", _share().over(W.partitionBy(*by, "depth"))).filter(F.col("share") >= min_frac).drop("share")

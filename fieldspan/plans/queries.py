@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import sinks
+from .. import named, sinks
 from ..model import coerced
-from ..operators import attributes, catalog, depth, extract, fill, gaps, resample, station, trim
+from ..operators import attributes, catalog, depth, extract, fill, gaps, intervals, resample, station, trim
 from ..operators.qc import mask_flags
-from ..session import new_folder
-from ..sources import catalogs, files
+from ..session import new_folder, written
+from ..sources import archive, catalogs, files
 from .station import Limits, station_job
 
 BY = ("station",)
@@ -212,28 +212,53 @@ def feb29_fallback(spark, sf_dir):
     return rounded(filled.filter(F.date_format("day", "MM-dd") == "02-29"), "value")
 
 
+WINDOWS = ("1993-02-28", "1996-03-01", "1994-07-15", "1997-02-28", "1992-01-01", "1998-12-31")
+WINDOW_SQL = "union all ".join(f"""select {i} as win, * from (with win as (select * from series where day between date '{a}' and date '{z}'), {fill_sql("win")}
+    select station, depth, day, round(value, 6) as value, value_qc from filled) """ for i, (a, z) in enumerate(zip(WINDOWS[::2], WINDOWS[1::2], strict=True)))
+
+
+@query(f"with {order_sql()} {WINDOW_SQL}")
+def gapfill_windows(spark, sf_dir):
+    """Three windows of each station, filled from one table of running sums."""
+    s = written(order_days(spark, sf_dir))
+    sums, out = written(fill.climatology_sums(s, BY)), None
+    for i, (a, z) in enumerate(zip(WINDOWS[::2], WINDOWS[1::2], strict=True)):
+        windows = s.select(*BY).distinct().select(*BY, F.lit(a).cast("date").alias("start"), F.lit(z).cast("date").alias("end"))
+        part = rounded(fill.fill_window(s, sums, windows, BY), "value").select(F.lit(i).alias("win"), *BY, "depth", "day", "value", "value_qc")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"with {ship_sql()} select station, depth, round(avg(case when v is null then 0.0 else 1.0 end), 6) as coverage from series group by all")
 def coverage(spark, sf_dir):
-    share = F.avg(F.col("value").isNotNull().cast("double"))
-    return rounded(shipments(spark, sf_dir).groupBy(*BY, "depth").agg(share.alias("coverage")), "coverage")
+    return rounded(trim.coverage(shipments(spark, sf_dir), BY), "coverage")
 
 
 def shipment_job(spark: SparkSession, sf_dir: str):
-    """Line items as raw observations: station 0 is dense, 4 and 5 less so, 6 has no
-    surface sensors, 7 only bad flags, and 1 to 3 have no rows."""
+    """Line items as raw observations: station 0 is dense, 4 and 5 less so, 6 has its
+    shallow sensors 10 cm deeper, 7 only bad flags, and 1 to 3 have no rows."""
+    obs, stations = shipment_rows(spark, sf_dir)
+    return station_job(obs, stations, JOB_LIMITS, BY)
+
+
+JOB_LIMITS = Limits(min_obs=1, max_gap_days=7, min_frac=0.2, min_days=400)
+
+
+def shipment_rows(spark: SparkSession, sf_dir: str, dense: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Observations and stations; the suppliers that make up station 0 are ``dense`` of 8."""
     li, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part").select("p_partkey", "p_size")
-    k = F.when(F.col("l_suppkey") % 8 < 4, 0).otherwise(F.col("l_suppkey") % 8)
+    k = F.when(F.col("l_suppkey") % 8 < dense, 0).otherwise(F.col("l_suppkey") % 8)
     obs = li.join(part, li["l_partkey"] == part["p_partkey"]).select(
-        k.cast("string").alias("station"), F.col("l_suppkey").cast("string").alias("sensor"), F.col("p_size").cast("double").alias("depth_to"),
+        k.cast("string").alias("station"), F.col("l_suppkey").cast("string").alias("sensor"), (F.col("p_size") + F.when((k == 6) & (F.col("p_size") <= 10), 10).otherwise(0)).cast("double").alias("depth_to"),
         F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"), F.when(k == 7, "C01").otherwise("G").alias("flag"),
-    ).filter((F.col("station") != "6") | (F.col("depth_to") > 10))
+    )
     stations = spark.range(8).select(F.col("id").cast("string").alias("station"), (F.col("id") * 1.5).alias("latitude"), (F.col("id") * 2.5).alias("longitude"))
-    return station_job(obs, stations, Limits(min_obs=1, max_gap_days=7, min_frac=0.2, min_days=400), BY)
+    return obs, stations
 
 
-STATUS_SQL = f"""with obs as (select case when l_suppkey % 8 < 4 then 0 else l_suppkey % 8 end as k, cast(p_size as double) as depth, cast(l_shipdate as date) as day, l_shipdate as ts,
-        case when l_suppkey % 8 <> 7 then l_quantity end as x from lineitem join part on l_partkey = p_partkey
-        where l_suppkey % 8 <> 6 or p_size > 10),
+STATUS_SQL = f"""with obs as (select case when l_suppkey % 8 < 4 then 0 else l_suppkey % 8 end as k,
+        cast(p_size + case when l_suppkey % 8 = 6 and p_size <= 10 then 10 else 0 end as double) as depth, cast(l_shipdate as date) as day, l_shipdate as ts,
+        case when l_suppkey % 8 <> 7 then l_quantity end as x from lineitem join part on l_partkey = p_partkey),
     a1 as (select cast(k as varchar) as station, depth, day, ts, avg(x) as v from obs group by all),
     a2 as (select station, depth, day, avg(v) as v, count(v) as n from a1 group by all),
     {DENSE_SQL},
@@ -352,6 +377,23 @@ def missing_ids(spark, sf_dir):
     return catalog.missing_ids(ids, had.select(F.col("o_custkey").alias("SITE_ID")))
 
 
+@query("""with w as (select c_custkey as asked, c_nationkey as nation, timestamp '1992-01-01' + interval 1 day * (c_custkey * 37 % 2400) as s,
+        timestamp '1992-01-01' + interval 1 day * (c_custkey * 37 % 2400 + case when c_custkey % 50 = 0 then 20000 else c_custkey % 90 end) as e from customer),
+    o as (select o_orderkey as object, c_nationkey as nation, least(o_orderdate, l) as a, greatest(o_orderdate, l) as z from orders join customer on o_custkey = c_custkey
+        join (select l_orderkey, max(l_shipdate) as l from lineitem group by all) on o_orderkey = l_orderkey)
+    select asked, object from o join w on o.nation = w.nation and a <= e and s <= z""")
+def overlap_windows(spark, sf_dir):
+    """Objects within the windows that customers of their nation ask for, some very long."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asked"), F.col("c_nationkey").alias("nation"))
+    k, day = F.col("asked"), F.expr("interval 1 day")
+    first = F.lit("1992-01-01").cast("timestamp")
+    windows = c.select("asked", "nation", (first + day * (k * 37 % 2400)).alias("s"), (first + day * (k * 37 % 2400 + F.when(k % 50 == 0, 20000).otherwise(k % 90))).alias("e"))
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c.select(F.col("asked").alias("o_custkey"), "nation"), "o_custkey")
+    objs = objects(spark, sf_dir).select(F.col("ord").alias("object"), "time_start", "time_end")
+    objs = objs.join(o.select(F.col("o_orderkey").alias("object"), "nation"), "object")
+    return intervals.overlap_join(objs, windows, ("time_start", "time_end"), ("s", "e"), ["nation"], "60 days").select("asked", "object")
+
+
 @query("""select c_custkey as "SITE_ID", c_name as name, c_acctbal as balance, ((row_number() over (order by c_custkey) - 1) // 10)::bigint as batch from customer""")
 def batch_ids(spark, sf_dir):
     return catalog.batches(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("SITE_ID"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), ["SITE_ID"])
@@ -379,11 +421,13 @@ def requested_inventory(spark, sf_dir):
 
 
 @query("""select 0 as spec, o_orderkey as object, o_totalprice as price from orders where o_orderstatus = 'F'
-    union all select 1, o_orderkey, null from orders where o_orderstatus = 'O'""")
+    union all select 1, o_orderkey, null from orders where o_orderstatus = 'O'
+    union all select 2, o_orderkey, o_totalprice from orders where o_orderstatus not in ('F', 'O') or o_orderstatus is null""")
 def linked_objects(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object"), F.col("o_totalprice").alias("price"), "o_orderstatus")
-    both = catalogs.link_objects([o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'").drop("price")])
-    return both.select(F.col("ord.spec").alias("spec"), "object", "price")
+    rest = o.filter("o_orderstatus not in ('F', 'O') or o_orderstatus is null")
+    every = catalogs.link_objects([o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'").drop("price"), rest])
+    return every.select(F.col("ord.spec").alias("spec"), "object", "price")
 
 
 @query("select c_custkey from customer order by md5('42:' || c_custkey::varchar), c_custkey limit 100")
@@ -421,6 +465,15 @@ def eav_pivot_latest(spark, sf_dir):
     return attributes.pivot_groups(attribute_rows(spark, sf_dir), ["view", "click", "error"]).drop("VARIABLE_GROUP")
 
 
+@query("""select user_id::varchar as "SITE_ID", (user_id % 7)::varchar as "GROUP_ID", string_agg(event_type || '=' || e::varchar, ';' order by event_type) as variables
+    from (select user_id, event_type, max(event_id) as e from events group by all) group by user_id""")
+def attribute_maps(spark, sf_dir):
+    """Groups of whatever variables there are, as maps."""
+    maps = attributes.group_maps(attribute_rows(spark, sf_dir))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("variables")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return maps.select("SITE_ID", "GROUP_ID", shown.alias("variables"))
+
+
 @query("""select p_brand as "SITE_ID", string_agg(a::varchar || '-' || b::varchar, ';' order by a, b) as ranges from
     (select distinct p_brand, p_size as a, p_size + p_partkey % 5 as b from part where p_partkey % 11 <> 0) group by all""")
 def depth_ranges(spark, sf_dir):
@@ -587,3 +640,104 @@ def series_files(spark, sf_dir):
     sinks.write_series(order_days(spark, sf_dir), path, BY)
     saved = spark.read.schema("depth string, day date, value double, station string").parquet(path)
     return rounded(saved.groupBy(*BY, "depth").agg(F.count(F.lit(1)).alias("n_days"), F.count("value").alias("n_values"), F.avg("value").alias("mean_value")), "mean_value")
+
+
+@query("""select o_orderkey as "KEY", date_trunc('day', o_orderdate)::timestamp as "TIMESTAMP", case when o_orderkey % 7 <> 0 then o_totalprice end as "VALUE",
+    case when o_orderkey % 3 = 2 then o_orderstatus end as "STATUS" from orders""")
+def tower_folder(spark, sf_dir):
+    """A folder whose files have their columns in different orders, and some one more."""
+    path, k = new_folder(spark), F.col("o_orderkey")
+    value = F.when(k % 7 == 0, -9999.0).otherwise(F.col("o_totalprice"))
+    rows = load(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyyMMdd").alias("TIMESTAMP"), k.cast("long").alias("KEY"), value.alias("VALUE"), F.col("o_orderstatus").alias("STATUS"))
+    for i, names in enumerate((["TIMESTAMP", "KEY", "VALUE"], ["VALUE", "TIMESTAMP", "KEY"], ["KEY", "STATUS", "VALUE", "TIMESTAMP"])):
+        rows.filter(F.col("KEY") % 3 == i).select(*names).write.mode("append").csv(path, header=True)
+    df = files.read_tower_csv(spark, path)
+    return df.select(F.col("KEY").cast("long").alias("KEY"), "TIMESTAMP", "VALUE", "STATUS")
+
+
+DATE_PATTERNS = ("yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm", "dd.MM.yyyy HH:mm", "yyyyMMddHHmm")
+
+
+def dated_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events in folders of files that write their dates in five ways."""
+    path, k = new_folder(spark), F.col("event_id")
+    rows = load(spark, sf_dir, "events").select("ts", k.alias("EVENT"), F.when(k % 9 == 0, -9999.0).otherwise(F.col("value")).alias("VALUE"))
+    for i, pattern in enumerate(DATE_PATTERNS):
+        part = rows.filter(F.col("EVENT") % 5 == i).coalesce(1)
+        part.select(F.date_format("ts", pattern).alias("Date"), "EVENT", "VALUE").write.mode("append").csv(path, header=True)
+    return path
+
+
+@query("""select event_id::double as "EVENT", date_trunc('minute', ts)::timestamp as "Date", case when event_id % 9 <> 0 then value end as "VALUE" from events""")
+def dated_records(spark, sf_dir):
+    """Every date read as its own file writes it."""
+    return files.read_station_csv(spark, dated_files(spark, sf_dir))
+
+
+@query("""with f as (select event_id % 5 as i, count(*) as n, max(day(ts)) as d, count(*) filter (where day(ts) <= 12 and day(ts) <> month(ts)) as either from events group by all)
+    select (['yyyy-MM-dd', case when d > 12 then 'dd/MM/yyyy' else 'MM/dd/yyyy' end, 'MM/dd/yyyy', 'dd.MM.yyyy', 'digits'])[i + 1] as format, n::bigint as n, n::bigint as n_parsed,
+        (i in (1, 2) and d <= 12 and either > 0) as ambiguous from f""")
+def date_votes(spark, sf_dir):
+    return files.station_dates(spark, dated_files(spark, sf_dir)).drop("file")
+
+
+# --- station archives ------------------------------------------------------------------
+
+
+def written_archive(spark: SparkSession, sf_dir: str) -> str:
+    """Shipments as a station archive: a file per station and depth.
+
+    Stations 0 and 3 are of network A, the others of B. Station 4 has the layout without
+    headers, and each file of station 3 ends in a line that no layout allows.
+    """
+    path = new_folder(spark)
+    rows = shipment_rows(spark, sf_dir, 3)[0].withColumn("net", F.when(F.col("station") < "4", "A").otherwise("B"))
+    six = lambda c: F.format_string("%.6f", c)
+    depth_ = six(F.col("depth_to"))
+    name = F.concat("net", F.lit("/"), "station", F.lit("/"), "net", F.lit("_"), "station", F.lit("_sm_"), depth_, F.lit("_"), depth_, F.lit("_probe.stm"))
+    at, k = F.date_format("ts", "yyyy/MM/dd HH:mm"), F.col("station").cast("int")
+    place = F.concat_ws(" ", six(k * 1.5), six(k * 2.5), F.lit("10.0"), depth_, depth_)
+    short = F.concat_ws(" ", at, F.col("value").cast("string"), "flag", F.lit("M"))
+    long = F.concat_ws(" ", at, at, F.lit("list"), "net", "station", place, F.col("value").cast("string"), "flag", F.lit("M"))
+    part = lambda df, i, text: df.select(name.alias("name"), F.lit(i).alias("part"), text.alias("text"))
+    heads = part(rows.filter("station <> '4'"), 0, F.concat_ws(" ", "net", "net", "station", place, F.lit("probe"))).distinct()
+    bad = part(rows.filter("station = '3'"), 2, F.lit("2020/13/45 00:00 oops")).distinct()
+    named.write_text_files(heads.union(part(rows, 1, F.when(F.col("station") == "4", long).otherwise(short))).union(bad), path, "name", "text", ["part", "text"])
+    return path
+
+
+ARCHIVE_SQL = STATUS_SQL.replace("< 4 then 0", "< 3 then 0").replace("st as (select cast(i as varchar) as station, i * 1.5::double as lat, i * 2.5::double as lon from range(8) r(i)),", """st as (select station, station::int * 1.5::double as lat,
+        station::int * 2.5::double as lon from (select distinct cast(k as varchar) as station from obs)),
+    files as (select cast(k as varchar) as station, count(*) + 2 as n, 'A_3_sm_' || printf('%.6f', depth) || '_' || printf('%.6f', depth) || '_probe.stm' as file from obs where k = 3 group by k, depth),
+    bad as (select station, count(*)::bigint as n_problems, arg_min(file || ':' || n::varchar || ':2020/13/45 00:00 oops', file) as problem from files group by all),""")
+ARCHIVE_SQL = f"""with t as ({ARCHIVE_SQL.rsplit(" from s", 1)[0]}, coalesce(n_problems, 0)::bigint as n_problems, problem from s left join bad using (station))
+    select station, case when n_problems > 0 then 'error' else status end as status, case when n_problems > 0 then problem else remark end as remark,
+        {", ".join(f"case when n_problems = 0 then {c} end as {c}" for c in ("latitude", "longitude", "start_date", "end_date", "n_days", "max_depth_cm", "depths", "filename"))}, n_problems from t"""
+
+
+@query(ARCHIVE_SQL)
+def archive_status(spark, sf_dir):
+    """The station job over an archive: a station with lines that cannot be read is an error."""
+    path = written_archive(spark, sf_dir)
+    job = station_job(archive.read_archive(spark, path).drop("network"), archive.read_archive_stations(spark, path).drop("network"), JOB_LIMITS, BY)
+    return job.status.withColumn("depths", F.when(F.col("status") == "saved", F.concat_ws(",", "depths")))
+
+
+@query("""select 'B' as network, cast(l_suppkey % 8 as varchar) as station, d as depth_to, count(*)::bigint as n, round(avg(l_quantity), 6) as mean_value
+    from (select *, (p_size + case when l_suppkey % 8 = 6 and p_size <= 10 then 10 else 0 end)::double as d from lineitem join part on l_partkey = p_partkey)
+    where l_suppkey % 8 in (4, 6) and d > 20 group by all""")
+def archive_slice(spark, sf_dir):
+    """Two stations of one network below a depth: other folders and files are not opened."""
+    rows = archive.read_archive(spark, written_archive(spark, sf_dir), network=["B"], station=["4", "6"], depth=(20.5, None))
+    return rounded(rows.groupBy("network", "station", "depth_to").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")), "mean_value")
+
+
+@query(STATUS_SQL.rsplit("select station, case", 1)[0] + """select filled.station || '_' || strftime(a, '%Y%m%d') || '_' || strftime(z, '%Y%m%d') as file, depth, count(*)::bigint as n_days, round(avg(value), 6) as mean_value
+    from filled join s using (station) where step = 6 group by all""")
+def named_series(spark, sf_dir):
+    """Saved series in a file per station, named by its days, and read back."""
+    path = new_folder(spark)
+    named.write_station_files(shipment_job(spark, sf_dir).saved, path, BY)
+    saved = spark.read.schema("station string, depth string, day date, value double").parquet(path)
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
+    return rounded(saved.groupBy(file.alias("file"), "depth").agg(F.count(F.lit(1)).alias("n_days"), F.avg("value").alias("mean_value")), "mean_value")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEYS
 from ..operators import depth, fill, gaps, qc, resample, station, trim
+from ..sources import archive
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,12 @@ def daily_bins(obs: DataFrame, limits: Limits = Limits(), by: Sequence[str] = KE
 
 
 def station_job(obs: DataFrame, stations: DataFrame, limits: Limits = Limits(), by: Sequence[str] = KEYS) -> StationJob:
+    """``obs`` with a column ``problem``, as archives are read, makes the stations that
+    have any an ``error``; their other lines are worked on, but nothing of them is saved."""
+    bad = None
+    if "problem" in obs.columns:
+        bad = archive.problems(obs, by)
+        obs = obs.filter("problem is null")
     days = resample.daily(resample.mean_by_depth(qc.mask_flags(obs), by), by)
     kept = resample.drop_empty_depths(days, by)
     # the deepest depth is reported in cm as if all depths were in metres, as before
@@ -52,7 +59,7 @@ def station_job(obs: DataFrame, stations: DataFrame, limits: Limits = Limits(),
     marked = trim.mark_surface_window(series, limits.max_gap_days, limits.surface, by)
     trimmed = trim.inside_surface_window(marked, limits.min_frac, by)
     filled = fill.fill_from_climatology(trimmed, by, aligned=True)
-    table = station.status(stations, found, marked, filled, by, limits.min_days)
+    table = station.status(stations, found, marked, filled, by, limits.min_days, problems=bad)
     runs = gaps.longest_available_run(series, limits.max_gap_days, by)
     saved = filled.join(table.filter("status = 'saved'").select(*by, "filename"), list(by))
     return StationJob(series, runs, trimmed, filled, table, saved)

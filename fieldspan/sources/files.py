@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import OBSERVATIONS, without_missing
+from ..session import written
 
 RESOLUTIONS = ("HH", "DD", "WW", "MM", "YY")
 
@@ -23,37 +24,127 @@ def parse_time(col: Column) -> Column:
     return F.coalesce(digits_to_time(col), F.try_to_timestamp(col.cast("string")).cast("timestamp_ntz"))
 
 
-def read_tower_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Comma-separated records, -9999 missing, timestamps parsed and in order."""
-    df = without_missing(spark.read.csv(path, header=True, inferSchema=True))
-    key = next((c for c in ("TIMESTAMP", "TIMESTAMP_START") if c in df.columns), None)
-    times = {c: digits_to_time(F.col(c)) for c in ("TIMESTAMP", "TIMESTAMP_START", "TIMESTAMP_END") if c in df.columns}
-    df = df.withColumns(times)
+#: Dates by name, in the order that decides between equal votes: month before day. A time
+#: may follow each but the digits, which tell their own.
+DATES = ("digits", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "dd-MMM-yyyy")
+#: Dates that one text can be in two ways.
+EITHER = ("MM/dd/yyyy", "dd/MM/yyyy")
+
+
+def date_as(col: Column, name: str) -> Column:
+    """A time read by one of ``DATES``, with or without hours, minutes and seconds."""
+    if name == "digits":
+        return digits_to_time(col)
+    s = F.regexp_replace(F.regexp_replace(F.trim(col.cast("string")), "T", " "), "Z$", "")
+    day = name.replace("MM/", "M/").replace("dd", "d").replace("/MM/", "/M/") if name in (*EITHER, "dd.MM.yyyy", "dd-MMM-yyyy") else name
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(day + time)).cast("timestamp_ntz") for time in ("", " HH:mm", " HH:mm:ss")])
+
+
+def date_votes(rows: DataFrame, column: str, by: str = "file") -> DataFrame:
+    """(by, n, format, n_parsed, ambiguous) of each file: how its dates are written.
+
+    The format that reads most of the file's values; of equal ones the first of ``DATES``.
+    ``ambiguous``: day before month and month before day read equally many, and some of
+    them differently. A file without values has no format.
+    """
+    read = {name: date_as(F.col(column), name) for name in DATES}
+    counts = [F.count(c).alias(f"v{i}_") for i, c in enumerate(read.values())]
+    differ = F.count_if(read[EITHER[0]] != read[EITHER[1]]).alias("differ_")
+    votes = rows.groupBy(by).agg(F.count(column).alias("n"), *counts, differ)
+    best = F.greatest(*[f"v{i}_" for i in range(len(DATES))])
+    name = F.coalesce(*[F.when(F.col(f"v{i}_") == best, n) for i, n in enumerate(DATES)])
+    m, d = (F.col(f"v{DATES.index(n)}_") for n in EITHER)
+    return votes.select(by, "n", F.when(best > 0, name).alias("format"), best.alias("n_parsed"), ((m == best) & (d == best) & (best > 0) & (F.col("differ_") > 0)).alias("ambiguous"))
+
+
+def dates_by_vote(rows: DataFrame, column: str, by: str = "file") -> DataFrame:
+    """``rows`` with the times of ``column``, each file read by its own format throughout.
+
+    What that format cannot read is NULL.
+    """
+    chosen = date_votes(rows, column, by).select(by, F.col("format").alias("format_"))
+    time = F.coalesce(*[F.when(F.col("format_") == n, date_as(F.col(column), n)) for n in DATES])
+    return rows.join(chosen, by, "left").withColumn(column, time).drop("format_")
+
+
+def _header(line: str) -> list[str]:
+    """Names of a header line; of repeats the second is ``name.1``, and so on."""
+    import csv
+
+    out: list[str] = []
+    for c in next(csv.reader([line.removeprefix("\ufeff")]), []):
+        name, k = c.strip(), 0
+        while (name if not k else f"{name}.{k}") in out:
+            k += 1
+        out.append(name if not k else f"{name}.{k}")
+    return out
+
+
+def _table(spark: SparkSession, path: str, texts: tuple[str, ...], comment: str | None = None) -> DataFrame:
+    """Comma-separated files below a path as one table, each by its own header.
+
+    Columns are those of all headers, by name; a file without one has NULL there. Columns
+    not in ``texts`` whose values are all numbers are numbers. The column ``file`` comes
+    first. Lines equal to their file's header are headers, wherever they stand.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    if comment:
+        lines = lines.withColumn("value", F.regexp_replace("value", f"{comment}.*$", ""))
+    lines = lines.filter(F.trim("value") != "")
+    first = lines.withColumn("row", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", F.struct("at", "row")).alias("header"))
+    first = written(first)  # one row for each file
+    # the kinds of header are few; their names are the schema, which the driver needs
+    kinds = sorted(r[0] for r in first.select("header").distinct().collect())
+    if not kinds:
+        return spark.createDataFrame([], "file string, TIMESTAMP string")
+    heads = [_header(h) for h in kinds]
+    names = list(dict.fromkeys(n for h in sorted(heads, key=len, reverse=True) for n in h if n))
+    if "file" in names:
+        raise ValueError("a column is named file")
+    kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("header")).cast("int")
+    widest = ", ".join(f"c{i} string" for i in range(max(map(len, heads))))
+    rows = lines.drop("at").join(first, "file").filter(F.col("value") != F.col("header")).select("file", kind.alias("kind"), F.from_csv("value", widest).alias("r"))
+    rows = rows.select("file", "kind", F.array("r.*").alias("v"))
+    place = lambda n: F.element_at(F.array(*[F.lit(h.index(n) if n in h else -1) for h in heads]), F.col("kind"))
+    rows = without_missing(rows.select("file", *[F.nullif(F.trim(F.get("v", place(n))), F.lit("")).alias(n) for n in names]))
+    quoted = {n: F.col(f"`{n}`") for n in names}
+    odd = rows.agg(*[F.count_if(c.isNotNull() & c.try_cast("double").isNull()).alias(n) for n, c in quoted.items()]).first()
+    return without_missing(rows.select("file", *[c if n in texts or odd[n] else c.try_cast("double").alias(n) for n, c in quoted.items()]))
+
+
+def read_tower_csv(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
+    """Comma-separated records, -9999 missing, timestamps parsed and in order.
+
+    Files of a folder may have different columns, in any order; see ``_table``.
+    """
+    times = ("TIMESTAMP", "TIMESTAMP_START", "TIMESTAMP_END")
+    df = _table(spark, path, times)
+    key = next((c for c in times[:2] if c in df.columns), None)
+    df = df.withColumns({c: digits_to_time(F.col(c)) for c in times if c in df.columns})
+    df = df if with_file else df.drop("file")
+    return df.orderBy(key) if key else df
+
+
+def read_station_csv(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
+    """The same with ``#`` comments, which may begin inside a line, and dates by vote.
+
+    How dates are written is voted on in each file; ``station_dates`` reports the votes.
+    """
+    df = _table(spark, path, TIMES, "#")
+    key = next((c for c in TIMES if c in df.columns), None)
+    df = dates_by_vote(df, key) if key else df
+    df = df if with_file else df.drop("file")
     return df.orderBy(key) if key else df
 
 
-def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The same with ``#`` comments, which may begin inside a line."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "#.*$", "").alias("value")).filter(F.trim("value") != "")
-    df = _from_lines(spark, lines)
-    key = next((c for c in ("TIMESTAMP", "Date", "date") if c in df.columns), None)
-    return df.withColumn(key, parse_time(F.col(key))).orderBy(key) if key else df
-
-
-def _from_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Lines with a header to columns, without an RDD: the first line names them."""
-    header = lines.first()
-    if header is None:
-        return spark.createDataFrame([], "TIMESTAMP timestamp_ntz")
-    names = [c.strip() for c in header[0].split(",")]
-    schema = ", ".join(f"`{c}` string" for c in names)
-    rows = lines.filter(F.col("value") != header[0]).select(F.from_csv("value", schema).alias("r")).select("r.*")
-    keep = {"TIMESTAMP", "Date", "date"}
-    rows = rows.select(*[F.trim(F.nullif(F.trim(c), F.lit(""))).alias(c) for c in names])
-    rows = without_missing(rows)
-    # columns of numbers only are numbers
-    odd = rows.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in names]).first()
-    return without_missing(rows.select(*[F.col(c) if c in keep or odd[c] else F.col(c).try_cast("double").alias(c) for c in names]))
+def station_dates(spark: SparkSession, path: str) -> DataFrame:
+    """How each file that ``read_station_csv`` reads writes its dates, as ``date_votes`` has it."""
+    df = _table(spark, path, TIMES, "#")
+    return date_votes(df, next(c for c in TIMES if c in df.columns))
+
+
+#: Columns of times, the first of which there is.
+TIMES = ("TIMESTAMP", "Date", "date")
 
 
 def resolution(name: Column) -> Column:
