@@ -236,4 +236,26 @@ SQL: dict[str, str] = {
         select doc_id, n, form, case when form <> 'plain' then a end::bigint as prefix_chars, case when form <> 'plain' then b - a end::bigint as middle_chars,
             sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
             sha256(t) as restored_sha256 from p""",
+    "op1_substrings": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        win as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as g from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as i from d)),
+        hit as (select doc_id, i from (select *, row_number() over (partition by g order by doc_id, i) as r from win) where r > 1),
+        cut as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as fresh from hit),
+        span as (select doc_id, min(i) as a, max(i) + 100 as z from (select *, sum(fresh) over (partition by doc_id order by i) as s from cut) group by doc_id, s),
+        edge as (select doc_id, a, lag(z, 1, 0) over (partition by doc_id order by a) as before from span),
+        part as (select d.doc_id, before as o, substr(h, 2 * before + 1, 2 * (a - before)) as x from d join edge using (doc_id)
+            union all select d.doc_id, coalesce(z, 0), substr(h, 2 * coalesce(z, 0) + 1) from d left join (select doc_id, max(z) as z from span group by all) using (doc_id)),
+        kept as (select doc_id, string_agg(x, '' order by o) as x from part group by all),
+        gone as (select doc_id, sum(z - a)::bigint as n_removed, count(*)::bigint as n_spans from span group by all)
+        select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x)) as kept_sha256
+        from d join kept using (doc_id) left join gone using (doc_id)""",
+    "op4_jaccard": f"""
+        with recursive d as (select doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+        g as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d),
+        n as (select doc_id, count(*)::bigint as n from g group by all),
+        met as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b using (g) where a.doc_id <> b.doc_id group by all),
+        link as materialized (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        reach as (select doc_id, doc_id as c from d union select b, c from reach join link on a = doc_id where c < b)
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id from d left join n using (doc_id) join (select doc_id, min(c) as c from reach group by all) using (doc_id)""",
 }

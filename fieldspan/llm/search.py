@@ -21,15 +21,20 @@ from .common import small_batches, written
 
 #: Rows of a shard, of a leaf and of a block of queries.
 SHARD, LEAF, BLOCK = 4096, 128, 256
+#: Below every score.
+LEAST = -(1 << 63)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(s_id, s_vec): floor(scale * x) of each component; rows whose vector is null or
-    has a null or non-finite component, and rows with a null id, are left out."""
+    has a null or non-finite component, and rows with a null id, are left out. A finite
+    component whose floor is no long fails the query."""
     x = F.col(vec_col)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     some = vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
-    return some.select(F.col(id_col).cast("long").alias("s_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("s_vec"))
+    scaled = lambda v: v.cast("double") * scale
+    whole = lambda v: F.when(F.abs(scaled(v)) < 2.0**63, F.floor(scaled(v)).cast("long")).otherwise(F.raise_error(F.lit("a component times the scale is no long")))
+    return some.select(F.col(id_col).cast("long").alias("s_id"), F.transform(x, whole).alias("s_vec"))
 
 
 class Tree:
@@ -49,7 +54,9 @@ class Tree:
                 axis, mid = int(np.argmax(high - low)), (hi - lo) // 2
                 order[lo:hi] = order[lo:hi][np.argpartition(rows[:, axis], mid)]
                 todo += [(lo, lo + mid, 2 * at + 1), (lo + mid, hi, 2 * at + 2)]
-        self.ids, self.points = ids[order], points[order].astype(np.float64)
+        self.ids, self.points = ids[order], points[order]
+        self.most = int(np.abs(points).max(initial=0))
+        self._floats = self.points.astype(np.float64)
         names = sorted(where)
         self.at = {n: i for i, n in enumerate(names)}
         self.names = names
@@ -58,29 +65,40 @@ class Tree:
         self.low, self.high = (np.array(b, np.float64) for b in zip(*box, strict=True))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Of each query and node: the largest inner product a point in the box can have."""
-        return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
-
-    def best(self, qid: int, q: np.ndarray, bounds: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
+        """Of each query and node: no less than the largest inner product a point in the box can have."""
+        q = q.astype(np.float64)
+        # conversion, products and sums round by less than this share of all that is added
+        slack = (q.shape[1] + 8) * 2.0**-52 * (np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high)).T)
+        return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T + slack
+
+    def scores(self, lo: int, hi: int, q: np.ndarray) -> np.ndarray:
+        """Exact inner products: in floating point where all of them and their sums fit."""
+        if len(q) * self.most * int(np.abs(q).max(initial=0)) < 1 << 53:
+            return (self._floats[lo:hi] @ q.astype(np.float64)).astype(np.int64)
+        return self.points[lo:hi] @ q
+
+    def best(self, qid: int, q: np.ndarray, bounds: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id; scores under ``floor`` may lack."""
-        heap, ids, scores, least = [(-bounds[0], 0)], np.zeros(0, np.int64), np.zeros(0), floor
+        # Python compares its floats and integers exactly, NumPy does not
+        bound, least = bounds.tolist(), floor
+        heap, ids, scores = [(-bound[0], 0)], np.zeros(0, np.int64), np.zeros(0, np.int64)
         while heap and -heap[0][0] >= least:
             _, at = heapq.heappop(heap)
             lo, hi, leaf = self.span[self.at[at]]
             if not leaf:
                 for child in (2 * at + 1, 2 * at + 2):
-                    if (b := bounds[self.at[child]]) >= least:
+                    if (b := bound[self.at[child]]) >= least:
                         heapq.heappush(heap, (-b, child))
                 continue
-            s = self.points[lo:hi] @ q
+            s = self.scores(lo, hi, q)
             ok = (s >= least) & (self.ids[lo:hi] != qid)
             if ok.any():
                 ids, scores = np.concatenate([ids, self.ids[lo:hi][ok]]), np.concatenate([scores, s[ok]])
                 order = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[order], scores[order]
                 if len(ids) == k:
-                    least = max(least, scores[-1])
-        return list(zip(scores.astype(np.int64).tolist(), ids.tolist(), strict=True))
+                    least = max(least, int(scores[-1]))
+        return list(zip(scores.tolist(), ids.tolist(), strict=True))
 
 
 def _matrix(blob: bytes, n: int) -> np.ndarray:
@@ -100,7 +118,7 @@ def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
         pdf, vec = pdf.iloc[np.sort(one)], vec[np.sort(one)]
         row = {k: pdf[k].iloc[0] for k in keys} | {"n": len(pdf), "ids": pdf["s_id"].to_numpy(np.int64).tobytes(), "vecs": vec.tobytes()}
         if "floor" in pdf:
-            row["floors"] = pdf["floor"].to_numpy(np.float64).tobytes()
+            row["floors"] = pdf["floor"].to_numpy(np.int64).tobytes()
         return pd.DataFrame([row])
 
     extra = ", floors binary" if "floor" in df.columns else ""
@@ -115,22 +133,26 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     without rows, or rows without queries, gives an empty result, and fewer than ``k``
     rows give all. Work is dealt as (shard, block of queries): a task holds one shard and
     one block, the shards move once, and each query block goes to every shard, which is
-    the stated search of all queries against all rows. Scores are exact below 2**53.
+    the stated search of all queries against all rows. Scores are exact longs; where the
+    dimension times the largest components of both sides leaves 63 bits, ValueError.
     """
     small_batches(rows.sparkSession)
-    n = rows.count()
+    n, dim, most = rows.agg(F.count(F.lit(1)), F.max(F.size("s_vec")), F.max(_largest())).first()
+    ask_dim, ask = queries.agg(F.max(F.size("s_vec")), F.max(_largest())).first()
+    if min(dim or 0, ask_dim or 0) * int(most or 0) * int(ask or 0) >= 1 << 63:
+        raise ValueError("scores may be no longs")
     shards = max(1, -(-n // SHARD))
     place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "s_id"), F.lit(shards)).cast("long")
     dealt = rows.withColumn("dim", F.size("s_vec").cast("long")).withColumn("shard", place(1))
     trees = written(_packed(dealt, ["dim", "shard"]))
     asked = written(queries.withColumn("dim", F.size("s_vec").cast("long")).withColumn("home", place(2)))
     blocks = max(1, -(-asked.count() // BLOCK))
-    first = asked.withColumn("floor", F.lit(float("-inf"))).withColumnRenamed("home", "shard")
+    first = asked.withColumn("floor", F.lit(LEAST).cast("long")).withColumnRenamed("home", "shard")
     first = first.withColumn("block", F.floor(F.pmod(F.xxhash64(F.lit(3), "s_id"), F.lit(blocks)) / shards))
     near = written(_searched(first, trees, k).distinct())
     rank = F.row_number().over(_window())
-    kth = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("s_id"), F.col("score").cast("double").alias("floor"))
-    rest = asked.join(kth, "s_id", "left").fillna(float("-inf"), ["floor"])
+    kth = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("s_id"), F.col("score").alias("floor"))
+    rest = asked.join(kth, "s_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST).cast("long")))
     rest = rest.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "s_id"), F.lit(blocks)).cast("long"))
     packed = _packed(rest, ["dim", "block"])
     # a query's first shard is done: the visit there is repeated as part of its block,
@@ -140,6 +162,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     return every.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
+def _largest():
+    """The largest component of a vector in absolute value, as a decimal: a long may have none."""
+    each = F.transform("s_vec", lambda v: F.abs(v.cast("decimal(20, 0)")))
+    return F.array_max(each)
+
+
 def _window():
     from pyspark.sql import Window as W
 
@@ -162,8 +190,8 @@ def _visited(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 if (r.dim, r.shard) != key:
                     key, tree = (r.dim, r.shard), Tree(np.frombuffer(r.t_ids, np.int64), _matrix(r.t_vecs, r.t_n))
-                q, ids = _matrix(r.vecs, r.n).astype(np.float64), np.frombuffer(r.ids, np.int64).tolist()
-                bounds, floors = tree.bounds(q), np.frombuffer(r.floors, np.float64)
+                q, ids = _matrix(r.vecs, r.n), np.frombuffer(r.ids, np.int64).tolist()
+                bounds, floors = tree.bounds(q), np.frombuffer(r.floors, np.int64).tolist()
                 out = [(i, v, s) for j, i in enumerate(ids) for s, v in tree.best(i, q[j], bounds[j], k, floors[j])]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 

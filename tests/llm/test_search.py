@@ -3,7 +3,9 @@
 import math
 import random
 
+import pytest
 from fieldspan.llm import search
+from pyspark.errors import PySparkException
 
 
 def brute(rows, k):
@@ -50,3 +52,24 @@ def test_clashing_columns(spark):
     rows = [(i, [r.choice([-0.5, 0.25, 0.75]) for _ in range(3)], "x", 1) for i in range(30)]
     df = search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string, s_id int"))
     assert {tuple(x) for x in search.top_k(df.filter("s_id % 5 = 0"), df, 4).collect()} == brute([x[:2] for x in rows], 4)
+
+
+@pytest.mark.parametrize("scale", [2.0**17, 2.0**20.5, 2.0**21.3])
+def test_large_scores_are_exact(spark, monkeypatch, scale):
+    """Scores about 2**53, 2**60 and 2**62: components up to 2**30, all near one another."""
+    for name, n in (("SHARD", 40), ("LEAF", 4), ("BLOCK", 7)):
+        monkeypatch.setattr(search, name, n)
+    r = random.Random(7)
+    rows = [(i, [scale * r.choice([1, -1]) + r.randrange(-3, 4) / 256 for _ in range(4)]) for i in range(160)]
+    df = search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {tuple(x) for x in search.top_k(df.filter("s_id % 5 = 0"), df, 4).collect()}
+    assert got == brute(rows, 4)
+
+
+def test_scores_beyond_a_long(spark):
+    for x in (1e8, 1e30):
+        df = search.quantised(spark.createDataFrame([(0, [x] * 4), (1, [x] * 4)], "vec_id long, embedding array<double>"))
+        with pytest.raises((ValueError, PySparkException)):
+            search.top_k(df, df).collect()
+    small = search.quantised(spark.createDataFrame([(0, [1e8] * 4), (1, [1e-2] * 4)], "vec_id long, embedding array<double>"))
+    assert search.top_k(small.filter("s_id = 1"), small, 1).first().score == 4 * 2 * 25600000000
