@@ -238,7 +238,7 @@ def shipment_job(spark: SparkSession, sf_dir: str):
     """Line items as raw observations: station 0 is dense, 4 and 5 less so, 6 has its
     shallow sensors 10 cm deeper, 7 only bad flags, and 1 to 3 have no rows."""
     obs, stations = shipment_rows(spark, sf_dir)
-    return station_job(obs, stations, JOB_LIMITS, BY)
+    return station_job(obs, stations, JOB_LIMITS, BY, hold=True)
 
 
 JOB_LIMITS = Limits(min_obs=1, max_gap_days=7, min_frac=0.2, min_days=400)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEYS
 from ..operators import depth, fill, gaps, qc, resample, station, trim
-from ..sources import archive
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -41,14 +41,38 @@ def daily_bins(obs: DataFrame, limits: Limits = Limits(), by: Sequence[str] = KE
     return depth.mean_by_bin(depth.to_cm(resample.require_count(dense, limits.min_obs), by), by)
 
 
-def station_job(obs: DataFrame, stations: DataFrame, limits: Limits = Limits(), by: Sequence[str] = KEYS) -> StationJob:
-    """``obs`` with a column ``problem``, as archives are read, makes the stations that
-    have any an ``error``; their other lines are worked on, but nothing of them is saved."""
+def daily_and_problems(obs: DataFrame, by: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """Daily means by depth, and the lines that could not be read, from one pass over ``obs``.
+
+    Unreadable rows, which have no time, are dealt to as many groups as readable ones by
+    a hash of their place, so that a station full of them is no single group. Both
+    results come from one written table of one row for each depth and day.
+    """
+    bad = F.col("problem").isNotNull()
+    rows = qc.mask_flags(obs).filter(bad | F.col("depth_to").isNotNull()).select(
+        *by, bad.alias("bad"), F.coalesce("depth_to", F.lit(0.0)).alias("depth"), F.coalesce(F.to_date("ts"), F.date_from_unix_date(F.pmod(F.xxhash64("file", "line"), F.lit(4096)).cast("int"))).alias("day"),
+        "ts", F.when(~bad, F.col("value")).alias("value"), F.when(bad, F.struct("file", "line", "problem")).alias("place"),
+    )
+    keys = [*by, "bad", "depth", "day"]
+    times = rows.repartition(*keys).groupBy(*keys, "ts").agg(F.avg("value").alias("value"), F.count("place").alias("n_bad"), F.min("place").alias("place"))
+    held = written(times.groupBy(*keys).agg(F.avg("value").alias("value"), F.count("value").alias("n"), F.sum("n_bad").alias("n_bad"), F.min("place").alias("place")))
+    first = held.filter("bad").groupBy(*by).agg(F.sum("n_bad").alias("n_problems"), F.min("place").alias("place"))
+    return held.filter("not bad").select(*by, "depth", "day", "value", "n"), first.select(*by, "n_problems", F.col("place.problem").alias("problem"))
+
+
+def station_job(obs: DataFrame, stations: DataFrame, limits: Limits = Limits(), by: Sequence[str] = KEYS, hold: bool = False) -> StationJob:
+    """The job's results as plans; ``hold`` writes the daily rows, which all of them read,
+    once, so that raw observations are scanned once for however many results are used.
+
+    ``obs`` with a column ``problem``, as archives are read, is always held: stations that
+    have any are an ``error``, whatever their other lines give, and nothing of them is saved.
+    """
     bad = None
     if "problem" in obs.columns:
-        bad = archive.problems(obs, by)
-        obs = obs.filter("problem is null")
-    days = resample.daily(resample.mean_by_depth(qc.mask_flags(obs), by), by)
+        days, bad = daily_and_problems(obs, by)
+    else:
+        days = resample.daily(resample.mean_by_depth(qc.mask_flags(obs), by), by)
+        days = written(days) if hold else days
     kept = resample.drop_empty_depths(days, by)
     # the deepest depth is reported in cm as if all depths were in metres, as before
     found = kept.groupBy(*by).agg(F.max("depth").alias("max_depth"))
