@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..model import coerced
 from ..operators import attributes, catalog, depth, extract, fill, gaps, intervals, resample, station, trim
 from ..operators.qc import mask_flags
 from ..session import new_folder, written
-from ..sources import archive, catalogs, files
+from ..sources import archive, catalogs, files, pages
 from .station import Limits, station_job
 
 BY = ("station",)
@@ -655,6 +656,48 @@ def tower_folder(spark, sf_dir):
     return df.select(F.col("KEY").cast("long").alias("KEY"), "TIMESTAMP", "VALUE", "STATUS")
 
 
+@query("""select o_orderkey as "KEY", date_trunc('day', o_orderdate)::timestamp as "TIMESTAMP", case when o_orderkey % 7 <> 0 then o_totalprice end as "VALUE",
+    'site' || (o_orderkey % 4)::varchar as site from orders where o_orderkey % 3 <> 2""")
+def zipped_records(spark, sf_dir):
+    """Members of two resolutions out of three, from one archive per site."""
+    path, k = new_folder(spark), F.col("o_orderkey")
+    line = F.concat_ws(",", F.date_format("o_orderdate", "yyyyMMdd"), k.cast("string"), F.when(k % 7 == 0, "-9999").otherwise(F.col("o_totalprice").cast("string")))
+    kind = F.element_at(F.array(*map(F.lit, ("DD", "WW", "MM"))), (k % 3 + 1).cast("int"))
+    rows = load(spark, sf_dir, "orders").select(F.concat(F.lit("site"), k % 4).alias("site"), kind.alias("kind"), line.alias("line"))
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zipfile
+
+        system, root = archive.opened(path)
+        system.create_dir(root)
+        n = 0
+        with system.open_output_stream(f"{root}/{key[0].as_py()}_{key[1].as_py()}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"X_{key[1].as_py()}_1.csv", "w") as out:
+            out.write(b"TIMESTAMP,KEY,VALUE\n")
+            for b in batches:
+                out.write("".join(f"{x}\n" for x in b.column("line").to_pylist()).encode())
+                n += b.num_rows
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    rows.groupBy("site", "kind").applyInArrow(pack, "n long").count()
+    df = files.read_zipped_towers(spark, path, ["DD", "WW"])
+    return df.select(F.col("KEY").cast("long").alias("KEY"), "TIMESTAMP", "VALUE", F.regexp_extract("file", r"(site\d)_[A-Z]+\.zip", 1).alias("site"))
+
+
+@query("""select 'o/' || o_orderkey::varchar as uri, 'ES_S-' || (o_custkey % 50)::varchar as station_uri, strftime(o_orderdate, '%Y-%m-%d') as time_start from orders""")
+def paged_objects(spark, sf_dir):
+    """Pages of objects, half of them there at a first run of the stream and all at a second."""
+    path, table, done = new_folder(spark), new_folder(spark), new_folder(spark)
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("o/"), "o_orderkey").alias("uri"), F.concat(F.lit("ES_S-"), F.col("o_custkey") % 50).alias("station_uri"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("time_start"))
+    page = F.floor(F.col("k") / 2000)
+    each = o.groupBy(page.alias("page")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("k", "uri", "station_uri", "time_start"))).alias("objects"))).alias("text"))
+    each = each.select(F.format_string("page_%09d.json", "page").alias("name"), "text", "page")
+    half = load(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] // 4000
+    for part in (each.filter(F.col("page") <= half), each.filter(F.col("page") > half)):
+        named.write_text_files(part, path, "name", "text", [])
+        pages.append_new(pages.stream_pages(spark, path), table, done)
+    return spark.read.schema(pages.OBJECTS).parquet(table).select("uri", "station_uri", "time_start")
+
+
 DATE_PATTERNS = ("yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm", "dd.MM.yyyy HH:mm", "yyyyMMddHHmm")
 
 

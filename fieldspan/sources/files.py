@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import OBSERVATIONS, without_missing
 from ..session import written
+from .archive import opened
 
+#: Characters of text in a batch of lines.
+BATCH_BYTES = 1 << 20
 RESOLUTIONS = ("HH", "DD", "WW", "MM", "YY")
 
 
@@ -81,17 +87,22 @@ def _header(line: str) -> list[str]:
 
 
 def _table(spark: SparkSession, path: str, texts: tuple[str, ...], comment: str | None = None) -> DataFrame:
-    """Comma-separated files below a path as one table, each by its own header.
-
-    Columns are those of all headers, by name; a file without one has NULL there. Columns
-    not in ``texts`` whose values are all numbers are numbers. The column ``file`` comes
-    first. Lines equal to their file's header are headers, wherever they stand.
-    """
+    """Comma-separated files of a folder as one table; see ``_by_header``."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     if comment:
         lines = lines.withColumn("value", F.regexp_replace("value", f"{comment}.*$", ""))
     lines = lines.filter(F.trim("value") != "")
     first = lines.withColumn("row", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", F.struct("at", "row")).alias("header"))
+    return _by_header(spark, lines, first, texts)
+
+
+def _by_header(spark: SparkSession, lines: DataFrame, first: DataFrame, texts: tuple[str, ...]) -> DataFrame:
+    """Lines (file, value) of many files as one table, each by its own header (file, header).
+
+    Columns are those of all headers, by name; a file without one has NULL there. Columns
+    not in ``texts`` whose values are all numbers are numbers. The column ``file`` comes
+    first. Lines equal to their file's header are headers, wherever they stand.
+    """
     first = written(first)  # one row for each file
     # the kinds of header are few; their names are the schema, which the driver needs
     kinds = sorted(r[0] for r in first.select("header").distinct().collect())
@@ -103,7 +114,7 @@ def _table(spark: SparkSession, path: str, texts: tuple[str, ...], comment: str
         raise ValueError("a column is named file")
     kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("header")).cast("int")
     widest = ", ".join(f"c{i} string" for i in range(max(map(len, heads))))
-    rows = lines.drop("at").join(first, "file").filter(F.col("value") != F.col("header")).select("file", kind.alias("kind"), F.from_csv("value", widest).alias("r"))
+    rows = lines.select("file", "value").join(first, "file").filter(F.col("value") != F.col("header")).select("file", kind.alias("kind"), F.from_csv("value", widest).alias("r"))
     rows = rows.select("file", "kind", F.array("r.*").alias("v"))
     place = lambda n: F.element_at(F.array(*[F.lit(h.index(n) if n in h else -1) for h in heads]), F.col("kind"))
     rows = without_missing(rows.select("file", *[F.nullif(F.trim(F.get("v", place(n))), F.lit("")).alias(n) for n in names]))
@@ -163,8 +174,76 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
 
 
+def zip_members(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """(archive, name, length) of the members of zip files below ``path`` that match ``pattern``."""
+    import fnmatch
+    import zipfile
+
+    def run(batches):
+        for batch in batches:
+            for archive in batch.column("path").to_pylist():
+                system, at = opened(archive)
+                with system.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                    found = [(i.filename, i.file_size) for i in z.infolist() if not i.is_dir() and fnmatch.fnmatch(i.filename, pattern)]
+                if found:
+                    names, sizes = zip(*found, strict=True)
+                    yield pa.record_batch([pa.repeat(archive, len(names)), pa.array(names), pa.array(sizes, pa.int64())], names=["archive", "name", "length"])
+
+    return list_files(spark, path, "*.zip").select("path").mapInArrow(run, "archive string, name string, length long")
+
+
+def zip_lines(members: DataFrame, first_only: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(archive, name, line, value): the lines of each member, numbered from 1.
+
+    Members are dealt over tasks, and inflated as they are read: a task holds one batch
+    of ``batch_bytes`` and no member whole. ``first_only`` stops after the first line
+    that is not blank. Bytes that are no UTF-8 become the replacement character.
+    """
+    import io
+    import zipfile
+
+    def run(batches):
+        for batch in batches:
+            for archive, name in zip(batch.column("archive").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                system, at = opened(archive)
+                with system.open_input_file(at) as f, zipfile.ZipFile(f) as z, z.open(name) as raw:
+                    held, size, start = [], 0, 1
+                    out = lambda held, start: pa.record_batch([pa.repeat(archive, len(held)), pa.repeat(name, len(held)), pa.array(range(start, start + len(held)), pa.int64()), pa.array(held, pa.string())], names=["archive", "name", "line", "value"])  # noqa: B023, E731
+                    for text in io.TextIOWrapper(raw, "utf-8", errors="replace", newline=None):
+                        held.append(text.removesuffix("\n"))
+                        size += len(text)
+                        if first_only and held[-1].strip():
+                            held, start = held[-1:], start + len(held) - 1
+                            break
+                        if size >= batch_bytes:
+                            yield out(held, start)
+                            held, size, start = [], 0, start + len(held)
+                    if held:
+                        yield out(held, start)
+
+    dealt = members.repartition(F.col("archive"), F.col("name")).select("archive", "name")
+    return dealt.mapInArrow(run, "archive string, name string, line long, value string")
+
+
+def read_zipped_towers(spark: SparkSession, path: str, resolutions: Sequence[str] | None = None, pattern: str = "*.csv") -> DataFrame:
+    """The records of all tower files in zip archives, as ``read_tower_csv`` has them, with
+    ``file`` (archive and member) and ``resolution``; not sorted.
+
+    ``resolutions`` chooses members by name before any is inflated.
+    """
+    members = zip_members(spark, path, pattern).withColumn("resolution", resolution(F.col("name")))
+    if resolutions is not None:
+        members = members.filter(F.col("resolution").isin(list(resolutions)))
+    file = F.concat("archive", F.lit("!"), "name").alias("file")
+    lines = zip_lines(members).filter(F.trim("value") != "").select(file, "value")
+    times = ("TIMESTAMP", "TIMESTAMP_START", "TIMESTAMP_END")
+    df = _by_header(spark, lines, zip_lines(members, first_only=True).select(file, F.col("value").alias("header")), times)
+    return df.withColumns({c: digits_to_time(F.col(c)) for c in times if c in df.columns}).withColumn("resolution", resolution(F.col("file")))
+
+
 def unzipped(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """(archive, name, content) of the members of zip files that match ``pattern``."""
+    """(archive, name, content) of the members of zip files that match ``pattern``, whole;
+    ``zip_lines`` has members of any size."""
     import fnmatch
     import io
     import zipfile

@@ -200,3 +200,51 @@ def test_overlaps(spark, width, by):
     assert sorted((x.i, x.j) for x in df.collect()) == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+# --- members of zip archives -----------------------------------------------------------
+
+
+def test_zip_lines(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "US-Var_x.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a/X_HH_1.csv", "\nTIMESTAMP_START,TIMESTAMP_END,A\r\n202001010000,202001010030,1.5\r\n\n202001010030,202001010100,-9999")
+        z.writestr("X_DD_1.csv", "A,TIMESTAMP\n2,20200102\n")
+        z.writestr("readme.txt", "no")
+        z.writestr("empty_DD_.csv", "")
+    members = files.zip_members(spark, str(tmp_path))
+    assert {r.name for r in members.collect()} == {"a/X_HH_1.csv", "X_DD_1.csv", "empty_DD_.csv"}
+    for size in (1, 1 << 20):
+        got = {(r.name, r.line): r.value for r in files.zip_lines(members, batch_bytes=size).collect()}
+        assert got["a/X_HH_1.csv", 2] == "TIMESTAMP_START,TIMESTAMP_END,A" and got["X_DD_1.csv", 2] == "2,20200102" and len(got) == 7
+    firsts = {(r.name, r.line, r.value) for r in files.zip_lines(members, first_only=True).collect()}
+    assert firsts == {("a/X_HH_1.csv", 2, "TIMESTAMP_START,TIMESTAMP_END,A"), ("X_DD_1.csv", 1, "A,TIMESTAMP")}
+    df = files.read_zipped_towers(spark, str(tmp_path))
+    rows = {(r.resolution, r.A, r.TIMESTAMP, r.TIMESTAMP_START) for r in df.collect()}
+    assert rows == {("HH", 1.5, None, datetime(2020, 1, 1)), ("HH", None, None, datetime(2020, 1, 1, 0, 30)), ("DD", 2.0, datetime(2020, 1, 2), None)}
+    assert files.read_zipped_towers(spark, str(tmp_path), ["DD"]).count() == 1
+
+
+def test_a_large_member_is_never_whole(spark, tmp_path):
+    """200 MB of lines from one member; what a task holds stays far below it."""
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z, z.open("X_HH_1.csv", "w", force_zip64=True) as f:
+        block = b"".join(b"%012d,0123456789012345678901234567\n" % i for i in range(25_000))
+        for _ in range(200):
+            f.write(block)
+
+    def held(batches):
+        import resource
+
+        import pyarrow as pa
+
+        n, before = 0, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        for b in batches:
+            n += b.num_rows
+        yield pa.record_batch([pa.array([n]), pa.array([(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10])], names=["n", "mb"])
+
+    lines = files.zip_lines(files.zip_members(spark, str(tmp_path)))
+    r = lines.mapInArrow(held, "n long, mb long").groupBy().agg(F.sum("n").alias("n"), F.max("mb").alias("mb")).first()
+    assert r.n == 5_000_000 and r.mb < 64

@@ -70,3 +70,31 @@ def test_run_stream(spark, tmp_path):
         spark.conf.unset(key)
     want = batch(spark, sorted(set(rows), key=str), 3)
     assert {v for k, v in got.items() if k[0] != "z"} == want
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    import json
+
+    from fieldspan.sources import pages
+
+    folder, table, done = tmp_path / "pages", str(tmp_path / "table"), str(tmp_path / "done")
+    folder.mkdir()
+
+    def put(n, uris):
+        (folder / f"page_{n:04}.json").write_text(json.dumps({"objects": [{"uri": u, "station_uri": f"s{n}", "time_start": "2020-01-01"} for u in uris]}))
+
+    def run():
+        pages.append_new(pages.stream_pages(spark, str(folder)), table, done)
+        return sorted((r.uri, r.page, r.place, r.station_uri, r.time_end) for r in spark.read.parquet(table).collect())
+
+    put(1, ["a", "b", "a", None])
+    put(2, [])
+    first = [("a", "page_0001.json", 0, "s1", None), ("b", "page_0001.json", 1, "s1", None)]
+    assert run() == first
+    assert run() == first
+    put(3, ["b", "c"])
+    put(4, ["d"])
+    assert run() == [*first, ("c", "page_0003.json", 1, "s3", None), ("d", "page_0004.json", 0, "s4", None)]
+    # a lost checkpoint reads all pages again and adds nothing
+    pages.append_new(pages.stream_pages(spark, str(folder)), table, done + "2")
+    assert spark.read.parquet(table).count() == 4
