@@ -47,6 +47,9 @@ IBAN_SIZES = (
 )
 IBAN_OK = f"instr('{IBAN_SIZES}', concat(substr({PLAIN}, 1, 2), length({PLAIN}))) > 0"
 
+#: Characters of tokens. A run of them is a match whole, and only with a letter and a digit.
+SAFE = "[A-Za-z0-9_+/=-]"
+
 #: An email's local part begins where its run of characters begins, or at the end of
 #: the last match, so that a long run is tried once and not from each of its characters.
 KINDS = (
@@ -55,8 +58,8 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "t rlike '[0-9](?:[ -]?[0-9]){15}'", f"length({DIGITS}) between 16 and 19 and case when length({DIGITS}) between 16 and 19 then {LUHN} else false end", 0.8, 0.2, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "instr(t, '+') > 0", f"length({DIGITS}) between 8 and 15", 0.7, 0.2, "phone|tel|call|mobile"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)", "t rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'", f"case when {IBAN_OK} then {MOD97} else false end", 0.8, 0.2, "iban|bank|account|konto", False, True),
-    Kind("ssn", r"[0-9-]++", "t rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", "m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' and m not rlike '^(000|666|9)' and m not rlike '^...-00|-0000$'", 0.4, 0.5, "ssn|social security", False),
-    Kind("secret", r"[A-Za-z0-9_+/=-]{20,}+", "t rlike '[A-Za-z0-9_+/=-]{20}'", "m rlike '[0-9]' and m rlike '[A-Za-z]'", 0.3, 0.5, "token|secret|key|api_key|apikey|passw|bearer|authorization", False),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "t rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", "m not rlike '^(000|666|9)' and m not rlike '^...-00|-0000$'", 0.4, 0.5, "ssn|social security", False),
+    Kind("secret", rf"(?<!{SAFE})(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z]){SAFE}{{20,}}+", f"t rlike '{SAFE}{{20}}'", "true", 0.3, 0.5, "token|secret|key|api_key|apikey|passw|bearer|authorization", False),
 )
 #: Score from which a span of the added kinds counts, and characters of context.
 LEAST, NEAR = 0.75, 40
