@@ -19,7 +19,7 @@ TOWER_NAMES = {
 }
 STATION_NAMES = {
     "id": "SITE_ID", "name": "SITE_NAME", "country": "COUNTRY", "theme": "THEME", "siteType": "SITE_TYPE",
-    "lat": "LOCATION_LAT", "lon": "LOCATION_LONG", "elevation": "LOCATION_ELEV", "uri": "URI",
+    "lat": "LOCATION_LAT", "lon": "LOCATION_LONG", "elevation": "LOCATION_ELEV", "icosclass": "ICOS_CLASS", "uri": "URI",
 }
 TOWER_NUMBERS = ("LOCATION_LAT", "LOCATION_LONG", "LOCATION_ELEV", "TOWER_BEGAN", "TOWER_END", "DATA_START", "DATA_END", "MAT", "MAP")
 STATION_NUMBERS = ("LOCATION_LAT", "LOCATION_LONG", "LOCATION_ELEV")
@@ -93,7 +93,7 @@ def filter_towers(sites: DataFrame, igbp=None, country=None, lat_range=None, lon
     return _all(sites, tests)
 
 
-def filter_stations(sites: DataFrame, theme: str | None = "ES", country=None, site_type=None, lat_range=None, lon_range=None, site_class=None, class_col: str = "CLASS") -> DataFrame:
+def filter_stations(sites: DataFrame, theme: str | None = "ES", country=None, site_type=None, lat_range=None, lon_range=None, site_class=None, class_col: str = "ICOS_CLASS") -> DataFrame:
     """As ``filter_towers``; theme, type and class are skipped where missing."""
     have = sites.columns
     return _all(sites, [

@@ -475,6 +475,52 @@ def attribute_maps(spark, sf_dir):
     return maps.select("SITE_ID", "GROUP_ID", shown.alias("variables"))
 
 
+@query("""select site as "SITE_ID", 'G' as "VARIABLE_GROUP", c_custkey::varchar as "GROUP_ID", v as "VARIABLE", case v when 'NAME' then c_name else c_mktsegment end as "DATAVALUE"
+    from (select *, 'S' || (c_custkey % 3)::varchar as site from customer), (select unnest(['NAME', 'SEGMENT']) as v)""")
+def attribute_sheets(spark, sf_dir):
+    """Sheets of zipped workbooks, one for each of three sites."""
+    path, k = new_folder(spark), F.col("c_custkey")
+    names = ["SITE_ID", "GROUP_ID", "VARIABLE_GROUP", "VARIABLE", "DATAVALUE"]
+    c = load(spark, sf_dir, "customer")
+    rows = c.select(F.concat(F.lit("S"), k % 3).alias("site"), k, F.explode(F.create_map(F.lit("NAME"), "c_name", F.lit("SEGMENT"), "c_mktsegment")).alias("v", "x"))
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import zipfile
+
+        system, root = archive.opened(path)
+        system.create_dir(root)
+        cell = lambda i, t: f'<c r="{chr(65 + i)}1" t="inlineStr"><is><t>{t}</t></is></c>'
+        line = lambda cells: "<row>" + "".join(cell(i, t) for i, t in enumerate(cells) if t != "") + "</row>"
+        book, n = io.BytesIO(), 0
+        with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="META" sheetId="1" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+            with z.open("xl/worksheets/sheet1.xml", "w") as out:
+                out.write(f"<worksheet><sheetData>{line(names)}".encode())
+                for b in batches:
+                    # the first site leaves its id to the name of the archive
+                    out.write("".join(line(["" if r["site"] == "S0" else r["site"], r["c_custkey"], "G", r["v"], r["x"]]) for r in b.to_pylist()).encode())
+                    n += b.num_rows
+                out.write(b"</sheetData></worksheet>")
+        with system.open_output_stream(f"{root}/{key[0].as_py()}_BASE.zip") as f, zipfile.ZipFile(f, "w") as z:
+            z.writestr("book.xlsx", book.getvalue())
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    rows.groupBy("site").applyInArrow(pack, "n long").count()
+    return catalogs.read_attributes(spark, path, "META").drop("ord")
+
+
+@query("""select c_custkey as "SITE_ID", n_name as "COUNTRY", c_acctbal as "LOCATION_LAT", case when c_custkey % 3 = 0 then '1' end as "ICOS_CLASS", 'http://x/ES_S-' || c_custkey::varchar as "URI"
+    from customer join nation on c_nationkey = n_nationkey order by 1 limit 10""")
+def station_preview(spark, sf_dir):
+    """The first ten of a station list under its catalogue names: a preview, so ten rows are what is asked for."""
+    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
+    k = F.col("c_custkey")
+    raw = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(k.alias("id"), F.col("n_name").alias("country"), F.col("c_acctbal").cast("string").alias("lat"), F.when(k % 3 == 0, "1").alias("icosclass"), F.concat(F.lit("http://x/ES_S-"), k).alias("uri"))
+    return catalog.station_catalog(raw).select("SITE_ID", "COUNTRY", "LOCATION_LAT", "ICOS_CLASS", "URI").orderBy("SITE_ID").limit(10)
+
+
 @query("""select p_brand as "SITE_ID", string_agg(a::varchar || '-' || b::varchar, ';' order by a, b) as ranges from
     (select distinct p_brand, p_size as a, p_size + p_partkey % 5 as b from part where p_partkey % 11 <> 0) group by all""")
 def depth_ranges(spark, sf_dir):
