@@ -29,16 +29,16 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
 HOT_SHARE, HOT_ROWS = 1000, 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], copies: str, spread: Column, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], copies: str, spread: Column, how: str = "inner", least_rows: int = HOT_ROWS) -> DataFrame:
     """``left`` joined to the one row of ``right`` for its ``keys``, hot keys in parts.
 
     ``copies``: the column of ``right`` (a written table) that counts left's rows of a
-    key. Keys with over one in ``HOT_SHARE`` of them are hot: fewer than HOT_SHARE keys
-    by that very share, so their broadcast is bounded. Left's rows of a hot key are
-    dealt to parts by ``spread``, and right's row goes to each.
+    key. Keys with over one in ``HOT_SHARE`` of them, and over ``least_rows``, are hot:
+    fewer than HOT_SHARE keys by that very share, so their broadcast is bounded. Left's
+    rows of a hot key are dealt to parts by ``spread``, and right's row goes to each.
     """
     total = right.agg(F.sum(copies)).first()[0] or 0
-    least = max(int(total) // HOT_SHARE, HOT_ROWS)
+    least = max(int(total) // HOT_SHARE, least_rows)
     hot = F.broadcast(right.filter(F.col(copies) > least).select(*keys, F.ceil(F.col(copies) / least).cast("int").alias("parts_")))
     left = left.join(hot, keys, "left").withColumn("part_", F.coalesce(F.pmod(F.xxhash64(spread), "parts_").cast("int"), F.lit(0))).drop("parts_")
     right = right.join(hot, keys, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts_") - 1, F.lit(0))))).drop("parts_")

@@ -280,9 +280,10 @@ def components(nodes: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
 
 
 def _parted(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` plus ``part``: the rows of one ``key`` in parts of about ``most``."""
-    count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    rows = rows.join(count, "key")
+    """``rows`` plus ``part``: the rows of one ``key`` in parts of about ``most``, without
+    keys of one row. The rows of a hot key are spread before they meet their count."""
+    count = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    rows = spread_join(rows, count, ["key"], "many", F.col("x"), least_rows=most)
     return rows.withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("many") / most))).drop("many")
 
 

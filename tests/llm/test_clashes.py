@@ -9,7 +9,7 @@ from .corpus import frame, texts
 
 NAMES = [
     "kept", "n_words", "q_text", "q_words", "t", "m", "pii_email", "ld_chunks", "ld_gone", "mix_size", "taken", "target", "coarse", "fine", "before", "source_size",
-    "rep_id", "rep_text", "mark", "rep_marks", "n_bytes", "n_removed", "n_tokens", "token_ids", "decoded", "score", "component_id", "n_shingles", "x", "c", "n", "key", "set", "one",
+    "rep_id", "rep_text", "mark", "rep_marks", "ld_w", "ld_key", "ld_out", "ld_sum", "n_bytes", "n_removed", "n_tokens", "token_ids", "decoded", "score", "component_id", "n_shingles", "x", "c", "n", "key", "set", "one",
 ]
 PATH = public_tokenizers.path("word_bpe_49k.json")
 OPERATORS = {
@@ -20,6 +20,7 @@ OPERATORS = {
     "bpe": lambda d: bpe.decode(bpe.encode(d, PATH), PATH),
     "digests": lambda d: bpe.encode(d, PATH, digests=True),
     "lines": lines.dedup_lines,
+    "runs": lines.dedup_runs,
     "toxicity": lambda d: toxicity.score(d, toxicity.train(d.withColumn("toxic", (F.col("doc_id") % 2).cast("int")))),
     "pii": pii.find_pii,
     "mixing": mixing.mix,
