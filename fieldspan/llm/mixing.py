@@ -62,7 +62,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs, then the rows ahead in key order, then a part of the row at the cut.
     Null ids, texts and sources are ordinary values (a null text has 0 words, null
     sources form the last source); repeated rows are rows of their own and ties in
-    the key fall by id and size. An empty table gives an empty result. Columns of
+    the key fall by id and size; of rows alike in both, which of them the cut meets is
+    open, and how many words each place takes is not. An empty table gives an empty result. Columns of
     the input with the names added here are replaced. Only one row per source and
     per range of keys is ever aggregated; a hot source is split by key ranges.
     """

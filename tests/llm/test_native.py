@@ -226,3 +226,17 @@ def test_line_dedup(spark):
     assert sum(r.ld_lines_removed > 0 for r in got.values()) > 5
     assert lines.dedup_lines(df.filter("false")).count() == 0
     assert lines.dedup_lines(df.union(df.limit(3))).count() == len(values) + 3
+
+
+def test_mixing_of_one_id(spark):
+    """Thousands of rows under one id: each counts, none beyond twice its size; which of
+    those of one size the cut meets is open, what is taken of them is not."""
+    df = spark.range(3000).selectExpr("7L as doc_id", "concat('a b c ', id) as text", "case when id % 3 = 0 then 'u' else 'v' end as source")
+    run = lambda d: mixing.mix(d).select("source", "mix_size", "target", "taken").collect()
+    rows = run(df)
+    assert len(rows) == 3000 and all(0 <= r.taken <= 2 * r.mix_size for r in rows)
+    taken, target = Counter(), {r.source: r.target for r in rows}
+    for r in rows:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    assert sorted(rows) == sorted(run(df.repartition(3)))
