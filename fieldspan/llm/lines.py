@@ -1,8 +1,9 @@
-"""Line dedup in DataFrame functions only, over content-defined chunks or all passages.
+"""Line dedup in DataFrame functions only, over content-defined chunks of lines.
 
 A rolling hash over the hashes of two neighbouring lines ends a chunk wherever it
 is 0 modulo ``spread``; a line put in or left out moves the boundaries near it only.
-``dedup_lines`` takes out whole chunks, ``dedup_runs`` every repeated passage.
+``dedup_lines`` takes out whole chunks; ``dedup_runs`` grows repeats over their ends too
+and so takes out every repeated passage.
 """
 
 from __future__ import annotations
@@ -81,73 +82,105 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(*cols, "ld_lines_removed")
 
 
-#: Lines a window may need to reach ``LEAST_CHARS``: each has a character and a newline.
+#: Lines a passage may need to reach ``LEAST_CHARS``: each has a character and a newline.
 WIDEST = LEAST_CHARS // 2 + 1
 _WORDY = r"[^\\x20\\x09-\\x0D]"
+#: The lines of a text that are not blank.
+_LINES = "filter(split(coalesce(`{text}`, ''), '\n'), x -> x rlike '" + _WORDY + "')"
+#: A passage is one long: its first line times 2^32 plus its number of lines.
+_START, _SIZE = "cast(shiftright({w}, 32) as int)", "cast({w} & 4294967295 as int)"
 
 
 def _slice(array: str, w: str) -> str:
-    """The part of ``array`` that the window ``w`` (its start times 64 plus its length) covers."""
-    return f"slice({array}, cast(shiftright({w}, 6) + 1 as int), cast({w} & 63 as int))"
+    """The part of ``array`` that the passage ``w`` covers."""
+    return f"slice({array}, {_START.format(w=w)} + 1, {_SIZE.format(w=w)})"
 
 
-def _windows(docs: DataFrame, text_col: str) -> DataFrame:
-    """(ld_id, ld_w, ld_key): the least windows of each text's lines that may go.
+def _passages(docs: DataFrame, text_col: str, spread: int) -> DataFrame:
+    """(ld_id, ld_whole, ld_w, ld_key, ld_in): chunks and grown lines of each text.
 
-    From each line that is not blank, forwards and backwards, the fewest such lines that
-    are ``LEAST_LINES`` and hold ``LEAST_CHARS`` characters. What ends a window follows
-    from its lines alone, so equal passages have equal windows, and the windows inside a
-    passage of at least that size cover it.
+    Chunks (``ld_whole``) end at a line where the rolling hash of it and the line above is
+    0 modulo ``spread``. Chunks are cut once more at every line, and each line grows line by
+    line, forwards and backwards over chunk ends, into the fewest lines that may go; what
+    stops it follows from its lines alone, so that equal passages have equal parts and the
+    parts of a passage cover it. ``ld_in`` is the chunk that holds a grown line wholly.
+    Passages under ``LEAST_LINES`` or ``LEAST_CHARS`` are not given; blank lines do not count.
     """
-    reach = f"""aggregate(part, named_struct('t', -1, 'k', 0), (a, x) -> case when a.k >= {LEAST_LINES} and a.t >= {LEAST_CHARS} then a
-        else named_struct('t', a.t + 1 + x, 'k', a.k + 1) end, a -> case when a.k >= {LEAST_LINES} and a.t >= {LEAST_CHARS} then cast(a.k as bigint) end)"""
+    done = f"a.k >= {LEAST_LINES} and a.t >= {LEAST_CHARS}"
+    reach = f"""aggregate(part, named_struct('t', -1, 'k', 0), (a, x) -> case when {done} then a
+        else named_struct('t', a.t + 1 + x, 'k', a.k + 1) end, a -> case when {done} then a.k end)"""
     ahead = reach.replace("part", f"slice(l, i + 1, {WIDEST})")
     back = reach.replace("part", f"reverse(slice(l, greatest(i - {WIDEST - 1}, 0) + 1, least(i + 1, {WIDEST})))")
-    find = f"""transform(array(filter(split(coalesce(`{text_col}`, ''), '\n'), x -> x rlike '{_WORDY}')), s ->
+    ends = f"""concat(filter(sequence(0, size(h) - 1), i -> i < size(h) - 1 and
+        pmod(xxhash64(h[greatest(i - 1, 0)], h[i]), {spread}) = 0), array(size(h) - 1))"""
+    at = "(cast({i} as bigint) * 4294967296 + {k})"
+    own = at.format(i="x", k="(y - x + 1)")
+    whole = f"""case when y - x + 1 >= {LEAST_LINES} and aggregate(slice(l, x + 1, y - x + 1), y - x, (t, n) -> t + n) >= {LEAST_CHARS}
+        then array(named_struct('whole', true, 'w', {own}, 'in', {own})) else array() end"""
+    # a passage that both its first and its last line grow into is given by the first
+    grown = f"""concat(
+        transform(filter(sequence(x, y), i -> f[i] is not null), i ->
+            named_struct('whole', false, 'w', {at.format(i="i", k="f[i]")}, 'in', case when i + f[i] - 1 <= y then {own} end)),
+        transform(filter(sequence(x, y), i -> b[i] is not null and not (f[i - b[i] + 1] <=> b[i])), i ->
+            named_struct('whole', false, 'w', {at.format(i="(i - b[i] + 1)", k="b[i]")}, 'in', case when i - b[i] + 1 >= x then {own} end)))"""
+    find = f"""transform(array({_LINES.format(text=text_col)}), s -> case when size(s) >= {LEAST_LINES} then
         transform(array(transform(s, x -> xxhash64(x))), h -> transform(array(transform(s, x -> length(x))), l ->
-        transform(array(case when size(l) < {LEAST_LINES} then array() else filter(array_distinct(concat(
-            transform(sequence(0, size(l) - 1), i -> cast(i as bigint) * 64 + {ahead}),
-            transform(sequence(0, size(l) - 1), i -> transform(array({back}), k -> (i + 1 - k) * 64 + k)[0]))), w -> w is not null) end), c ->
-        transform(c, w -> named_struct('ld_w', w, 'ld_key', xxhash64({_slice("h", "w")}))))[0])[0])[0])[0]"""
+        transform(array(transform(sequence(0, size(l) - 1), i -> {ahead})), f -> transform(array(transform(sequence(0, size(l) - 1), i -> {back})), b ->
+        transform(array({ends}), e -> transform(
+            flatten(transform(e, (y, q) -> transform(array(case when q = 0 then 0 else e[greatest(q - 1, 0)] + 1 end), x -> concat({whole}, {grown}))[0])),
+            c -> named_struct('ld_whole', c.whole, 'ld_w', c.w, 'ld_key', xxhash64({_slice("h", "c.w")}), 'ld_in', c.in)))[0])[0])[0])[0])[0] end)[0]"""
     return docs.select("ld_id", F.expr(find).alias("ld_all")).select("ld_id", F.inline("ld_all"))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(ld_id, ld_gone): the windows of each document's lines that stand earlier.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
+    """(ld_id, ld_gone): the passages of each document's lines that stand earlier.
 
     Earlier means under a smaller id, or further up in the same document without an
-    overlap. Counting goes by 64-bit hash; windows whose hash repeats are compared by the
-    SHA-256 of their lines, so no text moves but with its document.
+    overlap. Chunks are counted first. Of a chunk whose hash stands earlier the grown lines
+    inside are left out, as they go with it; those of its first place and those over chunk
+    ends are counted in turn. Counting goes by hash, 8 bytes a passage and summed before
+    the shuffle; the texts of what repeats are compared byte by byte.
     """
     slim = docs.select(F.col(id_col).alias("ld_id"), text_col)
-    found = _windows(slim, text_col)
-    keys = found.groupBy("ld_key").agg(F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1").select("ld_key")
-    again = found.join(keys, "ld_key", "left_semi").groupBy("ld_id").agg(F.collect_set(F.struct("ld_w", "ld_key")).alias("ld_some"))
-    again = written(again)
+    found = written(_passages(slim, text_col, spread))
+    place = F.struct("ld_id", "ld_w")
+
+    def again(rows: DataFrame) -> DataFrame:
+        model = written(rows.groupBy("ld_key").agg(F.min(place).alias("ld_first"), F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1"))
+        return spread_join(rows, model, ["ld_key"], "ld_n", place)
+
+    chunks = written(again(found.filter("ld_whole")).select("ld_id", "ld_w", "ld_key", (place > F.col("ld_first")).alias("ld_later")))
+    later = chunks.filter("ld_later").select(F.col("ld_id").alias("ld_of"), F.col("ld_w").alias("ld_chunk")).distinct()
+    grown = found.filter("not ld_whole").join(later, F.col("ld_id").eqNullSafe(F.col("ld_of")) & (F.col("ld_in") == F.col("ld_chunk")), "left_anti")
+    some = chunks.select("ld_id", "ld_w", "ld_key").union(again(written(grown.select("ld_id", "ld_w", "ld_key"))).select("ld_id", "ld_w", "ld_key"))
+    some = written(some.groupBy("ld_id").agg(F.collect_set(F.struct("ld_w", "ld_key")).alias("ld_some")))
     base = docs.select(id_col, text_col)
     # null ids come before all others and must be compared too
-    held = base.join(again, base[id_col].eqNullSafe(again["ld_id"]))
-    sums = f"""transform(array(filter(split(coalesce(`{text_col}`, ''), '\n'), x -> x rlike '{_WORDY}')), s ->
+    held = base.join(some, base[id_col].eqNullSafe(some["ld_id"]))
+    cut = f"""transform(array({_LINES.format(text=text_col)}), s ->
         transform(array(transform(s, x -> xxhash64(x))), h -> transform(filter(ld_some, c -> c.ld_key = xxhash64({_slice("h", "c.ld_w")})), c ->
-        named_struct('ld_w', c.ld_w, 'ld_key', c.ld_key, 'ld_sum', unhex(sha2(cast(array_join({_slice("s", "c.ld_w")}, '\n') as binary), 256)))))[0])[0]"""
-    parts = written(held.select("ld_id", F.expr(sums).alias("ld_all")).select("ld_id", F.inline("ld_all")))
-    model = written(parts.groupBy("ld_sum").agg(F.min(F.struct("ld_id", "ld_w")).alias("ld_first"), F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1"))
-    apart = "ld_id > ld_first.ld_id or (ld_first.ld_id is null and ld_id is not null) or (ld_id = ld_first.ld_id and shiftright(ld_w, 6) >= shiftright(ld_first.ld_w, 6) + (ld_w & 63))"
-    gone = spread_join(parts, model, ["ld_sum"], "ld_n", F.struct("ld_id", "ld_w")).filter(apart)
+        named_struct('ld_w', c.ld_w, 'ld_key', c.ld_key, 'ld_text', array_join({_slice("s", "c.ld_w")}, '\n'))))[0])[0]"""
+    parts = written(held.select("ld_id", F.expr(cut).alias("ld_all")).select("ld_id", F.inline("ld_all")))
+    like = ["ld_key", "ld_text"]
+    model = written(parts.groupBy(*like).agg(F.min(place).alias("ld_first"), F.count(F.lit(1)).alias("ld_n")).filter("ld_n > 1"))
+    below = f"{_START.format(w='ld_w')} >= {_START.format(w='ld_first.ld_w')} + {_SIZE.format(w='ld_w')}"
+    apart = f"ld_id > ld_first.ld_id or (ld_first.ld_id is null and ld_id is not null) or (ld_id = ld_first.ld_id and {below})"
+    gone = spread_join(parts, model, like, "ld_n", place).filter(apart)
     return gone.groupBy("ld_id").agg(F.collect_set(F.struct("ld_w", "ld_key")).alias("ld_gone"))
 
 
-def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
     """``docs`` without repeated passages in ``text_col``, plus ``ld_lines_removed``.
 
     A line goes if it lies in neighbouring lines, at least ``LEAST_LINES`` and
-    ``LEAST_CHARS`` characters with newlines, that stand earlier as neighbours. Blank
+    ``LEAST_CHARS`` characters with newlines, that stand earlier as neighbours, at any
+    ``spread``: content-defined chunks that repeat, and lines grown over their ends. Blank
     lines neither count nor part neighbours; they go with the line above, those at the
     head with the first line. Ids, nulls and columns are dealt with as in ``dedup_lines``.
     """
     cols = [c for c in docs.columns if not c.startswith("ld_")]
     docs = docs.select(*cols)
-    gone = repeated_windows(docs, id_col, text_col)
+    gone = repeated_passages(docs, id_col, text_col, spread)
     df = docs.join(gone, docs[id_col] == gone["ld_id"], "left").drop("ld_id")
     # p: where the lines that are not blank stand; line u takes the blank ones below along
     head, tail = "case when u = 0 then 0 else p[u] end", "case when u = size(p) - 1 then size(s) else p[u + 1] end"
@@ -156,7 +189,7 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         transform(array(transform(p, i -> xxhash64(s[i]))), h ->
         transform(array(array_except(case when size(p) = 0 then array() else sequence(0, size(p) - 1) end, flatten(transform(
             filter(ld_gone, c -> c.ld_key = xxhash64({_slice("h", "c.ld_w")})),
-            c -> sequence(cast(shiftright(c.ld_w, 6) as int), cast(shiftright(c.ld_w, 6) + (c.ld_w & 63) - 1 as int)))))), k ->
+            c -> sequence({_START.format(w="c.ld_w")}, {_START.format(w="c.ld_w")} + {_SIZE.format(w="c.ld_w")} - 1))))), k ->
         case when size(k) < size(p) then named_struct('text', array_join(transform(k, u -> array_join(slice(s, {head} + 1, {tail} - {head}), '\n')), '\n'),
             'lost', size(s) - aggregate(k, 0, (a, u) -> a + {tail} - {head})) end)[0])[0])[0])[0] end"""
     df = df.withColumn("ld_out", F.expr(out))

@@ -9,7 +9,7 @@ from .corpus import frame, texts
 
 NAMES = [
     "kept", "n_words", "q_text", "q_words", "t", "m", "pii_email", "ld_chunks", "ld_gone", "mix_size", "taken", "target", "coarse", "fine", "before", "source_size",
-    "rep_id", "rep_text", "mark", "rep_marks", "ld_w", "ld_key", "ld_out", "ld_sum", "n_bytes", "n_removed", "n_tokens", "token_ids", "decoded", "score", "component_id", "n_shingles", "x", "c", "n", "key", "set", "one",
+    "rep_id", "rep_text", "mark", "rep_marks", "ld_w", "ld_in", "ld_key", "ld_out", "ld_sum", "n_bytes", "n_removed", "n_tokens", "token_ids", "decoded", "score", "component_id", "n_shingles", "x", "c", "n", "key", "set", "one",
 ]
 PATH = public_tokenizers.path("word_bpe_49k.json")
 OPERATORS = {

@@ -57,6 +57,37 @@ def test_runs(spark):
     assert got == brute([(i * 3 + 1, t) for i, t in enumerate(values)])
 
 
+def test_any_chunks_give_the_same(spark):
+    """Whatever the chunks, of one line or of whole texts, what they miss is grown."""
+    values = planted()
+    want = brute([(i * 3 + 1, t) for i, t in enumerate(values)])
+    for spread in (1, 2, 1000):
+        got = {r.doc_id: (r.text or "", r.ld_lines_removed) for r in lines.dedup_runs(frame(spark, values), spread=spread).collect()}
+        assert got == want
+
+
+def test_copies_post_chunks(spark):
+    """Of a later copy whole chunks are compared, and lines grown inside them are not."""
+    text = "\n".join(f"line {i} " + "word " * 20 + str(i * i) for i in range(60))
+    df = frame(spark, [text, text])
+    rows = lines._passages(df.withColumnRenamed("doc_id", "ld_id"), "text", lines.SPREAD).collect()
+    chunks = [r for r in rows if r.ld_whole]
+    assert chunks and all(r.ld_in == r.ld_w for r in chunks)
+    assert any(r.ld_in is None for r in rows) and any(r.ld_in is not None and not r.ld_whole for r in rows)
+    assert len({(r.ld_id, r.ld_w, r.ld_whole) for r in rows}) == len(rows)
+    gone = {r.ld_id: {(c.ld_w >> 32, c.ld_w & (1 << 32) - 1) for c in r.ld_gone} for r in lines.repeated_passages(df).collect()}
+    whole = {(r.ld_w >> 32, r.ld_w & (1 << 32) - 1) for r in chunks}
+    assert set(gone) == {4} and whole <= gone[4]
+    inside = lambda w: any(a <= w[0] and w[0] + w[1] <= a + k for a, k in whole)
+    assert not any(inside(w) for w in gone[4] - whole)
+
+
+def test_many_lines(spark):
+    text = "\n".join(f"line {i} of one text {i * i}" for i in range(30000))
+    got = {r.doc_id: r.ld_lines_removed for r in lines.dedup_runs(frame(spark, [text, "a b c d\n" * 30000, text])).collect()}
+    assert got == {1: 0, 4: 29990, 7: 30000}
+
+
 def test_exact_copies_become_empty(spark):
     r = random.Random(22)
     values = ["\n".join(f"{i} {j} {r.random()} words of its own to be long enough" for j in range(2 + i % 7)) for i in range(20)]
