@@ -169,9 +169,9 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
     return files.filter(F.col(path).endswith(".csv")).withColumn("resolution", resolution(F.col(path)))
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """(path, modificationTime, length) of files below a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "modificationTime", "length")
 
 
 def zip_members(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

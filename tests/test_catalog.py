@@ -224,3 +224,31 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(str(r.day), r.value, r.n) for r in spark.table("days").collect()}
     assert {("2020-01-01", 1.0, 3), ("2020-01-02", 1.0, 3)} <= got
+
+
+def test_a_sheet_is_read_row_by_row(tmp_path):
+    """Memory does not grow with the rows of a sheet, nor with its file."""
+    import tracemalloc
+
+    rows = 60_000
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="META" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>one</t></si><si><r><t>t</t></r><r><t>wo</t></r></si></sst>")
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(b'<worksheet><sheetData><row><c r="A1" t="inlineStr"><is><t>SITE_ID</t></is></c><c r="B1" t="inlineStr"><is><t>DATAVALUE</t></is></c></row>')
+            for i in range(rows):
+                f.write(f'<row><c r="A{i}" t="s"><v>{i % 2}</v></c><c r="B{i}"><v>{i}</v></c></row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+    with zipfile.ZipFile(tmp_path / "S_1.zip", "w") as z:
+        z.writestr("m.xlsx", book.getvalue())
+    del book
+    tracemalloc.start()
+    try:
+        with open(tmp_path / "S_1.zip", "rb") as f:
+            n = sum(r == {"SITE_ID": ("one", "two")[i % 2], "DATAVALUE": str(i)} for i, r in enumerate(catalogs._sheet(f, "META")))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == rows and peak < 4 << 20
