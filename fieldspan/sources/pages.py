@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from .archive import opened
 
 FORMAT = "object_pages"
+#: Pages, and objects of the table, that a partition of a batch is to hold about.
+PAGES, HELD = 32, 200_000
 OBJECTS = "page string, place long, uri string, station_uri string, time_start string, time_end string"
 
 
@@ -85,17 +87,25 @@ def append_new(objects: DataFrame, table: str, checkpoint: str, key: str = "uri"
     What has been read is kept in ``checkpoint``, so that a further call reads new pages
     only; a batch that is repeated after a failure finds what it wrote and skips it. Of
     several objects of one key the earliest by page and place stays; a NULL key is none.
+    Objects and table are dealt by key to more partitions as they grow, so that a task
+    sorts no more of a larger batch.
     """
     spark = objects.sparkSession
     shape = objects.schema
 
     def add(batch: DataFrame, _: int) -> None:
-        first = F.min_by(F.struct(*batch.columns), F.struct("page", "place"))
-        fresh = batch.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key_")).agg(first.alias("o")).select("o.*")
         system, root = opened(table)
+        held = None
         if system.get_file_info(root).type == fs.FileType.Directory:
-            fresh = fresh.join(spark.read.schema(shape).parquet(table).select(key), key, "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(table)
+            held = spark.read.schema(shape).parquet(table).select(F.col(key).alias("key_"))
+        # a page is a partition, and counting a table reads footers only
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-batch.rdd.getNumPartitions() // PAGES), -(-held.count() // HELD) if held is not None else 0)
+        keyed = batch.filter(F.col(key).isNotNull()).withColumn("key_", F.col(key)).repartition(parts, "key_")
+        first = F.min_by(F.struct(*batch.columns), F.struct("page", "place"))
+        fresh = keyed.groupBy("key_").agg(first.alias("o"))
+        if held is not None:
+            fresh = fresh.join(held.repartition(parts, "key_"), "key_", "left_anti")
+        fresh.select("o.*").write.mode("append").parquet(table)
 
     query = objects.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination(timeout)

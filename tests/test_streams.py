@@ -98,3 +98,23 @@ def test_pages_are_read_once(spark, tmp_path):
     # a lost checkpoint reads all pages again and adds nothing
     pages.append_new(pages.stream_pages(spark, str(folder)), table, done + "2")
     assert spark.read.parquet(table).count() == 4
+
+
+def test_larger_batches_of_pages_go_to_more_partitions(spark, tmp_path, monkeypatch):
+    import json
+
+    from fieldspan.sources import pages
+
+    monkeypatch.setattr(pages, "PAGES", 1, raising=False)
+    folder, table, done = tmp_path / "pages", tmp_path / "table", str(tmp_path / "done")
+    folder.mkdir()
+    for part in (range(9), range(9, 20)):
+        for n in part:
+            # every other object stands on the page before as well
+            uris = [f"{n - i % 2}/{i}" for i in range(60)]
+            (folder / f"page_{n:04}.json").write_text(json.dumps({"objects": [{"uri": u} for u in uris]}))
+        files = len(list(table.glob("*.parquet")))
+        pages.append_new(pages.stream_pages(spark, str(folder)), str(table), done)
+        assert len(list(table.glob("*.parquet"))) - files > len(part) // 2 + 1
+    got = spark.read.parquet(str(table))
+    assert got.count() == got.select("uri").distinct().count() == 20 * 60
