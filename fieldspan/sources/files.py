@@ -43,7 +43,11 @@ def date_as(col: Column, name: str) -> Column:
         return digits_to_time(col)
     s = F.regexp_replace(F.regexp_replace(F.trim(col.cast("string")), "T", " "), "Z$", "")
     day = name.replace("MM/", "M/").replace("dd", "d").replace("/MM/", "/M/") if name in (*EITHER, "dd.MM.yyyy", "dd-MMM-yyyy") else name
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(day + time)).cast("timestamp_ntz") for time in ("", " HH:mm", " HH:mm:ss")])
+    mark = next(c for c in "-/." if c in name)
+    # a text without the format's marks cannot be read by it; trying would cost far more
+    parts = F.when(s.contains(mark), F.length(s) - F.length(F.replace(s, F.lit(":"))))
+    at = lambda time: F.try_to_timestamp(s, F.lit(day + time)).cast("timestamp_ntz")
+    return F.when(parts == 0, at("")).when(parts == 1, at(" HH:mm")).when(parts == 2, at(" HH:mm:ss"))
 
 
 def date_votes(rows: DataFrame, column: str, by: str = "file") -> DataFrame:

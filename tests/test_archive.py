@@ -248,3 +248,32 @@ def test_a_large_member_is_never_whole(spark, tmp_path):
     lines = files.zip_lines(files.zip_members(spark, str(tmp_path)))
     r = lines.mapInArrow(held, "n long, mb long").groupBy().agg(F.sum("n").alias("n"), F.max("mb").alias("mb")).first()
     assert r.n == 5_000_000 and r.mb < 64
+
+
+def test_a_date_is_tried_only_where_its_marks_stand(spark):
+    """Formats read what they read before, and a text without a format's marks is not parsed."""
+    texts = ["2020-01-02", "2020-01-02 03:04", "2020-01-02T03:04:05Z", "1/2/2020", "13/2/2020 1:02", "02.01.2020 03:04:05", "2-Jan-2020", "2020/01/02 03:04", "1/2-2020", "3:04", "2020-01-02 03:04:05:06", "", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name in files.DATES[1:]:
+        s = F.regexp_replace(F.regexp_replace(F.trim("t"), "T", " "), "Z$", "")
+        day = name.replace("MM/", "M/").replace("dd", "d").replace("/MM/", "/M/") if name in (*files.EITHER, "dd.MM.yyyy", "dd-MMM-yyyy") else name
+        plain = F.coalesce(*[F.try_to_timestamp(s, F.lit(day + time)).cast("timestamp_ntz") for time in ("", " HH:mm", " HH:mm:ss")])
+        assert [r for r in df.select("t", files.date_as(F.col("t"), name).alias("a"), plain.alias("b")).collect() if r.a != r.b] == []
+    plan = df.select(files.date_as(F.col("t"), "yyyy-MM-dd"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower()
+
+
+def test_every_way_of_dates_is_one_file(spark, monkeypatch):
+    from fieldspan.plans import queries as plans
+
+    seen = []
+    monkeypatch.setattr(plans, "new_folder", lambda s, f=plans.new_folder: seen.append(f(s)) or seen[-1])
+    jobs = spark.sparkContext
+    jobs.setJobGroup("dated", "dated")
+    try:
+        plans.dated_files(spark, "/root/testdata/sf0.001")
+    finally:
+        jobs.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.read.text(seen[0]).select(F.col("_metadata.file_path")).distinct().count() == len(plans.DATE_PATTERNS)
+    # not one job of one task after the other
+    assert len(jobs.statusTracker().getJobIdsForGroup("dated")) < len(plans.DATE_PATTERNS)
