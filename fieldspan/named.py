@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -52,20 +53,22 @@ class NamedWriter(DataSourceArrowWriter):
         moves: list[tuple[str, str]] = []
         sink, name = None, None
         for batch in iterator:
-            names = batch.column(NAME).to_pylist()
-            starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
-            for lo, hi in zip(starts, [*starts[1:], len(names)], strict=True):
-                if names[lo] != name:
+            runs = pc.run_end_encode(batch.column(NAME))
+            ends = runs.run_ends.to_pylist()
+            for this, lo, hi in zip(runs.values.to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                if this != name or sink is None:
                     if sink is not None:
                         sink.close()
-                    name = names[lo]
+                    name = this
                     _check(name)
                     moves.append((f"{folder}/{len(moves)}", name))
                     rows = batch.schema.remove(batch.schema.get_field_index(NAME))
                     sink = system.open_output_stream(moves[-1][0]) if self.text else pq.ParquetWriter(moves[-1][0], rows, filesystem=system)
                 part = batch.slice(lo, hi - lo).drop_columns([NAME])
                 if self.text:
-                    sink.write(("".join(f"{v or ''}\n" for v in part.column("value").to_pylist())).encode())
+                    lines = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("value").cast(pa.string()).fill_null(""))
+                    sink.write(pc.binary_join(lines, "\n")[0].as_buffer())
+                    sink.write(b"\n")
                 else:
                     sink.write_batch(part)
         if sink is not None:

@@ -1,4 +1,4 @@
-"""Station archives as a data source: planned by station folder, pruned before it is read.
+"""Station archives as a data source: planned by folder and size, pruned before it is read.
 
 ``<network>/<station>/<sensor>…<variable>_<depth from>_<depth to>….stm``, in two layouts:
 a header line with the coordinates, then ``yyyy/MM/dd HH:mm value flag``; or rows that
@@ -27,6 +27,8 @@ SCHEMA = """network string, station string, sensor string, variable string, dept
 STATIONS = "network string, station string, latitude double, longitude double"
 #: Bytes of a file held at once.
 BLOCK = 1 << 20
+#: Bytes of files after which a partition ends.
+SPLIT = 16 << 20
 
 # The names of files and the two layouts of lines.
 FILE = re.compile(r"(?:^|_)([A-Za-z]+)_(-?\d+\.\d+)_(-?\d+\.\d+)")
@@ -45,7 +47,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Folder(InputPartition):
-    """One station: its folder's files that may hold what is asked for."""
+    """One station, or a part: its folder's files that may hold what is asked for."""
 
     network: str
     station: str
@@ -86,9 +88,16 @@ class ArchiveReader(DataSourceReader):
         out = []
         for net in self._inside(system, root, "network"):
             for sta in self._inside(system, net.path, "station"):
-                files = [i.path for i in self._inside(system, sta.path, None) if self._may_hold(i.base_name)]
-                if files:
-                    out.append(Folder(net.base_name, sta.base_name, files))
+                held = 0
+                for i in self._inside(system, sta.path, None):
+                    if not self._may_hold(i.base_name):
+                        continue
+                    # first lines do not grow with their files: a station's stay together
+                    if not held or (held >= SPLIT and not self.stations):
+                        out.append(Folder(net.base_name, sta.base_name, []))
+                        held = 0
+                    out[-1].files.append(i.path)
+                    held += max(i.size, 1)
         return out or [Folder("", "", [])]  # no partition would not do
 
     def read(self, partition: Folder) -> Iterator:

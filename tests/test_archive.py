@@ -277,3 +277,12 @@ def test_every_way_of_dates_is_one_file(spark, monkeypatch):
     assert spark.read.text(seen[0]).select(F.col("_metadata.file_path")).distinct().count() == len(plans.DATE_PATTERNS)
     # not one job of one task after the other
     assert len(jobs.statusTracker().getJobIdsForGroup("dated")) < len(plans.DATE_PATTERNS)
+
+
+def test_a_large_station_is_read_by_several_tasks(spark, place, monkeypatch):
+    monkeypatch.setattr(archive, "SPLIT", 1, raising=False)
+    parts = archive.ArchiveReader(place, False, {}).partitions()
+    assert len(parts) == 6 and all(len(p.files) == 1 for p in parts)
+    # coordinates come from a station's first files, so that these stay in one partition
+    assert len(archive.ArchiveReader(place, True, {}).partitions()) == 4
+    assert archive.read_archive(spark, place).count() == 11
