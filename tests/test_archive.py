@@ -202,6 +202,50 @@ def test_overlaps(spark, width, by):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def _spans(seed, n, lengths, keys="xy"):
+    import random
+    from datetime import timedelta
+
+    r = random.Random(seed)
+    starts = [datetime(1990, 1, 1) + timedelta(days=r.randrange(3000)) for _ in range(n)]
+    return [(i, r.choice(keys), a, a + timedelta(days=r.choice(lengths))) for i, a in enumerate(starts)]
+
+
+@pytest.mark.parametrize("by", [(), ("k",)])
+def test_overlaps_over_many_chunks(spark, monkeypatch, by):
+    monkeypatch.setattr(intervals, "CHUNK", 3)
+    left, right = _spans(2, 200, [0, 20, 900]), _spans(3, 60, [0, 80, 20000])
+    left += left[:7]
+    a, b = spark.createDataFrame(left, "i int, k string, a timestamp, z timestamp"), spark.createDataFrame(right, "j int, k string, c timestamp, e timestamp")
+    df = intervals.overlap_join(a, b if by else b.drop("k"), ("a", "z"), ("c", "e"), by, "60 days", 3)
+    assert df.columns == (["k", "i", "a", "z", "j", "c", "e"] if by else ["i", "k", "a", "z", "j", "c", "e"])
+    want = sorted((i, j) for i, k, a, z in left for j, m, c, e in right if a <= e and c <= z and (not by or k == m))
+    assert sorted((x.i, x.j) for x in df.collect()) == want
+
+
+def test_overlaps_shuffle_a_row_once(spark):
+    """Long intervals are not laid out in copies: what is written grows with the rows alone."""
+    left, right = _spans(4, 3000, [100, 900, 2500]), _spans(5, 300, [30, 89, 20000])
+    a, b = spark.createDataFrame(left, "i int, k string, a timestamp, z timestamp"), spark.createDataFrame(right, "j int, k string, c timestamp, e timestamp")
+    sc, old = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    try:
+        before = shuffled()
+        n = intervals.overlap_join(a, b, ("a", "z"), ("c", "e"), ["k"], "60 days").count()
+        rows = sum(v for k, v in shuffled().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert n == sum(a <= e and c <= z and k == m for i, k, a, z in left for j, m, c, e in right)
+    assert rows < 2 * (len(left) + len(right))
+
+
 # --- members of zip archives -----------------------------------------------------------
 
 
