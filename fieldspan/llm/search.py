@@ -1,10 +1,10 @@
 """Exact top-k search by inner product over KD-trees, one tree per shard.
 
 Rows are dealt to shards by a hash; a shard's tree splits at medians into tight
-bounding boxes. A query visits boxes best first, by the largest inner product any
-point of the box could have, and stops at the first box whose bound falls under the
-kth score that the query has so far. That score comes along from the shard the query
-visited first, so that further shards start with it.
+bounding boxes. Queries come in blocks. A block visits boxes best first, by the largest
+inner products their points could have, each box with those of its queries only whose
+bound there reaches the kth score they have so far; a leaf is scored for them at once. In
+a task that score goes on from one shard to the next.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Rows of a shard, of a leaf and of a block of queries.
-SHARD, LEAF, BLOCK = 4096, 128, 256
+#: Rows of a shard, of a leaf and of a block of queries; blocks that a task goes through.
+SHARD, LEAF, BLOCK, BLOCKS = 4096, 128, 1024, 64
 #: Below every score.
 LEAST = -(1 << 63)
 
@@ -56,7 +57,6 @@ class Tree:
                 todo += [(lo, lo + mid, 2 * at + 1), (lo + mid, hi, 2 * at + 2)]
         self.ids, self.points = ids[order], points[order]
         self.most = int(np.abs(points).max(initial=0))
-        self._floats = self.points.astype(np.float64)
         names = sorted(where)
         self.at = {n: i for i, n in enumerate(names)}
         self.names = names
@@ -72,100 +72,125 @@ class Tree:
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T + slack
 
     def scores(self, lo: int, hi: int, q: np.ndarray) -> np.ndarray:
-        """Exact inner products: in floating point where all of them and their sums fit."""
-        if len(q) * self.most * int(np.abs(q).max(initial=0)) < 1 << 53:
-            return (self._floats[lo:hi] @ q.astype(np.float64)).astype(np.int64)
-        return self.points[lo:hi] @ q
-
-    def best(self, qid: int, q: np.ndarray, bounds: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id; scores under ``floor`` may lack."""
-        # Python compares its floats and integers exactly, NumPy does not
-        bound, least = bounds.tolist(), floor
-        heap, ids, scores = [(-bound[0], 0)], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        while heap and -heap[0][0] >= least:
-            _, at = heapq.heappop(heap)
+        """Exact inner products of rows and queries: in floating point where all of them and their sums fit."""
+        most = q.shape[1] * self.most * int(np.abs(q).max(initial=0))
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        return self.points[lo:hi].astype(kind) @ q.astype(kind).T
+
+    def search(self, q: np.ndarray, best: Best) -> None:
+        """Add to ``best`` each query's rows that its k best so far leave room for."""
+        bounds = self.bounds(q)
+        means = bounds.mean(0)
+        heap = [(-means[0], 0, np.arange(len(q)))]
+        while heap:
+            _, at, live = heapq.heappop(heap)
+            live = live[bounds[live, self.at[at]] >= best.under[live]]
+            if not len(live):
+                continue
             lo, hi, leaf = self.span[self.at[at]]
             if not leaf:
                 for child in (2 * at + 1, 2 * at + 2):
-                    if (b := bound[self.at[child]]) >= least:
-                        heapq.heappush(heap, (-b, child))
+                    heapq.heappush(heap, (-means[self.at[child]], child, live))
                 continue
-            s = self.scores(lo, hi, q)
-            ok = (s >= least) & (self.ids[lo:hi] != qid)
-            if ok.any():
-                ids, scores = np.concatenate([ids, self.ids[lo:hi][ok]]), np.concatenate([scores, s[ok]])
-                order = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[order], scores[order]
-                if len(ids) == k:
-                    least = max(least, int(scores[-1]))
-        return list(zip(scores.tolist(), ids.tolist(), strict=True))
-
-
-def _matrix(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(n, -1)
-
-
-def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
+            for a in range(lo, hi, LEAF):  # a leaf of equal rows may be larger
+                s = self.scores(a, min(a + LEAF, hi), q[live])
+                # a kth score that the type of s must round lies beyond all of s, and stays there
+                row, col = np.nonzero(s >= best.least[live].astype(s.dtype))
+                best.add(live[col], s[row, col].astype(np.int64), self.ids[a:hi][row])
+
+
+class Best:
+    """The k best (score, id) so far of each query of a block, ties to the smaller id."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k, self.parts, self.new = query_ids, k, [], 0
+        self.least = np.full(len(query_ids), LEAST)
+        #: no more than ``least``, as floats
+        self.under = np.full(len(query_ids), -np.inf)
+
+    def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Rows of the queries at ``at``; a row is none of the query of its own id."""
+        other = self.query_ids[at] != ids
+        self.parts.append((at[other], scores[other], ids[other]))
+        self.new += int(other.sum())
+        if self.new > 4 * self.k * len(self.query_ids):
+            self.settle()
+
+    def settle(self) -> None:
+        at, scores, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -scores, at))
+        at, scores, ids = at[order], scores[order], ids[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        full, keep = rank == self.k - 1, rank < self.k
+        self.least[at[full]] = scores[full]
+        self.under[at[full]] = np.nextafter(scores[full].astype(np.float64), -np.inf)
+        self.parts, self.new = [(at[keep], scores[keep], ids[keep])], 0
+
+    def rows(self) -> pd.DataFrame:
+        self.settle()
+        at, scores, ids = self.parts[0]
+        return pd.DataFrame({"query_id": self.query_ids[at], "vec_id": ids, "score": scores})
+
+
+def _matrix(blob: bytes, n: int, dim: int) -> np.ndarray:
+    """``n`` vectors, whose components were stored in as few bytes as they need."""
+    width = len(blob) // (n * dim) if dim else 8
+    return np.frombuffer(blob, f"i{width}").reshape(n, dim).astype(np.int64)
+
+
+def _packed(df: DataFrame, key: str) -> DataFrame:
     """One row per group of rows of equal dimension: ids and vectors as binary.
 
     Repeated rows have one hash, so they meet in one group, where one of them stays.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s_id")
-        vec = np.stack(pdf["s_vec"].to_list()).astype(np.int64)
-        _, one = np.unique(np.column_stack([pdf["s_id"].to_numpy(np.int64), vec]), axis=0, return_index=True)
-        pdf, vec = pdf.iloc[np.sort(one)], vec[np.sort(one)]
-        row = {k: pdf[k].iloc[0] for k in keys} | {"n": len(pdf), "ids": pdf["s_id"].to_numpy(np.int64).tobytes(), "vecs": vec.tobytes()}
-        if "floor" in pdf:
-            row["floors"] = pdf["floor"].to_numpy(np.int64).tobytes()
-        return pd.DataFrame([row])
+    def run(t: pa.Table) -> pa.Table:
+        dim, ids = t["dim"][0].as_py(), t["s_id"].to_numpy()
+        vec = t["s_vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        if len(np.unique(ids)) < len(ids):
+            _, one = np.unique(np.column_stack([ids, vec]), axis=0, return_index=True)
+            ids, vec = ids[one], vec[one]
+        low, high = vec.min(initial=0), vec.max(initial=0)
+        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        row = {"dim": [dim], key: [t[key][0].as_py()], "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "vecs": [vec.astype(kind).tobytes()]}
+        return pa.table(row)
 
-    extra = ", floors binary" if "floor" in df.columns else ""
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} long" for k in keys) + ", n int, ids binary, vecs binary" + extra)
+    return df.groupBy("dim", key).applyInArrow(run, f"dim long, {key} long, n int, ids binary, vecs binary")
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best ``rows`` of each query.
 
     Both sides as from ``quantised``; ids of ``rows`` are unique, but rows that repeat id
-    and vector count once. A row is no candidate for the query of its own id. Only vectors of one dimension are compared. A query set
-    without rows, or rows without queries, gives an empty result, and fewer than ``k``
-    rows give all. Work is dealt as (shard, block of queries): a task holds one shard and
-    one block, the shards move once, and each query block goes to every shard, which is
-    the stated search of all queries against all rows. Scores are exact longs; where the
-    dimension times the largest components of both sides leaves 63 bits, ValueError.
+    and vector count once. A row is no candidate for the query of its own id. Only vectors
+    of one dimension are compared. A query set without rows, or rows without queries, gives
+    an empty result, and fewer than ``k`` rows give all. A task takes some shards and some
+    blocks of queries, which is the stated search of all queries against all rows, and
+    returns k rows of a query, so no copies of either side are shuffled or broadcast. Scores
+    are exact longs; where the dimension times the largest components of both sides leaves
+    63 bits, ValueError.
     """
-    small_batches(rows.sparkSession)
+    spark = rows.sparkSession
+    small_batches(spark)
     n, dim, most = rows.agg(F.count(F.lit(1)), F.max(F.size("s_vec")), F.max(_largest())).first()
-    ask_dim, ask = queries.agg(F.max(F.size("s_vec")), F.max(_largest())).first()
+    asked, ask_dim, ask = queries.agg(F.count(F.lit(1)), F.max(F.size("s_vec")), F.max(_largest())).first()
     if min(dim or 0, ask_dim or 0) * int(most or 0) * int(ask or 0) >= 1 << 63:
         raise ValueError("scores may be no longs")
-    shards = max(1, -(-n // SHARD))
-    place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "s_id"), F.lit(shards)).cast("long")
-    dealt = rows.withColumn("dim", F.size("s_vec").cast("long")).withColumn("shard", place(1))
-    trees = written(_packed(dealt, ["dim", "shard"]))
-    asked = written(queries.withColumn("dim", F.size("s_vec").cast("long")).withColumn("home", place(2)))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    first = asked.withColumn("floor", F.lit(LEAST).cast("long")).withColumnRenamed("home", "shard")
-    first = first.withColumn("block", F.floor(F.pmod(F.xxhash64(F.lit(3), "s_id"), F.lit(blocks)) / shards))
-    near = written(_searched(first, trees, k).distinct())
+    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
+    place = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "s_id"), F.lit(parts)).cast("long")
+    sized = lambda df, key, salt, parts: df.select("s_id", "s_vec", F.size("s_vec").cast("long").alias("dim"), place(salt, parts).alias(key))
+    trees = written(_packed(sized(rows, "shard", 1, shards), "shard"))
+    asks = written(_packed(sized(queries, "block", 2, blocks), "block"))
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rank = F.row_number().over(_window())
-    kth = near.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("s_id"), F.col("score").alias("floor"))
-    rest = asked.join(kth, "s_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST).cast("long")))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "s_id"), F.lit(blocks)).cast("long"))
-    packed = _packed(rest, ["dim", "block"])
-    # a query's first shard is done: the visit there is repeated as part of its block,
-    # and its rows are told apart from the first result below
-    far = _visited(packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))), trees, k)
-    every = far.union(near).distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
+    every = _visited(trees.repartition(tasks), asks.repartition(-(-blocks // BLOCKS)), k).withColumn("rank", rank).filter(F.col("rank") <= k)
     return every.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def _largest():
     """The largest component of a vector in absolute value, as a decimal: a long may have none."""
-    each = F.transform("s_vec", lambda v: F.abs(v.cast("decimal(20, 0)")))
-    return F.array_max(each)
+    ends = [x("s_vec").cast("decimal(20, 0)") for x in (F.array_min, F.array_max)]
+    return F.greatest(*map(F.abs, ends))
 
 
 def _window():
@@ -174,25 +199,22 @@ def _window():
     return W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
 
-def _searched(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
-    return _visited(_packed(queries, ["dim", "shard", "block"]), trees, k)
-
-
-def _visited(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
-    """Each block of queries against the tree of its shard."""
+def _visited(trees: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """The k best rows that each task's trees have for each query of its blocks."""
     t = trees.select("dim", "shard", F.col("n").alias("t_n"), F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
-    # whichever side is streamed, the blocks of one shard follow each other: a tree is built once
-    both = blocks.join(t, ["dim", "shard"]).sortWithinPartitions("dim", "shard")
+    # pairs of partitions, each a task: a tree's blocks follow each other there
+    both = t.hint("shuffle_replicate_nl").join(asks, "dim")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tree = None, None
+        key, tree, best = None, None, {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if (r.dim, r.shard) != key:
-                    key, tree = (r.dim, r.shard), Tree(np.frombuffer(r.t_ids, np.int64), _matrix(r.t_vecs, r.t_n))
-                q, ids = _matrix(r.vecs, r.n), np.frombuffer(r.ids, np.int64).tolist()
-                bounds, floors = tree.bounds(q), np.frombuffer(r.floors, np.int64).tolist()
-                out = [(i, v, s) for j, i in enumerate(ids) for s, v in tree.best(i, q[j], bounds[j], k, floors[j])]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                    key, tree = (r.dim, r.shard), Tree(np.frombuffer(r.t_ids, np.int64), _matrix(r.t_vecs, r.t_n, r.dim))
+                if (r.dim, r.block) not in best:
+                    best[r.dim, r.block] = Best(np.frombuffer(r.ids, np.int64), k)
+                tree.search(_matrix(r.vecs, r.n, r.dim), best[r.dim, r.block])
+        for b in best.values():
+            yield b.rows()
 
     return both.mapInPandas(run, "query_id long, vec_id long, score long")

@@ -73,3 +73,18 @@ def test_scores_beyond_a_long(spark):
             search.top_k(df, df).collect()
     small = search.quantised(spark.createDataFrame([(0, [1e8] * 4), (1, [1e-2] * 4)], "vec_id long, embedding array<double>"))
     assert search.top_k(small.filter("s_id = 1"), small, 1).first().score == 4 * 2 * 25600000000
+
+
+def test_no_side_is_broadcast_in_copies(spark, monkeypatch):
+    """200 queries of 16 longs for each of 100 shards are 2.5 MB, at 6 GB many times what a driver holds."""
+    for name, n in (("SHARD", 10), ("LEAF", 4), ("BLOCK", 50)):
+        monkeypatch.setattr(search, name, n)
+    r = random.Random(8)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.75, r.randrange(-256, 256) / 256]) for _ in range(16)]) for i in range(1000)]
+    key = "spark.sql.maxBroadcastTableSize"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        assert run(spark, rows) == brute(rows, 4)
+    finally:
+        spark.conf.set(key, old)
