@@ -246,6 +246,15 @@ def test_overlaps_shuffle_a_row_once(spark):
     assert rows < 2 * (len(left) + len(right))
 
 
+def test_overlaps_are_joined_by_many_tasks(spark):
+    """Few bytes are shuffled for many pairs: tasks are not merged by their bytes."""
+    left, right = _spans(6, 6000, [100, 900]), _spans(7, 300, [30, 89, 20000])
+    a, b = spark.createDataFrame(left, "i int, k string, a timestamp, z timestamp"), spark.createDataFrame(right, "j int, k string, c timestamp, e timestamp")
+    n = intervals.overlap_join(a, b, ("a", "z"), ("c", "e"), ["k"], "60 days").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in n) == sum(a <= e and c <= z and k == m for i, k, a, z in left for j, m, c, e in right)
+    assert len(n) > 8
+
+
 # --- members of zip archives -----------------------------------------------------------
 
 
